@@ -26,6 +26,7 @@ ROWS_PER_BUCKET = 20_000
 MAX_BUCKETS = 20_000
 SAMPLE_PER_BUCKET = 24
 MAX_SERIES_ROWS = 2_000_000
+MAX_STREAM_ROWS = 50_000
 MAX_LONG_SERIES = 10_000
 
 
@@ -142,7 +143,9 @@ class Series:
     def __init__(self, df: DataFrame, series: list[str], order: list[str], max_rows: int | None = None):
         spark = df.sparkSession
         self.series, self.order = list(series), list(order)
-        self.max_rows = max_rows or _setting(spark, "maxSeriesRows", MAX_SERIES_ROWS)
+        # one continuous stream has no other parallelism than its blocks, so these are smaller
+        self.max_rows = max_rows or (_setting(spark, "maxSeriesRows", MAX_SERIES_ROWS) if series
+                                     else _setting(spark, "maxStreamRows", MAX_STREAM_ROWS))
         self.long = self._find_long(df)
 
     def _find_long(self, df: DataFrame) -> str:
