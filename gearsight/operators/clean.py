@@ -39,8 +39,9 @@ def numeric_only(df: DataFrame) -> DataFrame:
 
 
 def round_numeric(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Half-even rounding of every fractional column (whole numbers are left alone)."""
-    return df.withColumns({f.name: F.bround(f.name, digits) for f in df.schema.fields
+    """Half-even rounding of every fractional column: scale, nearest even, unscale (whole numbers are left alone)."""
+    scale = float(10 ** digits)
+    return df.withColumns({f.name: F.rint(F.col(f.name) * scale) / scale for f in df.schema.fields
                            if isinstance(f.dataType, T.FractionalType)})
 
 
