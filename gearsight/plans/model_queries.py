@@ -175,7 +175,7 @@ def _noisy_scored_sql(level: float) -> str:
 
 def _coarse_score(df):
     """Rule score to three digits: continuous noise would otherwise leave every score unique."""
-    return S.rule_score(df).withColumn("score", F.round("score", 3))
+    return S.rule_score(df, digits=3)
 
 
 @query("inject_noise", f"SELECT event_id, {', '.join(f'round({c}, 6) AS {c}' for c in C.SENSORS)} FROM ({_noisy_sql(0.05)})")

@@ -68,12 +68,12 @@ def environment(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def rule_score(readings: DataFrame) -> DataFrame:
+def rule_score(readings: DataFrame, digits: int = 6) -> DataFrame:
     """Attach the research flags and a logistic score of them; stands in for a learned probability."""
     flagged = readings.withColumns(X.risk_flags("research"))
     margin = (F.lit(-3.0) + 2.5 * F.col("hdf_risk_flag") + 1.0 * F.col("pwf_risk_flag")
               + 1.5 * F.col("osf_risk_flag") + 1.0 * F.col("twf_risk_flag") + (F.col("torque") - 42.5) / 20.0)
-    return flagged.withColumn("score", F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-margin)), 6))
+    return flagged.withColumn("score", F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-margin)), digits))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,7 +60,8 @@ if __name__ == "__main__":
     sf = sys.argv[1]
     only = sys.argv[2:]
     spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
-             .config("spark.ui.enabled", "false").config("spark.driver.memory", "12g")
+             .config("spark.ui.enabled", "false")
+             .config("spark.python.unix.domain.socket.enabled", "true").config("spark.driver.memory", "12g")
              .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="gearsight-ckpt-")).getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
