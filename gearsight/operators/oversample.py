@@ -15,13 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gearsight.functions import constants as C
 from gearsight.functions import expressions as X
 from gearsight.operators.ordering import Order
+from gearsight.sources.staging import staged
 
 CELL_ROWS = 2_000
 MAX_CELLS = 16_384
@@ -70,11 +70,15 @@ def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def nearest(asked: pd.DataFrame, found: pd.DataFrame, cols: list[str], k: int) -> pd.DataFrame:
+def matrix(rows: pd.DataFrame) -> np.ndarray:
+    return np.stack(rows["x"].to_numpy()) if len(rows) else np.zeros((0, 0))
+
+
+def nearest(asked: pd.DataFrame, found: pd.DataFrame, k: int) -> pd.DataFrame:
     """The ``k`` best candidates of ``found`` per asked point by (distance, id)."""
-    order = np.argsort(found["id"].to_numpy(), kind="stable")
-    pts, ids = found[cols].to_numpy()[order], found["id"].to_numpy()[order]
-    q, point = asked[cols].to_numpy(), asked["point"].to_numpy()
+    found = found.sort_values("id", kind="stable")
+    pts, ids = matrix(found), found["id"].to_numpy()
+    q, point = matrix(asked), asked["point"].to_numpy()
     k = min(k, len(ids))
     parts = []
     for at in range(0, len(q), CHUNK):
@@ -86,66 +90,68 @@ def nearest(asked: pd.DataFrame, found: pd.DataFrame, cols: list[str], k: int) -
     return pd.concat(parts) if parts else pd.DataFrame({"point": [], "nn_id": [], "d2": []})
 
 
+PAIRS = "point bigint, nn_id bigint, d2 double"
+
+
 def nearest_neighbours(df: DataFrame, cols: list[str], k: int, row_id: str, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(row_id, rank 1..k, nn_id): the exact ``k`` nearest other rows by (distance, id)."""
-    base = df.select(F.col(row_id).cast("bigint").alias("id"), *[F.col(c).cast("double").alias(c) for c in cols])
-    same_point = Window.partitionBy(*cols).orderBy("id")
-    copies = base.withColumn("_copy", F.row_number().over(same_point)).filter(F.col("_copy") <= k + 1)
-    points = copies.withColumn("point", F.min("id").over(Window.partitionBy(*cols)))
+    # the coordinates travel as one array column, which is also the key of equal points
+    base = df.select(F.col(row_id).cast("bigint").alias("id"),
+                     F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
+    copies = (base.withColumn("_copy", F.row_number().over(Window.partitionBy("x").orderBy("id")))
+              .filter(F.col("_copy") <= k + 1).drop("_copy"))
+    points = copies.withColumn("point", F.min("id").over(Window.partitionBy("x")))
     n = copies.count()
     depth = min(int(math.log2(MAX_CELLS)), max(0, math.ceil(math.log2(max(1, n / cell_rows)))))
-    sample = copies.select(*cols).sample(min(1.0, (2 ** depth) * SAMPLE_PER_CELL * 4 / max(n, 1)), seed=11)
-    nodes = kd_splits(sample.toPandas().to_numpy(dtype=float), depth) if depth else []
-
-    home = F.lit(0)
-    if nodes:
-        home = _home_cell(nodes, cols)
-    placed = points.withColumn("cell", home)
-    asked = placed.filter(F.col("id") == F.col("point"))
-    pairs = "point bigint, nn_id bigint, d2 double"
+    nodes: list[tuple[int, float]] = []
+    if depth:
+        share = min(1.0, (2 ** depth) * SAMPLE_PER_CELL * 4 / n)
+        nodes = kd_splits(matrix(copies.select("x").sample(share, seed=11).toPandas()), depth)
+    placed = points.withColumn("cell", _home_cell(nodes) if nodes else F.lit(0))
 
     def own(cell: pd.DataFrame) -> pd.DataFrame:
-        return nearest(cell[cell["id"] == cell["point"]], cell, cols, k + 1)
+        return nearest(cell[cell["id"] == cell["point"]], cell, k + 1)
 
-    local = placed.groupBy("cell").applyInPandas(own, pairs)
+    answers = placed.groupBy("cell").applyInPandas(own, PAIRS)
     if nodes:
-        bound = local.groupBy("point").agg(F.max("d2").alias("far"), F.count(F.lit(1)).alias("m"))
+        # read by two branches: stage it, so that cells are searched once
+        answers = staged(answers)
+        bound = answers.groupBy("point").agg(F.max("d2").alias("far"), F.count(F.lit(1)).alias("m"))
         reach = F.when(F.col("m") > k, F.col("far")).otherwise(F.lit(float("inf")))
-        balls = asked.join(bound.select("point", reach.alias("far")), "point").select("point", "cell", *cols, "far")
-        schema = T.StructType([*[f for f in balls.schema.fields if f.name != "far"]])
+        asked = placed.filter(F.col("id") == F.col("point"))
+        balls = asked.join(bound.select("point", reach.alias("far")), "point").select("point", "cell", "x", "far")
 
         def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 b = b.reset_index(drop=True)
                 radius = np.nextafter(np.sqrt(b["far"].to_numpy()), np.inf)
-                for cell, rows in cells_in_reach(nodes, b[cols].to_numpy(), radius):
-                    rows = rows[b["cell"].to_numpy()[rows] != cell]
-                    yield b.iloc[rows][["point", "cell", *cols]].assign(cell=cell)
+                home = b["cell"].to_numpy()
+                for cell, rows in cells_in_reach(nodes, matrix(b), radius):
+                    rows = rows[home[rows] != cell]
+                    yield b.iloc[rows][["point", "x"]].assign(cell=cell)
 
-        guests = balls.mapInPandas(visit, schema)
-        far = _ask_cells(guests, placed, cols, k, pairs, cell_rows)
-        local = local.unionByName(far)
+        guests = balls.mapInPandas(visit, "point bigint, x array<double>, cell int")
+        answers = answers.unionByName(_ask_cells(guests, placed, k, cell_rows))
     # per point: k + 1 answers from its own cell and from each cell it reached
     best = Window.partitionBy("point").orderBy("d2", "nn_id")
-    merged = local.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k + 1)
-    every = base.join(asked.select("point", *cols), cols).select("id", "point")
+    merged = answers.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k + 1)
+    every = base.join(points.filter(F.col("id") == F.col("point")).select("point", "x"), "x").select("id", "point")
     others = every.join(merged, "point").filter(F.col("nn_id") != F.col("id"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("d2", "nn_id"))
     return (others.withColumn("rank", rank).filter(F.col("rank") <= k)
             .select(F.col("id").alias(row_id), "rank", "nn_id"))
 
 
-def _home_cell(nodes: list[tuple[int, float]], cols: list[str]):
+def _home_cell(nodes: list[tuple[int, float]]) -> Column:
     """Cell of a point: one comparison per level, looked up in the split table."""
     axes = F.from_json(F.lit(str([a for a, _ in nodes])), "array<int>")
     cuts = F.from_json(F.lit("[" + ",".join(repr(c) for _, c in nodes) + "]"), "array<double>")
     depth = (len(nodes) + 1).bit_length() - 1
-    point = F.array(*[F.col(c) for c in cols])
-    down = lambda i, _: F.when(F.get(point, F.get(axes, i)) < F.get(cuts, i), 2 * i + 1).otherwise(2 * i + 2)
+    down = lambda i, _: F.when(F.get("x", F.get(axes, i)) < F.get(cuts, i), 2 * i + 1).otherwise(2 * i + 2)
     return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), down) - len(nodes)
 
 
-def _ask_cells(guests: DataFrame, placed: DataFrame, cols: list[str], k: int, pairs: str, cell_rows: int) -> DataFrame:
+def _ask_cells(guests: DataFrame, placed: DataFrame, k: int, cell_rows: int) -> DataFrame:
     """Answers of the reached cells; a cell asked by many points is copied so that its guests are split."""
     crowd = guests.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(20 * cell_rows)).cast("int").alias("copies"))
     salt = F.pmod(F.hash("point"), F.col("copies"))
@@ -154,9 +160,9 @@ def _ask_cells(guests: DataFrame, placed: DataFrame, cols: list[str], k: int, pa
              .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies"))
 
     def answer(g: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        return nearest(g, c, cols, k + 1)
+        return nearest(g, c, k + 1)
 
-    return left.groupBy("cell", "salt").cogroup(right.groupBy("cell", "salt")).applyInPandas(answer, pairs)
+    return left.groupBy("cell", "salt").cogroup(right.groupBy("cell", "salt")).applyInPandas(answer, PAIRS)
 
 
 def smote(df: DataFrame, cols: list[str], k: int = 5, seed: int = 42, label: str = C.TARGET,
