@@ -77,15 +77,18 @@ def trend_label(delta: Column) -> Column:
 
 def uniform(id_col: str, salt: str, seed: int = 42) -> Column:
     """Uniform in [0, 1) keyed by row id: the same value under any partitioning or retry."""
-    digest = F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(salt), F.lit(str(seed))))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+    return F.expr(_uniform(id_col, salt, seed))
+
+
+def _uniform(id_col: str, salt: str, seed: int) -> str:
+    return (f"cast(conv(substr(md5(concat_ws('|', cast({id_col} as string), '{salt}', '{seed}')), 1, 8), 16, 10)"
+            " as bigint) / 4294967296e0")
 
 
 def normal(id_col: str, salt: str, seed: int = 42) -> Column:
     """Standard normal keyed by row id (Box-Muller over two uniforms)."""
-    u1 = uniform(id_col, salt + "-a", seed)
-    u2 = uniform(id_col, salt + "-b", seed)
-    return F.sqrt(-2 * F.log(1 - u1)) * F.cos(2 * F.pi() * u2)
+    u1, u2 = _uniform(id_col, salt + "-a", seed), _uniform(id_col, salt + "-b", seed)
+    return F.expr(f"sqrt(-2 * ln(1 - {u1})) * cos(2 * pi() * ({u2}))")
 
 
 def rounded(cols: list[str], digits: int = 6) -> list[Column]:

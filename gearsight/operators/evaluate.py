@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from gearsight.functions import constants as C
 from gearsight.functions import expressions as X
-from gearsight.operators.ordering import Order
+from gearsight.operators.ordering import Order, Series
 from gearsight.operators.split import thin
-from gearsight.operators.stats import with_stats
+from gearsight.sources.staging import staged
 
 
 def score_groups(df: DataFrame, score: str = "score", label: str = C.TARGET, by: list[str] | None = None) -> DataFrame:
@@ -18,38 +18,43 @@ def score_groups(df: DataFrame, score: str = "score", label: str = C.TARGET, by:
         F.sum(F.col(label).cast("bigint")).alias("pos"), F.sum((1 - F.col(label)).cast("bigint")).alias("neg"))
 
 
-def cumulative(groups: DataFrame) -> tuple[DataFrame, int]:
-    """True and false positives when everything at or above a threshold is called positive."""
-    ranked = groups.withColumn("_desc", -F.col("threshold"))
-    order = Order(ranked, ["_desc"])
-    out = order.with_running_sums({"tp": "pos", "fp": "neg"})
-    out = with_stats(out, {"p": F.max("tp"), "n": F.max("fp")}).withColumns(
-        {"n_pos": F.col("_stats.p"), "n_neg": F.col("_stats.n")})
-    return out.drop("_stats"), order.n_rows
+def cumulative(df: DataFrame, score: str = "score", label: str = C.TARGET, by: list[str] | None = None) -> DataFrame:
+    """True and false positives when everything at or above a threshold is called positive.
 
+    The counts per score are staged: scoring the rows is the expensive part and happens once.
+    """
+    by = by or []
+    groups = staged(score_groups(df, score, label, by)).withColumn("_desc", -F.col("threshold"))
+    out = Series(groups, by, ["_desc"]).running_sums(groups, {"tp": "pos", "fp": "neg"})
+    totals = groups.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    if by:
+        return out.join(totals, by)
+    both = totals.select(F.struct("n_pos", "n_neg")).scalar()
+    return out.withColumn("_t", both).withColumns({"n_pos": F.col("_t.n_pos"), "n_neg": F.col("_t.n_neg")}).drop("_t")
 
-def pr_curve(df: DataFrame, score: str = "score", label: str = C.TARGET) -> DataFrame:
-    """Precision and recall at every distinct score."""
-    points, _ = cumulative(score_groups(df, score, label))
-    return points.select("threshold", "tp", "fp",
+
+def pr_curve(df: DataFrame, score: str = "score", label: str = C.TARGET, by: list[str] | None = None) -> DataFrame:
+    """Precision and recall at every distinct score (per ``by`` group)."""
+    points = cumulative(df, score, label, by)
+    return points.select(*(by or []), "threshold", "tp", "fp",
                          X.ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
                          F.coalesce(X.ratio(F.col("tp"), F.col("n_pos")), F.lit(0.0)).alias("recall"))
 
 
 def roc_curve(df: DataFrame, score: str = "score", label: str = C.TARGET, points: int | None = None) -> DataFrame:
     """False and true positive rate at every distinct score (collinear points kept), optionally thinned."""
-    curve, n = cumulative(score_groups(df, score, label))
+    curve = cumulative(df, score, label)
     out = curve.select("threshold", "_desc", X.ratio(F.col("fp"), F.col("n_neg")).alias("fpr"),
                        X.ratio(F.col("tp"), F.col("n_pos")).alias("tpr"))
     if points is None:
         return out.drop("_desc")
-    placed = Order(out, ["_desc"]).with_position("position")
-    return thin(placed, "position", n, points).drop("_desc")
+    order = Order(out, ["_desc"])
+    return thin(order.with_position("position"), "position", order.n_rows, points).drop("_desc")
 
 
-def roc_auc(df: DataFrame, score: str = "score", label: str = C.TARGET, by: list[str] | None = None) -> DataFrame:
+def roc_auc(df: DataFrame, score: str = "score", label: str = C.TARGET) -> DataFrame:
     """Probability that a failure outranks a healthy row, ties counting half."""
-    points, _ = cumulative(score_groups(df, score, label))
+    points = cumulative(df, score, label)
     wins = F.col("pos") * (F.col("n_neg") - F.col("fp")) + F.col("pos") * F.col("neg") / 2
     return points.agg(X.ratio(F.sum(wins), F.max("n_pos").cast("double") * F.max("n_neg")).alias("roc_auc"))
 

@@ -26,22 +26,25 @@ def inject_noise(df: DataFrame, cols: list[str], level: float, seed: int = 42, r
     }).drop("_stats")
 
 
-def robustness_report(df: DataFrame, cols: list[str], score: Callable[[DataFrame], DataFrame], threshold: float,
-                      tiers: list[tuple[str, float]] = C.NOISE_TIERS, seed: int = 42) -> DataFrame:
-    """Metrics per noise tier with a frozen scorer and threshold; every tier is one pass."""
+def noisy_scores(df: DataFrame, cols: list[str], score: Callable[[DataFrame], DataFrame],
+                 tiers: list[tuple[str, float]], seed: int) -> DataFrame:
+    """(tier, noise_level, label, score) of all tiers; only these columns survive to the shuffle."""
     out = None
     for name, level in tiers:
-        scored = score(inject_noise(df, cols, level, seed))
-        row = binary_metrics(scored, threshold).select(
-            F.lit(name).alias("tier"), F.lit(level).alias("noise_level"), "accuracy", "precision", "recall", "f1")
-        out = row if out is None else out.unionByName(row)
+        part = score(inject_noise(df, cols, level, seed)).select(
+            F.lit(name).alias("tier"), F.lit(level).alias("noise_level"), C.TARGET, "score")
+        out = part if out is None else out.unionByName(part)
     return out
 
 
+def robustness_report(df: DataFrame, cols: list[str], score: Callable[[DataFrame], DataFrame], threshold: float,
+                      tiers: list[tuple[str, float]] = C.NOISE_TIERS, seed: int = 42) -> DataFrame:
+    """Metrics per noise tier with a frozen scorer and threshold; all tiers in one aggregation."""
+    rows = noisy_scores(df, cols, score, tiers, seed)
+    return binary_metrics(rows, threshold, by=["tier", "noise_level"]).select(
+        "tier", "noise_level", "accuracy", "precision", "recall", "f1")
+
+
 def noise_pr_curves(df: DataFrame, cols: list[str], score: Callable[[DataFrame], DataFrame],
                     tiers: list[tuple[str, float]] = C.NOISE_TIERS, seed: int = 42) -> DataFrame:
-    out = None
-    for name, level in tiers:
-        curve = pr_curve(score(inject_noise(df, cols, level, seed))).withColumn("tier", F.lit(name))
-        out = curve if out is None else out.unionByName(curve)
-    return out
+    return pr_curve(noisy_scores(df, cols, score, tiers, seed), by=["tier"])

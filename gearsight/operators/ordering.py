@@ -14,6 +14,7 @@ second evaluation of the plan sees the same buckets.
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 from collections.abc import Callable
@@ -53,13 +54,14 @@ def _sort_key(df: DataFrame, name: str) -> Column:
 class Order:
     """A total order over ``keys`` (ascending, unique together), cut into balanced buckets."""
 
-    def __init__(self, df: DataFrame, keys: list[str], rows_per_bucket: int | None = None):
+    def __init__(self, df: DataFrame, keys: list[str], rows_per_bucket: int | None = None,
+                 n_rows: int | None = None):
         spark = df.sparkSession
         per = rows_per_bucket or _setting(spark, "rowsPerBucket", ROWS_PER_BUCKET)
         self.df, self.keys = df, list(keys)
         key_frame = df.select([_sort_key(df, k).alias(f"k{i}") for i, k in enumerate(keys)])
         self._key_type = key_frame.schema
-        self.n_rows = key_frame.count()
+        self.n_rows = key_frame.count() if n_rows is None else n_rows
         wanted = min(MAX_BUCKETS, math.ceil(self.n_rows / per)) if self.n_rows else 1
         self._splits = self._sample_splits(key_frame, wanted)
         self._counts: list[int] | None = [self.n_rows] if not self._splits else None
@@ -96,40 +98,37 @@ class Order:
     def _ordered(self) -> WindowSpec:
         return Window.partitionBy("_bucket").orderBy(*self.keys)
 
-    def _bucket_sums(self, value: Column) -> list:
-        """Total of ``value`` per bucket; at most MAX_BUCKETS numbers reach the driver."""
-        totals = (self.df.select(self.bucket().alias("_bucket"), value.alias("_v"))
-                  .groupBy("_bucket").agg(F.sum("_v").alias("s")).collect())
-        by = {r["_bucket"]: r["s"] for r in totals}
-        return [by.get(b) or 0 for b in range(self.n_buckets)]
-
-    def _offsets(self, sums: list, kind: str) -> Column:
-        run, out = 0, []
-        for s in sums:
-            out.append(run)
-            run += s
-        if len(out) == 1:
-            return F.lit(0).cast(kind)
-        return F.get(F.from_json(F.lit(json.dumps(out)), T.ArrayType(
-            T.LongType() if kind == "bigint" else T.DoubleType())), F.col("_bucket"))
+    def _bucket_sums(self, values: dict[str, Column]) -> dict[str, list[int]]:
+        """Totals per bucket in one pass; at most MAX_BUCKETS rows reach the driver."""
+        totals = (self.df.select(self.bucket().alias("_bucket"), *[v.alias(n) for n, v in values.items()])
+                  .groupBy("_bucket").agg(*[F.sum(n).alias(n) for n in values]).collect())
+        by = {r["_bucket"]: r for r in totals}
+        return {n: [by[b][n] or 0 if b in by else 0 for b in range(self.n_buckets)] for n in values}
+
+    @staticmethod
+    def _offsets(sums: list[int]) -> Column:
+        """What all earlier buckets add up to."""
+        before = [0, *itertools.accumulate(sums)][:-1]
+        if len(before) == 1:
+            return F.lit(0).cast("bigint")
+        return F.get(F.from_json(F.lit(json.dumps(before)), "array<bigint>"), F.col("_bucket"))
 
     def with_position(self, name: str = "position") -> DataFrame:
         """Global 0-based row number: offset of the bucket plus row number inside it."""
         if self._counts is None:
-            self._counts = self._bucket_sums(F.lit(1).cast("bigint"))
+            self._counts = self._bucket_sums({"n": F.lit(1).cast("bigint")})["n"]
         local = F.row_number().over(self._ordered()).cast("bigint") - 1
         return (self.df.withColumn("_bucket", self.bucket())
-                .withColumn(name, self._offsets(self._counts, "bigint") + local).drop("_bucket"))
+                .withColumn(name, self._offsets(self._counts) + local).drop("_bucket"))
 
     def with_running_sums(self, values: dict[str, str]) -> DataFrame:
         """Running sums of whole-number columns in key order: new name -> column."""
         out = self.df.withColumn("_bucket", self.bucket())
         upto = self._ordered().rowsBetween(Window.unboundedPreceding, 0)
-        cols = {}
-        for name, src in values.items():
-            sums = self._bucket_sums(F.col(src).cast("bigint")) if self._splits else [0]
-            cols[name] = self._offsets(sums, "bigint") + F.sum(F.col(src).cast("bigint")).over(upto)
-        return out.withColumns(cols).drop("_bucket")
+        whole = {name: F.col(src).cast("bigint") for name, src in values.items()}
+        sums = self._bucket_sums(whole) if self._splits else {name: [0] for name in whole}
+        return out.withColumns({name: self._offsets(sums[name]) + F.sum(v).over(upto)
+                                for name, v in whole.items()}).drop("_bucket")
 
 
 def global_index(df: DataFrame, keys: list[str], name: str = "position") -> DataFrame:
@@ -146,12 +145,14 @@ class Series:
         # one continuous stream has no other parallelism than its blocks, so these are smaller
         self.max_rows = max_rows or (_setting(spark, "maxSeriesRows", MAX_SERIES_ROWS) if series
                                      else _setting(spark, "maxStreamRows", MAX_STREAM_ROWS))
+        self.n_rows: int | None = None
         self.long = self._find_long(df)
 
     def _find_long(self, df: DataFrame) -> str:
         """'none', 'all', or 'some' (then the long series are listed)."""
         if not self.series:
-            return "all" if df.count() > self.max_rows else "none"
+            self.n_rows = df.count()
+            return "all" if self.n_rows > self.max_rows else "none"
         sizes = df.groupBy(*self.series).count().filter(F.col("count") > self.max_rows).select(*self.series)
         listed = sizes.limit(MAX_LONG_SERIES + 1).collect()
         if not listed:
@@ -178,7 +179,7 @@ class Series:
     def _blocks(self, df: DataFrame, lookback: int) -> DataFrame:
         """Equal blocks in key order; the last ``lookback`` rows of a block are repeated in the next one."""
         size = max(self.max_rows, 4 * lookback, 1)
-        placed = Order(df, self.series + self.order).with_position("_pos")
+        placed = Order(df, self.series + self.order, n_rows=self.n_rows).with_position("_pos")
         block = F.floor(F.col("_pos") / size)
         late = F.col("_pos") % size >= size - lookback
         homes = F.when(late, F.array(block, block + 1)).otherwise(F.array(block)) if lookback else F.array(block)
@@ -202,21 +203,28 @@ class Series:
         return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     def running_sum(self, df: DataFrame, value: str, name: str) -> DataFrame:
-        """Running sum of a whole-number column inside each series."""
+        return self.running_sums(df, {name: value})
+
+    def running_sums(self, df: DataFrame, values: dict[str, str]) -> DataFrame:
+        """Running sums of whole-number columns inside each series: new name -> column."""
         short, long = self._split(df)
-        total = F.sum(F.col(value).cast("bigint"))
+        totals = {name: F.sum(F.col(src).cast("bigint")) for name, src in values.items()}
+        upto = (Window.unboundedPreceding, 0)
         parts = []
         if short is not None:
-            parts.append(short.withColumn(name, total.over(self.window().rowsBetween(Window.unboundedPreceding, 0))))
+            w = self.window().rowsBetween(*upto)
+            parts.append(short.withColumns({name: t.over(w) for name, t in totals.items()}))
         if long is not None:
-            order = Order(long, self.series + self.order)
+            order = Order(long, self.series + self.order, n_rows=self.n_rows)
             cut = long.withColumn("_bucket", order.bucket())
-            carry = self._carry(cut, total.alias("_sum"), lambda w: F.sum("_sum").over(
-                w.rowsBetween(Window.unboundedPreceding, -1)), ["_bucket"])
-            local = total.over(self.window(["_bucket"]).rowsBetween(Window.unboundedPreceding, 0))
-            parts.append(self._join_carry(cut.withColumn("_local", local), carry)
-                         .withColumn(name, F.col("_local") + F.coalesce("_carry", F.lit(0)))
-                         .drop("_bucket", "_local", "_carry"))
+            before = lambda w: F.struct(*[F.sum(F.col(f"_sums.{n}")).over(
+                w.rowsBetween(Window.unboundedPreceding, -1)).alias(n) for n in totals])
+            carry = self._carry(cut, F.struct(*[t.alias(n) for n, t in totals.items()]).alias("_sums"), before, ["_bucket"])
+            w = self.window(["_bucket"]).rowsBetween(*upto)
+            local = cut.withColumns({f"_local_{n}": t.over(w) for n, t in totals.items()})
+            parts.append(self._join_carry(local, carry)
+                         .withColumns({n: F.col(f"_local_{n}") + F.coalesce(f"_carry.{n}", F.lit(0)) for n in totals})
+                         .drop("_bucket", "_carry", *[f"_local_{n}" for n in totals]))
         return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     def backfill(self, df: DataFrame, cols: list[str]) -> DataFrame:
@@ -228,7 +236,7 @@ class Series:
             w = self.window(descending=True).rowsBetween(*upto)
             parts.append(short.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols}))
         if long is not None:
-            order = Order(long, self.series + self.order)
+            order = Order(long, self.series + self.order, n_rows=self.n_rows)
             cut = long.withColumn("_bucket", order.bucket())
             w = self.window(["_bucket"], descending=True).rowsBetween(*upto)
             key = F.struct(*self.order)

@@ -188,7 +188,8 @@ def synthetic_rows(df: DataFrame, cols: list[str], k: int = 5, seed: int = 42, l
     if n_min < 2:
         raise ValueError("oversampling needs at least two minority rows")
     k = min(k, n_min - 1)
-    minority = df.filter(F.col(label) == 1).select(row_id, *[F.col(c).cast("double").alias(c) for c in cols])
+    # read many times by the neighbour search; the upstream features are computed once
+    minority = staged(df.filter(F.col(label) == 1).select(row_id, *[F.col(c).cast("double").alias(c) for c in cols]))
     neighbours = nearest_neighbours(minority, cols, k, row_id, cell_rows)
     placed = Order(minority, [row_id]).with_position("_pos")
     share, extra = divmod(n_new, n_min)

@@ -179,15 +179,17 @@ def right_closed_bin(col: Column, edges: list[float], include_lowest: bool = Fal
     return out
 
 
-def quantile_edges(df: DataFrame, col: str, n: int) -> list[float]:
-    qs = [i / n for i in range(n + 1)]
-    return sorted(set(quantiles(df, [col], qs)[(col,)].values()))
+def quantile_edges(df: DataFrame, cols: list[str], n: int) -> list[list[float]]:
+    """Distinct quantile edges of several columns from one pass."""
+    found = quantiles(df, cols, [i / n for i in range(n + 1)])
+    return [sorted(set(found[(c,)].values())) for c in cols]
 
 
 def interaction_grid(df: DataFrame, a: str, b: str, n: int = 5) -> DataFrame:
     """Failure rate per (quantile bin of a, quantile bin of b); empty cells are kept with a null rate."""
-    used = df.select(a, b, C.TARGET).dropna()
-    ea, eb = quantile_edges(used, a, n), quantile_edges(used, b, n)
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    used = df.select(F.when(both, F.col(a)).alias(a), F.when(both, F.col(b)).alias(b), C.TARGET)
+    ea, eb = quantile_edges(used, [a, b], n)
     cells = used.groupBy(right_closed_bin(F.col(a), ea, True).alias("bin_a"),
                          right_closed_bin(F.col(b), eb, True).alias("bin_b")).agg(
         F.count(F.lit(1)).alias("n"), (F.avg(C.TARGET) * 100).alias("failure_rate_pct"))

@@ -6,7 +6,7 @@ table as one continuous stream. Long series are cut into blocks (see ``ordering.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gearsight.functions import constants as C
@@ -138,12 +138,18 @@ CAUSAL_DERIVED = ([f"{c}_{s}_{n}" for n in C.WINDOWS for c in C.CORE_SIGNALS for
 
 def rolling_failures(df: DataFrame, n: int = 200, by: list[str] | None = None,
                      layout: Series | None = None) -> DataFrame:
-    """Failures among the last ``n`` rows: difference of two running counts, one step per row."""
+    """Failures among the last ``n`` rows: difference of two running counts, one step per row.
+
+    Inside a block the running count starts anywhere, which the difference cancels.
+    """
     layout = layout or series(df, by)
-    total = layout.running_sum(df, C.TARGET, "_run")
-    lagged = lambda rows, window: rows.withColumn(
-        "failure_rolling", F.col("_run") - F.coalesce(F.lag("_run", n).over(window()), F.lit(0)))
-    return layout.apply(total, n, lagged).drop("_run")
+
+    def count(rows, window):
+        run = F.sum(F.col(C.TARGET).cast("bigint")).over(window().rowsBetween(Window.unboundedPreceding, 0))
+        return rows.withColumn("_run", run).withColumn(
+            "failure_rolling", F.col("_run") - F.coalesce(F.lag("_run", n).over(window()), F.lit(0)))
+
+    return layout.apply(df, n, count).drop("_run")
 
 
 def lag_pairs(df: DataFrame, cols: list[str], lags: tuple[int, ...] = (1, 2), by: list[str] | None = None,

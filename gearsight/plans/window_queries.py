@@ -149,7 +149,8 @@ def causal_sql(source: str = "instant") -> str:
 
 @query("causal_features", causal_sql())
 def causal_features(spark, d):
-    out = W.causal_features(instant(spark, d))
+    layout = W.series(S.telemetry(spark, d))  # the joined context does not change how long the series are
+    out = W.causal_features(instant(spark, d), layout=layout)
     return out.select("event_id", "machine_id", "readings_seen", *X.rounded(W.CAUSAL_DERIVED, 4))
 
 
