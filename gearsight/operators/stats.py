@@ -54,24 +54,24 @@ def quantiles(df: DataFrame, cols: list[str], qs: list[float], by: list[str] | N
 
 def _bracketed(long: DataFrame, keys: list[str], qs: list[float], limit: int) -> dict[tuple, dict[float, float]]:
     spark = long.sparkSession
-    sizes = long.groupBy(*keys).agg(F.count("value").alias("n"), F.min("value").alias("lo"),
-                                    F.max("value").alias("hi")).collect()
+    sizes = long.groupBy(*keys).agg(F.count("value").alias("_n"), F.min("value").alias("_lo"),
+                                    F.max("value").alias("_hi")).collect()
     # a target is one (group, q): wanted rank, bracket [lo, hi], rows below lo, rows inside
-    targets = [{"key": tuple(r[k] for k in keys), "q": float(q), "rank": q * (r["n"] - 1), "lo": r["lo"],
-                "hi": r["hi"], "below": 0, "inside": r["n"], "done": False} for r in sizes for q in qs]
+    targets = [{"key": tuple(r[k] for k in keys), "q": float(q), "rank": q * (r["_n"] - 1), "lo": r["_lo"],
+                "hi": r["_hi"], "below": 0, "inside": r["_n"], "done": False} for r in sizes for q in qs]
 
     def inside(live: list[dict]) -> DataFrame:
         """Rows inside the bracket of each live target; the target list is (groups x quantiles) rows."""
         table = spark.createDataFrame([(*t["key"], t["q"], t["lo"], t["hi"]) for t in live],
-                                      [*(f"_k{i}" for i in range(len(keys))), "q", "lo", "hi"])
+                                      [*(f"_k{i}" for i in range(len(keys))), "_q", "_lo", "_hi"])
         same = [long[k].eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
         return (long.join(F.broadcast(table), same)
-                .filter((F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi"))))
+                .filter((F.col("value") >= F.col("_lo")) & (F.col("value") <= F.col("_hi"))))
 
     while live := [t for t in targets if t["inside"] > limit and not t["done"]]:
         points = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
-        grids = {(*(r[k] for k in keys), r["q"]): r["g"] for r in inside(live).groupBy(*keys, "q").agg(
-            F.percentile_approx("value", points, 20 * GRID).alias("g")).collect()}
+        grids = {(*(r[k] for k in keys), r["_q"]): r["_g"] for r in inside(live).groupBy(*keys, "_q").agg(
+            F.percentile_approx("value", points, 20 * GRID).alias("_g")).collect()}
         moved = []
         for t in live:
             grid = grids[(*t["key"], t["q"])]
@@ -79,36 +79,36 @@ def _bracketed(long: DataFrame, keys: list[str], qs: list[float], limit: int) ->
             lo, hi = grid[max(at - 1, 0)], grid[min(at + 3, GRID)]
             t["done"] = (lo, hi) == (t["lo"], t["hi"]) or lo == hi
             moved.append({**t, "lo": lo, "hi": hi, "old": t})
-        counts = {(*(r[k] for k in keys), r["q"]): r for r in inside(live).join(
+        counts = {(*(r[k] for k in keys), r["_q"]): r for r in inside(live).join(
             F.broadcast(spark.createDataFrame([(*m["key"], m["q"], m["lo"], m["hi"]) for m in moved],
-                                              [*(f"_n{i}" for i in range(len(keys))), "nq", "nlo", "nhi"])),
-            [F.col(f"_n{i}").eqNullSafe(long[k]) for i, k in enumerate(keys)] + [F.col("nq") == F.col("q")])
-            .groupBy(*keys, "q").agg(F.count_if(F.col("value") < F.col("nlo")).alias("below"),
-                                     F.count_if(F.col("value").between(F.col("nlo"), F.col("nhi"))).alias("inside"))
+                                              [*(f"_n{i}" for i in range(len(keys))), "_nq", "_nlo", "_nhi"])),
+            [F.col(f"_n{i}").eqNullSafe(long[k]) for i, k in enumerate(keys)] + [F.col("_nq") == F.col("_q")])
+            .groupBy(*keys, "_q").agg(F.count_if(F.col("value") < F.col("_nlo")).alias("_below"),
+                                     F.count_if(F.col("value").between(F.col("_nlo"), F.col("_nhi"))).alias("_inside"))
             .collect()}
         for m in moved:
             c, t = counts[(*m["key"], m["q"])], m["old"]
-            below = t["below"] + c["below"]
+            below = t["below"] + c["_below"]
             # the sketch is approximate: keep the old bracket when the new one misses the wanted ranks
-            if below <= int(t["rank"]) and below + c["inside"] > min(int(t["rank"]) + 1, below + t["inside"] - 1):
-                t.update(lo=m["lo"], hi=m["hi"], below=below, inside=c["inside"])
+            if below <= int(t["rank"]) and below + c["_inside"] > min(int(t["rank"]) + 1, t["below"] + t["inside"] - 1):
+                t.update(lo=m["lo"], hi=m["hi"], below=below, inside=c["_inside"])
             else:
                 t["done"] = True
 
-    per_value = inside(targets).groupBy(*keys, "q", "value").count()
-    w = Window.partitionBy(*keys, "q").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    per_value = inside(targets).groupBy(*keys, "_q", "value").count()
+    w = Window.partitionBy(*keys, "_q").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     ranks = spark.createDataFrame([(*t["key"], t["q"], float(t["rank"]), t["below"]) for t in targets],
-                                  [*(f"_r{i}" for i in range(len(keys))), "rq", "rank", "below"])
-    placed = per_value.withColumn("upto", F.sum("count").over(w)).join(
+                                  [*(f"_r{i}" for i in range(len(keys))), "_rq", "_rank", "_below"])
+    placed = per_value.withColumn("_upto", F.sum("count").over(w)).join(
         F.broadcast(ranks),
-        [F.col(f"_r{i}").eqNullSafe(per_value[k]) for i, k in enumerate(keys)] + [F.col("rq") == F.col("q")])
-    low = F.floor("rank") - F.col("below")
-    rows = placed.groupBy(*keys, "q").agg(
-        F.min(F.when(F.col("upto") > low, F.col("value"))).alias("a"),
-        F.min(F.when(F.col("upto") > low + 1, F.col("value"))).alias("b"),
-        F.first(F.col("rank") - F.floor("rank")).alias("part")).collect()
+        [F.col(f"_r{i}").eqNullSafe(per_value[k]) for i, k in enumerate(keys)] + [F.col("_rq") == F.col("_q")])
+    low = F.floor("_rank") - F.col("_below")
+    rows = placed.groupBy(*keys, "_q").agg(
+        F.min(F.when(F.col("_upto") > low, F.col("value"))).alias("_a"),
+        F.min(F.when(F.col("_upto") > low + 1, F.col("value"))).alias("_b"),
+        F.first(F.col("_rank") - F.floor("_rank")).alias("_part")).collect()
     out: dict[tuple, dict[float, float]] = {}
     for r in rows:
-        upper = r["a"] if r["b"] is None else r["b"]
-        out.setdefault(tuple(r[k] for k in keys), {})[r["q"]] = r["a"] + (upper - r["a"]) * r["part"]
+        upper = r["_a"] if r["_b"] is None else r["_b"]
+        out.setdefault(tuple(r[k] for k in keys), {})[r["_q"]] = r["_a"] + (upper - r["_a"]) * r["_part"]
     return out

@@ -3,13 +3,12 @@
 from pyspark.sql import functions as F
 
 from gearsight.functions import constants as C
-from gearsight.functions import expressions as X
 from gearsight.operators import fleet as FL
 from gearsight.operators import split as SP
 from gearsight.operators import windows as W
 from gearsight.plans.feature_queries import fused
 from gearsight.plans.registry import query
-from gearsight.plans.window_queries import STREAM
+from gearsight.plans.window_queries import STREAM, rounded_causal
 from gearsight.sources import telemetry as S
 
 
@@ -193,7 +192,7 @@ def _whatif_sql(session: str) -> str:
             agg.append(f"round(coalesce(max({c}) FILTER (WHERE age = {k}), max({c}) FILTER (WHERE age = 0)), 4) AS {c}_lag_{k}")
     for c in ("torque", "rpm", "power", "tool_wear", "temp_diff"):
         mean, sd = f"avg({c}) FILTER (WHERE age < 15)", f"stddev_pop({c}) FILTER (WHERE age < 15)"
-        agg.append(f"round(CASE WHEN {sd} > 1e-6 THEN (max({c}) FILTER (WHERE age = 0) - {mean}) / {sd} ELSE 0 END, 4) AS {c}_zscore")
+        agg.append(f"round(CASE WHEN {sd} > 1e-6 THEN (max({c}) FILTER (WHERE age = 0) - {mean}) / {sd} ELSE 0 END, 9) AS {c}_zscore")
     for c in ("type_code", *C.RISK_FLAGS):
         agg.append(f"max({c}) FILTER (WHERE age = 0) AS {c}")
     return f"""WITH newest AS (SELECT *, row_number() OVER ({NEWEST}) AS i FROM telemetry),
@@ -230,7 +229,7 @@ def _whatif(spark, d, session):
     rows = S.telemetry(spark, d)
     out = FL.whatif_features(what_ifs(rows), rows, session)
     return out.select("whatif_id", "type_code", *C.RISK_FLAGS, "readings_seen", "history_rows", "cold_start_warning",
-                      "borrow_ts_found", *X.rounded(W.CAUSAL_DERIVED, 4))
+                      "borrow_ts_found", *rounded_causal())
 
 
 @query("whatif_features", _whatif_sql("machine"))

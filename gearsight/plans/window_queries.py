@@ -142,16 +142,22 @@ def causal_sql(source: str = "instant") -> str:
     f = frame(BY_MACHINE, 15)
     for c in ("torque", "rpm", "power", "tool_wear", "temp_diff"):
         parts.append(f"round(CASE WHEN stddev_pop({c}) {f} > 1e-6 THEN ({c} - avg({c}) {f}) / (stddev_pop({c}) {f}) "
-                     f"ELSE 0 END, 4) AS {c}_zscore")
+                     f"ELSE 0 END, 9) AS {c}_zscore")
     parts.append(f"CAST(least(row_number() OVER ({BY_MACHINE}), 30) AS INTEGER) AS readings_seen")
     return f"SELECT {', '.join(parts)} FROM {source}"
 
 
+def rounded_causal():
+    """z-scores are small ratios that may end exactly on a fifth digit, so they keep more digits."""
+    z = [c for c in W.CAUSAL_DERIVED if c.endswith("_zscore")]
+    return [*X.rounded([c for c in W.CAUSAL_DERIVED if c not in z], 4), *X.rounded(z, 9)]
+
+
 @query("causal_features", causal_sql())
 def causal_features(spark, d):
     layout = W.series(S.telemetry(spark, d))  # the joined context does not change how long the series are
     out = W.causal_features(instant(spark, d), layout=layout)
-    return out.select("event_id", "machine_id", "readings_seen", *X.rounded(W.CAUSAL_DERIVED, 4))
+    return out.select("event_id", "machine_id", "readings_seen", *rounded_causal())
 
 
 @query("rolling_failures", f"""SELECT event_id, CAST(sum(machine_failure) OVER ({STREAM}
