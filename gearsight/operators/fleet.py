@@ -169,6 +169,7 @@ def borrowed_history(what_if: DataFrame, history: DataFrame, session: str = "mac
     asked = what_if.filter(F.col("borrow_ts").isNotNull())
     exists = history.select("machine_id", F.col("ts").alias("borrow_ts")).distinct()
     found = asked.join(exists, ["machine_id", "borrow_ts"], "left_semi").select("whatif_id", "machine_id", "borrow_ts")
+    history = history.join(found.select("machine_id").distinct(), "machine_id", "left_semi")
     rows = history.select("machine_id", "ts", F.lit(1).alias("_real"), F.col("event_id").alias("_id"),
                           "event_id", *C.SENSORS, "type")
     marks = found.select("machine_id", F.col("borrow_ts").alias("ts"), F.lit(0).alias("_real"),

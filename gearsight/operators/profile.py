@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gearsight.functions import constants as C
@@ -236,17 +236,12 @@ def histogram(df: DataFrame, col: str, bins: int, lo: float, hi: float) -> DataF
     used = df.filter(F.col(col).between(lo, hi))
     counts = used.groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     frame = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    total = F.sum("n").over(_whole())
+    total = counts.agg(F.sum("n")).scalar()
     return (frame.join(counts, "bin", "left").fillna(0, ["n"])
             .select("bin", (lo + F.col("bin") * width).alias("lo"), (lo + (F.col("bin") + 1) * width).alias("hi"), "n",
                     X.ratio(F.col("n"), total * width).alias("density")))
 
 
-def _whole():
-    """Window over a report table (tens of rows, never the data)."""
-    return Window.partitionBy(F.lit(0))
-
-
 def cycle_risk_class(failures: Column) -> Column:
     return F.when(failures > 5, "high").when(failures > 2, "medium").otherwise("low")
 

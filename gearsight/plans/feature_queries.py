@@ -10,6 +10,7 @@ from gearsight.operators import fusion as FU
 from gearsight.plans.registry import query
 from gearsight.sources import io
 from gearsight.sources import telemetry as S
+from gearsight.sources.staging import scratch
 
 
 @query("scan_telemetry", """SELECT event_id, machine_id, type, air_temp, process_temp, rpm, torque, tool_wear,
@@ -25,6 +26,14 @@ def replay_source(spark, d):
         "event_id", "tool_wear", C.TARGET, "machine_failure_label", *[f"{m}_label" for m in C.MODES])
 
 
+@query("stage_round_trip", "SELECT event_id, type, round(power, 6) AS power, machine_failure FROM physics")
+def stage_round_trip(spark, d):
+    path = scratch(spark, "stage")
+    rows = FE.physics_features(S.telemetry(spark, d)).withColumn("day", F.to_date("ts"))
+    io.write_stage(rows, path, ["day"])
+    return io.read_telemetry(spark, path).select("event_id", "type", F.round("power", 6).alias("power"), C.TARGET)
+
+
 @query("clean", """SELECT event_id, CASE type WHEN 'L' THEN 0 WHEN 'M' THEN 1 WHEN 'H' THEN 2 END AS type_code,
   air_temp, process_temp, rpm, torque, tool_wear, machine_failure FROM telemetry""")
 def clean(spark, d):

@@ -129,3 +129,32 @@ def test_stage_partitions_prune(spark, rows, tmp_path):
 def test_report_round_trip(spark, tmp_path):
     io.write_report(spark.createDataFrame([("a", 1.5)], "metric string, value double"), str(tmp_path / "r"))
     assert spark.read.json(str(tmp_path / "r")).first()["value"] == 1.5
+
+
+def test_insight_bundle(spark, rows, model, tmp_path):
+    from gearsight.operators.fusion import synthetic_context
+    from gearsight.plans.insights import global_insights, write_insights
+    reports = global_insights(synthetic_context(S.rule_score(rows)), model)
+    write_insights(reports, str(tmp_path))
+    assert set(reports) == {"metrics", "roc_auc", "roc_curve", "probability_histogram", "failure_type_counts",
+                            "score_spread", "env_correlation", "feature_importance"}
+    assert sum(r["n"] for r in spark.read.json(str(tmp_path / "probability_histogram")).collect()) == 1000
+
+
+def test_reason_from_driver(spark):
+    from gearsight.operators.fleet import explain_reason
+    df = spark.createDataFrame([(0, 1, 0, 1, "torque"), (0, 0, 0, 0, "tool_wear_zscore"), (0, 0, 0, 0, "rpm_mean_5"),
+                                (0, 0, 0, 0, None), (0, 0, 0, 0, "power_per_temp")],
+                               "twf_risk_flag int, hdf_risk_flag int, pwf_risk_flag int, osf_risk_flag int, top string")
+    got = [(r["primary_reason"], r["recommended_action"], r["active_risk_flags"]) for r in explain_reason(df, "top").collect()]
+    assert got[0] == (C.REASONS["hdf_risk_flag"], C.ACTIONS["hdf_risk_flag"], ["hdf_risk_flag", "osf_risk_flag"])
+    assert got[1][1] == C.ACTIONS["tool_wear"] and "'tool_wear_zscore'" in got[1][0]
+    assert got[2][1] == C.NO_ACTION and got[3][:2] == (C.NOMINAL_REASON, C.NOMINAL_ACTION)
+    assert got[4][1] == C.ACTIONS["power"]
+
+
+def test_checkpoint_folder_comes_from_the_session(spark):
+    from gearsight.sources.staging import scratch, shared_dir
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert spark.conf.get("spark.checkpoint.dir").split(":")[-1] in spark.sparkContext.getCheckpointDir()
+    assert scratch(spark, "x").startswith(shared_dir(spark))
