@@ -15,9 +15,7 @@ from gearsight.operators.stats import with_stats
 
 def inject_noise(df: DataFrame, cols: list[str], level: float, seed: int = 42, row_id: str = "event_id") -> DataFrame:
     """Add Gaussian noise of ``level`` x column sd. Draws are keyed by row id and column."""
-    missing = [c for c in cols if c not in df.columns]
-    if missing:
-        raise KeyError(f"columns not found: {missing}")
+    _require(df, cols)
     if level == 0:
         return df
     out = with_stats(df, {c: F.stddev_samp(c) for c in cols})
@@ -28,13 +26,23 @@ def inject_noise(df: DataFrame, cols: list[str], level: float, seed: int = 42, r
 
 def noisy_scores(df: DataFrame, cols: list[str], score: Callable[[DataFrame], DataFrame],
                  tiers: list[tuple[str, float]], seed: int) -> DataFrame:
-    """(tier, noise_level, label, score) of all tiers; only these columns survive to the shuffle."""
-    out = None
-    for name, level in tiers:
-        part = score(inject_noise(df, cols, level, seed)).select(
-            F.lit(name).alias("tier"), F.lit(level).alias("noise_level"), C.TARGET, "score")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """(tier, noise_level, label, score) of all tiers from one scan: the draws of a row are made once and
+    scaled per tier. Only these columns survive to the shuffle."""
+    _require(df, cols)
+    drawn = with_stats(df, {c: F.stddev_samp(c) for c in cols}).withColumns(
+        {f"_z_{c}": X.normal("event_id", f"noise-{c}", seed) for c in cols})
+    levels = F.array(*[F.struct(F.lit(n).alias("tier"), F.lit(float(v)).alias("level")) for n, v in tiers])
+    level = F.col("_tier.level")
+    noisy = drawn.withColumn("_tier", F.explode(levels)).withColumns({
+        c: F.when(level == 0, F.col(c)).otherwise(F.col(c) + level * F.col(f"_stats.{c}") * F.col(f"_z_{c}")) for c in cols})
+    return score(noisy.drop("_stats", *[f"_z_{c}" for c in cols])).select(
+        F.col("_tier.tier").alias("tier"), F.col("_tier.level").alias("noise_level"), C.TARGET, "score")
+
+
+def _require(df: DataFrame, cols: list[str]) -> None:
+    missing = [c for c in cols if c not in df.columns]
+    if missing:
+        raise KeyError(f"columns not found: {missing}")
 
 
 def robustness_report(df: DataFrame, cols: list[str], score: Callable[[DataFrame], DataFrame], threshold: float,

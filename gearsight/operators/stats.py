@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUANTILE_ROWS = 5_000_000
-GRID = 256
+QUANTILE_ROWS = 500_000
+GRID = 1024
 
 
 def with_stats(df: DataFrame, stats: dict[str, Column], name: str = "_stats") -> DataFrame:
@@ -69,12 +69,16 @@ def _bracketed(long: DataFrame, keys: list[str], qs: list[float], limit: int) ->
                 .filter((F.col("value") >= F.col("_lo")) & (F.col("value") <= F.col("_hi"))))
 
     while live := [t for t in targets if t["inside"] > limit and not t["done"]]:
-        points = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
-        grids = {(*(r[k] for k in keys), r["_q"]): r["_g"] for r in inside(live).groupBy(*keys, "_q").agg(
-            F.percentile_approx("value", points, 20 * GRID).alias("_g")).collect()}
+        # targets in the same bracket (all of a column at first) share one sketch
+        shared = {}
+        for t in live:
+            shared.setdefault((t["key"], t["lo"], t["hi"]), t)
+        points = F.expr("array(" + ", ".join(f"{i / GRID!r}D" for i in range(GRID + 1)) + ")")
+        grids = {(*(r[k] for k in keys), r["_q"]): r["_g"] for r in inside(list(shared.values())).groupBy(
+            *keys, "_q").agg(F.percentile_approx("value", points, 20 * GRID).alias("_g")).collect()}
         moved = []
         for t in live:
-            grid = grids[(*t["key"], t["q"])]
+            grid = grids[(*t["key"], shared[(t["key"], t["lo"], t["hi"])]["q"])]
             at = int((t["rank"] - t["below"]) / t["inside"] * GRID)
             lo, hi = grid[max(at - 1, 0)], grid[min(at + 3, GRID)]
             t["done"] = (lo, hi) == (t["lo"], t["hi"]) or lo == hi
