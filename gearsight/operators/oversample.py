@@ -25,7 +25,8 @@ from gearsight.sources.staging import staged
 
 CELL_ROWS = 2_000
 MAX_CELLS = 16_384
-SAMPLE_PER_CELL = 30
+SAMPLE_PER_CELL = 100
+MAX_SAMPLE_VALUES = 20_000_000
 COPIES_PER_TASK_ROW = 100_000
 CHUNK = 256
 
@@ -46,8 +47,10 @@ def kd_splits(points: np.ndarray, depth: int) -> list[tuple[int, float]]:
     return nodes
 
 
-def cells_in_reach(nodes: list[tuple[int, float]], points: np.ndarray, reach: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(cell, row numbers of the points whose ball of radius ``reach`` touches the cell)."""
+def cells_in_reach(nodes: list[tuple[int, float]], points: np.ndarray, reach: np.ndarray,
+                   strict: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+    """(cell, row numbers of the points whose ball of radius ``reach`` touches the cell); with ``strict`` the one
+    cell each point belongs to."""
     todo = [(0, np.arange(len(points)))]
     while todo:
         i, rows = todo.pop()
@@ -58,7 +61,8 @@ def cells_in_reach(nodes: list[tuple[int, float]], points: np.ndarray, reach: np
             continue
         axis, cut = nodes[i]
         gap = points[rows, axis] - cut
-        todo += [(2 * i + 1, rows[gap < reach[rows]]), (2 * i + 2, rows[gap >= -reach[rows]])]
+        right = gap >= 0 if strict else gap >= -reach[rows]
+        todo += [(2 * i + 1, rows[gap < 0 if strict else gap < reach[rows]]), (2 * i + 2, rows[right])]
 
 
 def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -74,20 +78,56 @@ def matrix(rows: pd.DataFrame) -> np.ndarray:
     return np.stack(rows["x"].to_numpy()) if len(rows) else np.zeros((0, 0))
 
 
-def nearest(asked: pd.DataFrame, found: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The ``k`` best candidates of ``found`` per asked point by (distance, id)."""
-    found = found.sort_values("id", kind="stable")
-    pts, ids = matrix(found), found["id"].to_numpy()
-    q, point = matrix(asked), asked["point"].to_numpy()
-    k = min(k, len(ids))
-    parts = []
+def closest(q: np.ndarray, pts: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(squared distances, ids) of the ``k`` best of ``pts`` by (distance, id); missing ones are infinite."""
+    d2, nn = np.full((len(q), k), np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+    order = np.argsort(ids, kind="stable")
+    pts, ids, take = pts[order], ids[order], min(k, len(ids))
     for at in range(0, len(q), CHUNK):
-        d2 = squared_distances(q[at:at + CHUNK], pts)
-        best = np.argsort(d2, axis=1, kind="stable")[:, :k]
-        parts.append(pd.DataFrame({
-            "point": np.repeat(point[at:at + CHUNK], k), "nn_id": ids[best].ravel(),
-            "d2": np.take_along_axis(d2, best, 1).ravel()}))
-    return pd.concat(parts) if parts else pd.DataFrame({"point": [], "nn_id": [], "d2": []})
+        dist = squared_distances(q[at:at + CHUNK], pts)
+        best = np.argsort(dist, axis=1, kind="stable")[:, :take]
+        d2[at:at + CHUNK, :take] = np.take_along_axis(dist, best, 1)
+        nn[at:at + CHUNK, :take] = ids[best]
+    return d2, nn
+
+
+def closest_in_leaves(q: np.ndarray, pts: np.ndarray, ids: np.ndarray, k: int, leaf_rows: int):
+    """As ``closest`` for a crowded cell: the same bound-then-visit search over k-d leaves inside the task."""
+    if len(pts) <= 2 * leaf_rows:
+        return closest(q, pts, ids, k)
+    nodes = kd_splits(pts, math.ceil(math.log2(len(pts) / leaf_rows)))
+    none = np.zeros(len(pts))
+    members = {leaf: rows for leaf, rows in cells_in_reach(nodes, pts, none, strict=True)}
+    d2, nn = np.full((len(q), k), np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+    home = np.full(len(q), -1)
+
+    def visit(leaf: int, rows: np.ndarray) -> None:
+        if not len(rows) or leaf not in members:
+            return
+        own = members[leaf]
+        more_d, more_n = closest(q[rows], pts[own], ids[own], k)
+        all_d, all_n = np.hstack([d2[rows], more_d]), np.hstack([nn[rows], more_n])
+        by_id = np.argsort(all_n, axis=1, kind="stable")
+        all_d, all_n = np.take_along_axis(all_d, by_id, 1), np.take_along_axis(all_n, by_id, 1)
+        best = np.argsort(all_d, axis=1, kind="stable")[:, :k]
+        d2[rows], nn[rows] = np.take_along_axis(all_d, best, 1), np.take_along_axis(all_n, best, 1)
+
+    for leaf, rows in cells_in_reach(nodes, q, np.zeros(len(q)), strict=True):
+        home[rows] = leaf
+        visit(leaf, rows)
+    reach = np.nextafter(np.sqrt(d2[:, -1]), np.inf)
+    for leaf, rows in cells_in_reach(nodes, q, reach):
+        visit(leaf, rows[home[rows] != leaf])
+    return d2, nn
+
+
+def nearest(asked: pd.DataFrame, found: pd.DataFrame, k: int, leaf_rows: int = CELL_ROWS) -> pd.DataFrame:
+    """The ``k`` best candidates of ``found`` per asked point."""
+    if not len(asked) or not len(found):
+        return pd.DataFrame({"point": [], "nn_id": [], "d2": []})
+    d2, nn = closest_in_leaves(matrix(asked), matrix(found), found["id"].to_numpy(), k, leaf_rows)
+    out = pd.DataFrame({"point": np.repeat(asked["point"].to_numpy(), k), "nn_id": nn.ravel(), "d2": d2.ravel()})
+    return out[np.isfinite(out["d2"])]
 
 
 PAIRS = "point bigint, nn_id bigint, d2 double"
@@ -105,7 +145,7 @@ def nearest_neighbours(df: DataFrame, cols: list[str], k: int, row_id: str, cell
     depth = min(int(math.log2(MAX_CELLS)), max(0, math.ceil(math.log2(max(1, n / cell_rows)))))
     nodes: list[tuple[int, float]] = []
     if depth:
-        share = min(1.0, (2 ** depth) * SAMPLE_PER_CELL * 4 / n)
+        share = min(1.0, (2 ** depth) * SAMPLE_PER_CELL / n, MAX_SAMPLE_VALUES / len(cols) / n)
         nodes = kd_splits(matrix(copies.select("x").sample(share, seed=11).toPandas()), depth)
     placed = points.withColumn("cell", _home_cell(nodes) if nodes else F.lit(0))
 

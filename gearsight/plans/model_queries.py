@@ -170,12 +170,7 @@ def _noisy_scored_sql(level: float) -> str:
     + 2.5e0 * CASE WHEN process_temp - air_temp < 8.6e0 AND rpm < 1380 THEN 1 ELSE 0 END
     + 1.0e0 * CASE WHEN torque * rpm < 40000 OR torque * rpm > 80000 THEN 1 ELSE 0 END
     + 1.5e0 * CASE WHEN torque * tool_wear > CASE type WHEN 'L' THEN 11000 WHEN 'M' THEN 12000 ELSE 13000 END THEN 1 ELSE 0 END
-    + 1.0e0 * CASE WHEN tool_wear >= 200 THEN 1 ELSE 0 END + (torque - 42.5e0) / 20.0e0))), 3) AS score FROM ({source})"""
-
-
-def _coarse_score(df):
-    """Rule score to three digits: continuous noise would otherwise leave every score unique."""
-    return S.rule_score(df, digits=3)
+    + 1.0e0 * CASE WHEN tool_wear >= 200 THEN 1 ELSE 0 END + (torque - 42.5e0) / 20.0e0))), 6) AS score FROM ({source})"""
 
 
 @query("inject_noise", f"SELECT event_id, {', '.join(f'round({c}, 6) AS {c}' for c in C.SENSORS)} FROM ({_noisy_sql(0.05)})")
@@ -187,13 +182,13 @@ def inject_noise(spark, d):
     f"SELECT '{name}' AS tier, {level}e0 AS noise_level, {_RATES} FROM ({_counts_sql('(' + _noisy_scored_sql(level) + ')', 0.3)})"
     for name, level in C.NOISE_TIERS))
 def robustness_report(spark, d):
-    return digits(N.robustness_report(S.telemetry(spark, d), C.SENSORS, _coarse_score, 0.3), _RATE_NAMES, 9)
+    return digits(N.robustness_report(S.telemetry(spark, d), C.SENSORS, S.rule_score, 0.3), _RATE_NAMES, 9)
 
 
 @query("noise_pr", " UNION ALL ".join(
     f"SELECT '{name}' AS tier, * FROM ({_pr_sql(_curve_sql('(' + _noisy_scored_sql(level) + ')'))})" for name, level in C.NOISE_TIERS))
 def noise_pr(spark, d):
-    return digits(N.noise_pr_curves(S.telemetry(spark, d), C.SENSORS, _coarse_score), ["precision", "recall"], 9)
+    return digits(N.noise_pr_curves(S.telemetry(spark, d), C.SENSORS, S.rule_score), ["precision", "recall"], 9)
 
 
 # --- learned models ---------------------------------------------------------------------------

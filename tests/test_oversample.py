@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gearsight.operators.oversample import kd_splits, cells_in_reach, nearest_neighbours, smote, synthetic_rows
+from gearsight.operators.oversample import (cells_in_reach, closest, closest_in_leaves, kd_splits, nearest_neighbours,
+                                            smote, synthetic_rows)
 
 
 def brute(pdf, cols, k):
@@ -51,7 +52,8 @@ def test_smote_balances_and_stays_on_segments(spark):
     at = {r["event_id"]: np.array([r["x"], r["y"]]) for r in df.collect()}
     for r in out.filter("copy is not null").collect():
         p, base = np.array([r["x"], r["y"]]), at[r["event_id"]]
-        assert any(abs(np.cross(at[n] - base, p - base)) < 1e-9 and
+        cross = lambda a, b: a[0] * b[1] - a[1] * b[0]
+        assert any(abs(cross(at[n] - base, p - base)) < 1e-9 and
                    -1e-9 <= np.dot(p - base, at[n] - base) <= np.dot(at[n] - base, at[n] - base) + 1e-9
                    for n in near[r["event_id"]])
 
@@ -70,3 +72,12 @@ def test_partition_invariant(cloud):
     runs = [sorted(map(tuple, smote(df.repartition(p), ["a", "b"], cell_rows=c).collect()), key=str)
             for p, c in ((1, 2000), (7, 20))]
     assert runs[0] == runs[1]
+
+
+@pytest.mark.parametrize("dims,leaf", [(2, 10), (5, 25), (3, 400)])
+def test_leaf_search_equals_brute_force(dims, leaf):
+    rng = np.random.RandomState(dims)
+    pts = np.vstack([np.round(rng.rand(700, dims) * 6), np.tile(rng.rand(1, dims), (6, 1))])
+    ids = rng.permutation(len(pts)).astype("int64")
+    for got, want in zip(closest_in_leaves(pts, pts, ids, 6, leaf), closest(pts, pts, ids, 6)):
+        assert (got == want).all()
