@@ -42,8 +42,11 @@ def synthetic_context(df: DataFrame, seed: int = 42, row_id: str = "event_id", t
 
 def fuse_environment(df: DataFrame, env: DataFrame, ts: str = "ts", env_ts: str = "env_ts",
                      unit: str = "hour") -> DataFrame:
-    """Left equi-join on the time bucket. The optimizer broadcasts ``env`` only when it is measurably small."""
-    keyed = env.withColumn("_bucket", F.date_trunc(unit, env_ts)).drop(env_ts)
+    """Left equi-join on the time bucket; the newest environment row of a bucket counts, so readings never
+    multiply. The optimizer broadcasts ``env`` only when it is measurably small."""
+    fields = [c for c in env.columns if c != env_ts]
+    newest = F.max_by(F.struct(*fields), F.struct(env_ts, *fields)).alias("_e")
+    keyed = env.groupBy(F.date_trunc(unit, env_ts).alias("_bucket")).agg(newest).select("_bucket", "_e.*")
     return (df.withColumn("_bucket", F.date_trunc(unit, ts))
             .join(keyed, "_bucket", "left").drop("_bucket"))
 

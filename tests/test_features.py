@@ -141,3 +141,11 @@ def test_asof(spark):
     assert by_id(FU.asof_environment(rows, env), "v") == {0: (None,), 1: (1.0,), 2: (1.0,), 3: (2.0,), 4: (2.0,)}
     near = by_id(FU.asof_environment(rows, env, tolerance="2 hours"), "v")
     assert near == {0: (None,), 1: (1.0,), 2: (None,), 3: (2.0,), 4: (None,)}
+
+
+def test_fused_rows_never_multiply(spark):
+    env = spark.createDataFrame([("2026-01-01 03:10:00", 1.0), ("2026-01-01 03:50:00", 2.0), ("2026-01-01 03:50:00", 2.0)],
+                                "t string, v double").select(F.to_timestamp_ntz("t").alias("env_ts"), "v")
+    rows = spark.createDataFrame([(1, "2026-01-01 03:05:00"), (2, "2026-01-01 03:05:00"), (3, "2026-01-01 04:00:00")],
+                                 "event_id int, t string").select("event_id", F.to_timestamp_ntz("t").alias("ts"))
+    assert by_id(FU.fuse_environment(rows, env), "v") == {1: (2.0,), 2: (2.0,), 3: (None,)}
