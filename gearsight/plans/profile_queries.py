@@ -173,7 +173,9 @@ def sensor_box_stats(spark, d):
 
 _CORR = [*C.SENSORS, "power", "temp_diff", "wear_rate", "torque_per_wear", "strain_index", *C.RISK_FLAGS,
          "ambient_temp", "grid_voltage_fluctuation", *C.COMPOSITES]
-_CORR_SQL = union([f"""SELECT '{c}' AS "column", corr({c}, machine_failure) AS r FROM fused""" for c in _CORR])
+# a constant column has no correlation: NaN in DuckDB, which would sort first
+_CORR_SQL = union([f"""SELECT '{c}' AS "column", CASE WHEN min({c}) < max({c}) THEN corr({c}, machine_failure) END AS r
+  FROM fused""" for c in _CORR])
 
 
 @query("target_correlation", f"""WITH r AS ({_CORR_SQL}) SELECT "column", round(r, 6) AS r, round(abs(r), 6) AS abs_r FROM r
