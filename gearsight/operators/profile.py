@@ -179,6 +179,12 @@ def right_closed_bin(col: Column, edges: list[float], include_lowest: bool = Fal
     return out
 
 
+def once(col: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(col)`` with a costly ``col`` computed once per row: grouping keys would otherwise repeat its formula
+    at every mention."""
+    return F.get(F.transform(F.array(col), use), F.lit(0))
+
+
 def quantile_edges(df: DataFrame, cols: list[str], n: int) -> list[list[float]]:
     """Distinct quantile edges of several columns from one pass."""
     found = quantiles(df, cols, [i / n for i in range(n + 1)])
@@ -190,8 +196,8 @@ def interaction_grid(df: DataFrame, a: str, b: str, n: int = 5) -> DataFrame:
     both = F.col(a).isNotNull() & F.col(b).isNotNull()
     used = df.select(F.when(both, F.col(a)).alias(a), F.when(both, F.col(b)).alias(b), C.TARGET)
     ea, eb = quantile_edges(used, [a, b], n)
-    cells = used.groupBy(right_closed_bin(F.col(a), ea, True).alias("bin_a"),
-                         right_closed_bin(F.col(b), eb, True).alias("bin_b")).agg(
+    cells = used.groupBy(once(F.col(a), lambda v: right_closed_bin(v, ea, True)).alias("bin_a"),
+                         once(F.col(b), lambda v: right_closed_bin(v, eb, True)).alias("bin_b")).agg(
         F.count(F.lit(1)).alias("n"), (F.avg(C.TARGET) * 100).alias("failure_rate_pct"))
     names = [(i, j, ea[i], ea[i + 1], eb[j], eb[j + 1]) for i in range(len(ea) - 1) for j in range(len(eb) - 1)]
     grid = df.sparkSession.createDataFrame(
