@@ -15,6 +15,7 @@ the id is carried.
 from __future__ import annotations
 
 import json
+import string
 import struct
 import unicodedata
 from collections.abc import Iterator
@@ -51,16 +52,15 @@ class WordTokens(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode()
-        body = text.rstrip(".,")
+        body = text.rstrip(string.punctuation)
         if self.merges is not None and plain(body):
             ids = self.merges.encode_ordinary(body.lower() + "\0")
-            if len(body) < len(text):
-                ids = [*ids, *self.library.encode(text[len(body):], add_special_tokens=False).ids]
+            tail = self[text[len(body):].encode()] if len(body) < len(text) else b""
         else:
-            ids = self.library.encode(text, add_special_tokens=False).ids
+            ids, tail = self.library.encode(text, add_special_tokens=False).ids, b""
         if len(self) >= REMEMBERED:
             self.clear()
-        out = self[word] = struct.pack(f"<{len(ids)}I", *ids)
+        out = self[word] = struct.pack(f"<{len(ids)}I", *ids) + tail
         return out
 
 
