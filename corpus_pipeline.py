@@ -1,6 +1,59 @@
-"""Placeholder until its stages are there."""
-STAGES, ORACLE_SQL = [], None
+"""From raw documents to packed training sequences. Each stage's result is written as Parquet and read by the next."""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gearsight.llm import exact_dedup, near_dedup, packing, substring_dedup, toxicity
+from gearsight.llm.common import stage
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model, learned from the labels at hand, does not predict to be toxic."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.filter("predicted = 0").select(docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text, that of the largest id."""
+    return exact_dedup.kept_rows(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates, that of the smallest id."""
+    marked = near_dedup.classes(docs).filter("kept")
+    alone, several = marked.filter("class_size = 1"), marked.filter("class_size > 1").dropDuplicates(["class_id"])
+    return alone.unionByName(several).select(docs.columns)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without passages of 20 words or more that an earlier one or they themselves hold before.
+
+    A text that loses nothing keeps its white space too.
+    """
+    cut = substring_dedup.substring_dedup(docs)
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    chars = F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("n_chars"))
+    return cut.withColumn("n_chars", chars.cast(docs.schema["n_chars"].dataType)).withColumn("text", text).select(
+        docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of binary length, one piece each."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies),
+          ("substring_dedup", drop_repeats), ("packing", pack)]
+#: No SQL: the model, the sampled hash functions and the tokenizer are beyond it. Tests hold stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

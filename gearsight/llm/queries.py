@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gearsight.llm import chat, exact_dedup, packing, substring_dedup, topk, toxicity, url_filter
+from gearsight.llm import chat, exact_dedup, near_dedup, packing, substring_dedup, topk, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -159,3 +159,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     held_out = (toxicity.fold(F.col("doc_id")) == 0).alias("held_out")
     return toxicity.score_toxicity(docs, model).select("doc_id", held_out, "score", "predicted")
+
+
+@query
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of near duplicates."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup.classes(docs).select("doc_id", "class_id", "class_size", "kept")
