@@ -7,10 +7,11 @@ L the longest common subsequence of their symbols, found within the diagonal ban
 Links of ``similarity`` or more make classes by connected components.
 
 Equal texts are one node. In a bucket of up to SMALL nodes all are compared. A larger one is compared with its
-smallest node only; members beyond the threshold from it then meet the others of the bucket: directly if they are few,
-else in sub-buckets that also agree in a second tuple, and so on. One minus the similarity is a metric, so a member
-more than twice the threshold from the smallest node cannot be linked to those within the threshold, and is compared
-only with the other members beyond it. Work so grows with the bucket, not with its square, and no member is left out.
+smallest node only. A member is done once the links found so far put it into the smallest node's component. Others
+meet the members beyond the threshold from the smallest node: directly if they are few, else in sub-buckets that also
+agree in a second tuple, and so on. One minus the similarity is a metric, so only a member within twice the threshold
+of the smallest node can be linked to those within the threshold, and only such a one meets them too. Work so grows
+with the bucket, not with its square, and no member is left out.
 At 0.8 a pair of texts misses all 16 tuples of 4 with a chance of about 2 in 10,000.
 
 Defined results: a null text counts as empty; equal texts, empty ones too, share a class; texts of less than five words
@@ -36,6 +37,8 @@ from gearsight.llm.textwords import MIX_1, RangeHash, mixed, word_chunks
 SMALL = 8
 #: Buckets are split again at most so often; then the members beyond the threshold meet all others.
 DEPTH = 4
+#: Members x and y of a bucket are compared: one looks for links, and meets done members only if it is near to them.
+MEET = "(x.open AND (x.near OR NOT y.done)) OR (y.open AND (y.near OR NOT x.done))"
 MADE = ("class_id", "class_size", "kept")
 
 
@@ -129,47 +132,54 @@ def ordered(x: str, y: str) -> tuple:
 
 
 def links_of(sketches: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """Links (a, b) between nodes of ``sketches`` (node, keys)."""
-    members = sketches.select("node", F.explode("keys").alias("bucket"), F.lit(True).alias("open"))
+    """Links (a, b) between nodes of ``sketches`` (node, keys), enough to give all components."""
+    # Roles in a bucket: ``open`` members look for links; of these, ``near`` ones also meet ``done`` members, which are
+    # within the threshold from a former head; the others are only there to be found.
+    no = F.lit(False)
+    members = sketches.select("node", F.explode("keys").alias("bucket"), F.lit(True).alias("open"), F.lit(True).alias(
+        "near"), no.alias("done"))
     links, depth = None, 0
     while True:
-        # ``open`` members look for links; the others are only there to be found.
         sizes = members.groupBy("bucket").agg(
             F.count(F.lit(1)).alias("size"), F.min(F.when(F.col("open"), F.col("node"))).alias("head")).filter(
             "size > 1 AND head IS NOT NULL")
         members = stage(members.join(sizes, "bucket"), "buckets")
         listed = members.filter(F.col("size") <= SMALL).groupBy("bucket").agg(
-            F.array_sort(F.collect_list(F.struct("node", "open"))).alias("all"))
-        listed = listed.select(F.posexplode("all"), "all").select("col", F.explode(
-            F.expr("slice(all, pos + 2, size(all))")).alias("other")).filter("col.open OR other.open")
+            F.array_sort(F.collect_list(F.struct("node", "open", "near", "done"))).alias("all"))
+        listed = listed.select(F.posexplode("all"), "all").select(F.col("col").alias("x"), F.explode(
+            F.expr("slice(all, pos + 2, size(all))")).alias("y")).filter(MEET)
         star = members.filter((F.col("size") > SMALL) & (F.col("node") != F.col("head")))
-        pairs = listed.select(*ordered("col.node", "other.node")).unionByName(star.select(*ordered("node", "head")))
+        pairs = listed.select(*ordered("x.node", "y.node")).unionByName(star.select(*ordered("node", "head")))
         sims = verified(pairs, texts, similarity, shingle)
         found = sims.filter(F.col("sim") >= similarity).select("a", "b")
         links = found if links is None else links.unionByName(found)
-        # Large buckets: who is beyond the threshold from the head?
-        far = stage(star.withColumn("a", F.least("node", "head")).withColumn("b", F.greatest("node", "head"))
-                    .join(sims, ["a", "b"]).select("bucket", "node", F.col("sim"), "open"), "stars")
-        is_open = (F.col("sim") < similarity) & F.col("open")
-        state = far.groupBy("bucket").agg(
-            F.count(F.when(is_open, 1)).alias("open_n"),
-            F.count(F.when((F.col("sim") < similarity) & (F.col("sim") >= 2 * similarity - 1), 1)).alias("near_n"))
-        rest = far.withColumn("still", is_open).join(state.filter("open_n > 0"), "bucket").filter(
-            "still OR NOT open OR near_n > 0")
-        rest = stage(rest.select("bucket", "node", F.col("still").alias("open"), "open_n"), "rest")
+        if star.isEmpty():
+            return links
+        labels = stage(components(links), "labels")
+        far = star.withColumn("a", F.least("node", "head")).withColumn("b", F.greatest("node", "head")).join(
+            sims, ["a", "b"]).select("bucket", "node", "head", "sim", "open", F.col("done").alias("was_done"))
+        for end in ("node", "head"):
+            far = far.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label")), end, "left")
+        same = F.coalesce(F.col("node_label") == F.col("head_label"), no)
+        far = stage(far.select(
+            "bucket", "node", (F.col("open") & ~same).alias("open"), (F.col("sim") >= 2 * similarity - 1).alias("near"),
+            ((F.col("sim") >= similarity) | F.col("was_done")).alias("done")), "stars")
+        state = far.groupBy("bucket").agg(F.count(F.when(F.col("open"), 1)).alias("open_n"), F.count(
+            F.when(F.col("open") & F.col("near"), 1)).alias("near_n")).filter("open_n > 0")
+        rest = stage(far.join(state, "bucket").filter("open OR NOT done OR near_n > 0").drop("near_n"), "rest")
         if rest.isEmpty():
             return links
         depth += 1
         few = (F.col("open_n") <= SMALL) | F.lit(depth >= DEPTH)
-        lookers = rest.filter(few & F.col("open")).select("bucket", F.col("node").alias("looker"))
-        direct = rest.filter(few).join(lookers, "bucket").filter(F.col("node") != F.col("looker"))
-        direct = verified(direct.select(*ordered("node", "looker")), texts, similarity, shingle)
+        side = F.struct("node", "open", "near", "done")
+        lookers = rest.filter(few & F.col("open")).select("bucket", side.alias("x"))
+        direct = rest.filter(few).select("bucket", side.alias("y")).join(lookers, "bucket").filter(
+            F.col("x.node") != F.col("y.node")).filter(MEET)
+        direct = verified(direct.select(*ordered("x.node", "y.node")), texts, similarity, shingle)
         links = links.unionByName(direct.filter(F.col("sim") >= similarity).select("a", "b"))
-        many = rest.filter(~few)
-        members = many.join(sketches, "node").select(
-            "node", F.explode("keys").alias("key"), "bucket", "open").select(
-            "node", F.xxhash64("bucket", "key").alias("bucket"), "open")
-        members = stage(members, "members")
+        members = stage(rest.filter(~few).join(sketches, "node").select(
+            "node", F.explode("keys").alias("key"), "bucket", "open", "near", "done").select(
+            "node", F.xxhash64("bucket", "key").alias("bucket"), "open", "near", "done"), "members")
         if members.isEmpty():
             return links
 
