@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gearsight.llm import chat, exact_dedup, near_dedup, packing, substring_dedup, topk, toxicity, url_filter
+from gearsight.llm import chat, exact_dedup, near_dedup, packing, pieces, substring_dedup, topk, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -166,3 +166,12 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class of near duplicates."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_dedup.classes(docs).select("doc_id", "class_id", "class_size", "kept")
+
+
+@query
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and the hash of the text that they decode to."""
+    docs, model = table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model")
+    rows = pieces.decode(pieces.encode(docs, model), model)
+    return rows.select("doc_id", "n_ids", "ids", F.sha2("decoded", 256).alias("decoded_sha256"),
+                       (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
