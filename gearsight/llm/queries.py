@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gearsight.llm import chat, exact_dedup, near_dedup, packing, pieces, substring_dedup, topk, toxicity, url_filter
+from gearsight.llm import chat, exact_dedup, mixing, near_dedup, packing, pieces, substring_dedup, topk, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -175,3 +175,9 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pieces.decode(pieces.encode(docs, model), model)
     return rows.select("doc_id", "n_ids", "ids", F.sha2("decoded", 256).alias("decoded_sha256"),
                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+@query
+def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document under the mixed model, beside a unigram one."""
+    return mixing.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
