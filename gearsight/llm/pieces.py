@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from gearsight.llm.common import col, packed, unpacked
 
-REMEMBERED = 500_000
+REMEMBERED = 900_000
 #: Stretches up to this length are segmented many at a time.
 SHORT = 40
 SPACE = "▁"
@@ -217,8 +217,8 @@ def encode(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
     def ids(texts: pa.Array) -> pa.Array:
         pieces = model_at(model)
         found = []
-        for at in range(0, len(texts), 200):
-            found += pieces.encode_all([t or "" for t in texts.slice(at, 200).to_pylist()])
+        for at in range(0, len(texts), 600):
+            found += pieces.encode_all([t or "" for t in texts.slice(at, 600).to_pylist()])
         bounds = np.cumsum([0, *(len(f) // 4 for f in found)]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(found), "<i4")))
 
