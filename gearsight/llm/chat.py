@@ -72,7 +72,7 @@ def fold_events(log: DataFrame) -> DataFrame:
     # What counts starts with the last event that sets the whole text.
     position = F.array_max(F.transform("events", lambda e, i: F.when(e["kind"] != "delta", i + 1).otherwise(1)))
     live = live.withColumn("events", F.slice("events", position, F.size("events")))
-    role = F.coalesce(F.element_at(F.filter(F.transform("events", lambda e: e["role"]), lambda r: r != ""), 1),
+    role = F.coalesce(F.try_element_at(F.filter(F.transform("events", lambda e: e["role"]), lambda r: r != ""), F.lit(1)),
                       F.lit(""))
     return live.select("conv_id", "message", role.alias("role"),
                        F.array_join(F.transform("events", lambda e: e["text"]), "").alias("text"))
