@@ -219,8 +219,13 @@ def rate_band(rate: Column) -> Column:
 
 
 def equal_width_rate(df: DataFrame, col: str, n: int = 5) -> DataFrame:
-    """Failure rate per equal-width right-closed bin; the first edge is lowered by 0.1 % of the range."""
-    out = with_stats(df, {"lo": F.min(col), "hi": F.max(col)})
+    """Failure rate per equal-width right-closed bin; the first edge is lowered by 0.1 % of the range.
+
+    A constant column gets a range of 0.1 % of its value to each side, 0.001 around 0.
+    """
+    flat, pad = F.min(col) == F.max(col), F.when(F.min(col) == 0, 0.001).otherwise(0.001 * F.abs(F.min(col)))
+    out = with_stats(df, {"lo": F.when(flat, F.min(col) - pad).otherwise(F.min(col)),
+                          "hi": F.when(flat, F.max(col) + pad).otherwise(F.max(col))})
     lo, hi = F.col("_stats.lo"), F.col("_stats.hi")
     width = (hi - lo) / n
     raw = F.ceil(X.ratio(F.col(col) - lo, width)) - 1

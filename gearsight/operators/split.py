@@ -23,25 +23,34 @@ def shuffle_key(row_id: str, salt: str, seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.col(row_id).cast("string"), F.lit(salt), F.lit(str(seed))))
 
 
-def stratified_folds(df: DataFrame, k: int = 5, seed: int = 42, label: str = C.TARGET,
-                     row_id: str = "event_id") -> DataFrame:
-    """Shuffled folds with the class mix of the whole: rank inside the class modulo ``k``."""
-    keyed = df.withColumn("_shuffle", shuffle_key(row_id, "fold", seed))
+def class_ranks(df: DataFrame, salt: str, seed: int, label: str, row_id: str) -> tuple[DataFrame, dict]:
+    """Shuffled rank of each row inside its class as ``_rank``, and the class sizes."""
+    keyed = df.withColumn("_shuffle", shuffle_key(row_id, salt, seed))
     sizes = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
     start, run = {}, 0
     for value in sorted(sizes):
         start[value] = run
         run += sizes[value]
     placed = Order(keyed, [label, "_shuffle", row_id]).with_position("_pos")
-    rank = F.col("_pos") - X.lookup(F.col(label), start)
-    return placed.withColumn("fold", (rank % k).cast("int")).drop("_pos", "_shuffle")
+    return placed.withColumn("_rank", F.col("_pos") - X.lookup(F.col(label), start)).drop("_pos", "_shuffle"), sizes
 
 
-def stratified_split(df: DataFrame, test_share: float = 0.2, seed: int = 42, label: str = C.TARGET) -> DataFrame:
-    """Stratified train/test marks; ``test_share`` as 1/k uses one fold of k."""
-    k = round(1 / test_share)
-    folds = stratified_folds(df, k, seed, label)
-    return folds.withColumn("split", F.when(F.col("fold") == 0, "test").otherwise("train")).drop("fold")
+def stratified_folds(df: DataFrame, k: int = 5, seed: int = 42, label: str = C.TARGET,
+                     row_id: str = "event_id") -> DataFrame:
+    """Shuffled folds with the class mix of the whole: rank inside the class modulo ``k``."""
+    ranked, _ = class_ranks(df, "fold", seed, label, row_id)
+    return ranked.withColumn("fold", (F.col("_rank") % k).cast("int")).drop("_rank")
+
+
+def stratified_split(df: DataFrame, test_share: float = 0.2, seed: int = 42, label: str = C.TARGET,
+                     row_id: str = "event_id") -> DataFrame:
+    """Stratified train/test marks: of each class the first ``round(test_share * size)`` shuffled rows are test."""
+    if not 0 < test_share < 1:
+        raise ValueError("test_share must lie between 0 and 1")
+    ranked, sizes = class_ranks(df, "fold", seed, label, row_id)
+    n_test = {value: int(test_share * size + 0.5) for value, size in sizes.items()}
+    is_test = F.col("_rank") < X.lookup(F.col(label), n_test)
+    return ranked.withColumn("split", F.when(is_test, "test").otherwise("train")).drop("_rank")
 
 
 def hash_sample(df: DataFrame, n: int, seed: int = 42, row_id: str = "event_id") -> DataFrame:

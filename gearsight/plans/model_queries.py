@@ -42,11 +42,22 @@ def stratified_folds(spark, d):
     return SP.stratified_folds(S.telemetry(spark, d)).select("event_id", C.TARGET, "fold")
 
 
-@query("stratified_split", f"SELECT event_id, CASE WHEN fold = 0 THEN 'test' ELSE 'train' END AS split FROM ({_FOLDS})")
+def _split_sql(share: float) -> str:
+    return f"""SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY machine_failure
+  ORDER BY {md5_sql('event_id', 'fold')}, event_id) - 1 < floor({share}e0 * count(*) OVER (PARTITION BY machine_failure) + 0.5e0)
+  THEN 'test' ELSE 'train' END AS split FROM telemetry"""
+
+
+@query("stratified_split", _split_sql(0.2))
 def stratified_split(spark, d):
     return SP.stratified_split(S.telemetry(spark, d)).select("event_id", "split")
 
 
+@query("stratified_split_30", _split_sql(0.3))
+def stratified_split_30(spark, d):
+    return SP.stratified_split(S.telemetry(spark, d), 0.3).select("event_id", "split")
+
+
 def _smote_sql() -> str:
     d2 = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in C.SENSORS)
     draw = "concat_ws('-', base.event_id, copy)"

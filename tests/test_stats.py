@@ -101,3 +101,23 @@ def test_curve_against_direct_count(spark, stream_rows):
     pos, neg = [s for y, s in pairs if y], [s for y, s in pairs if not y]
     assert auc == pytest.approx(np.mean([(p > n) + 0.5 * (p == n) for p in pos for n in neg]))
     assert len(thin) == 20
+
+
+def test_equal_width_rate_of_a_constant_column(spark):
+    from gearsight.operators.profile import equal_width_rate
+
+    rows = spark.createDataFrame([(5.0, 1), (5.0, 0), (5.0, 0), (None, 1)], "x double, machine_failure int")
+    got = equal_width_rate(rows, "x").collect()
+    assert [r.n for r in got] == [3] and got[0].bucket == 2 and got[0].lo < 5.0 < got[0].hi
+
+
+@pytest.mark.parametrize("share", [0.3, 0.7])
+def test_stratified_split_takes_the_share(spark, share):
+    from gearsight.operators.split import stratified_split
+
+    rows = spark.range(1000).selectExpr("id AS event_id", "CAST(id % 10 = 0 AS int) AS machine_failure")
+    got = {(r.machine_failure, r.split): r["count"] for r in stratified_split(rows, share).groupBy(
+        "machine_failure", "split").count().collect()}
+    assert got[1, "test"] == round(100 * share) and got[0, "test"] == round(900 * share)
+    with pytest.raises(ValueError):
+        stratified_split(rows, 1.0)
