@@ -6,12 +6,13 @@ text order; texts that agree in one such tuple meet in a bucket. The similarity
 L the longest common subsequence of their symbols, found within the diagonal band that the wanted similarity allows.
 Links of ``similarity`` or more make classes by connected components.
 
-Equal texts are one node. In a bucket of up to SMALL nodes all are compared. A larger one is compared with its
-smallest node only. A member is done once the links found so far put it into the smallest node's component. Others
-meet the members beyond the threshold from the smallest node: directly if they are few, else in sub-buckets that also
-agree in a second tuple, and so on. One minus the similarity is a metric, so only a member within twice the threshold
-of the smallest node can be linked to those within the threshold, and only such a one meets them too. Work so grows
-with the bucket, not with its square, and no member is left out.
+Equal texts are one node. In a bucket of up to SMALL nodes all are compared. In a larger one, symbols that only one node
+of all larger buckets holds bound the similarity: of n1 and n2 symbols, u1 and u2 of them a node's own, at most
+m = min(n1 - u1, n2 - u2) can be common, so the similarity is at most m / (n1 + n2 - m). Only pairs that may reach the
+threshold and lie in different components are compared; nodes that can reach it with no other are closed. In each of
+ROUNDS rounds the open nodes of a bucket meet a head, the node with the smallest share of own symbols, which is then
+done. What is still apart after that meets the others of its bucket, all but the largest component as lookers. A
+bucket's rows never multiply, and no node is left out.
 At 0.8 a pair of texts misses all 16 tuples of 4 with a chance of about 2 in 10,000.
 
 Defined results: a null text counts as empty; equal texts, empty ones too, share a class; texts of less than five words
@@ -26,19 +27,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gearsight.llm.common import attach, col, packed, stage, unpacked
 from gearsight.llm.components import components
 from gearsight.llm.textwords import MIX_1, RangeHash, mixed, word_chunks
 
-#: Buckets up to this size are compared in full; up to so many members beyond the threshold meet all others directly.
+#: Buckets up to this size are compared in full.
 SMALL = 8
-#: Buckets are split again at most so often; then the members beyond the threshold meet all others.
-DEPTH = 4
-#: Members x and y of a bucket are compared: one looks for links, and meets done members only if it is near to them.
-MEET = "(x.open AND (x.near OR NOT y.done)) OR (y.open AND (y.near OR NOT x.done))"
+#: Rounds of comparing a larger bucket with one head, before the nodes still apart meet the others.
+ROUNDS = 5
 MADE = ("class_id", "class_size", "kept")
 
 
@@ -97,10 +96,8 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float) -> float:
     return common / (n - common)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """Pairs (a, b) with sim. Only texts in a pair are read into symbols, 4 bytes each; a pair carries one text through
-    the shuffle and meets the other where that lies."""
-    least = max(0.0, 2 * similarity - 1)
+def sequences_of(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, seq) of the wanted nodes: their symbols in text order, 4 bytes each."""
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, words, bounds in word_chunks(batches, 1):
@@ -109,79 +106,97 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int
             yield pa.RecordBatch.from_pydict({"node": pa.array([r[0] for r in rows], pa.binary()),
                                               "seq": pa.array(found, pa.binary())})
 
+    return stage(texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(
+        sequences, "node binary, seq binary"), "sequences")
+
+
+def linked(pairs: DataFrame, seqs: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) that are similar. A pair carries one text through the shuffle to where the other is."""
+
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sims = [aligned(np.frombuffer(batch.column(2)[i].as_buffer(), np.uint32),
-                            np.frombuffer(batch.column(3)[i].as_buffer(), np.uint32), least)
+            keep = [aligned(np.frombuffer(batch.column(2)[i].as_buffer(), np.uint32),
+                            np.frombuffer(batch.column(3)[i].as_buffer(), np.uint32), similarity) >= similarity
                     for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())],
-                                             names=["a", "b", "sim"])
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     pairs = stage(pairs.distinct(), "pairs")
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    seqs = stage(texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(
-        sequences, "node binary, seq binary"), "sequences")
-    # The end with more pairs stays where it is: the smaller node of a pair is the one that buckets share.
     one = pairs.join(seqs.select(F.col("node").alias("b"), F.col("seq").alias("seq_b")), "b")
     both = one.join(seqs.select(F.col("node").alias("a"), F.col("seq").alias("seq_a")), "a")
-    return stage(both.select("a", "b", "seq_a", "seq_b").mapInArrow(align, "a binary, b binary, sim double"), "verified")
+    return stage(both.select("a", "b", "seq_a", "seq_b").mapInArrow(align, "a binary, b binary"), "linked")
 
 
 def ordered(x: str, y: str) -> tuple:
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
-def links_of(sketches: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """Links (a, b) between nodes of ``sketches`` (node, keys), enough to give all components."""
-    # Roles in a bucket: ``open`` members look for links; of these, ``near`` ones also meet ``done`` members, which are
-    # within the threshold from a former head; the others are only there to be found.
-    no = F.lit(False)
-    members = sketches.select("node", F.explode("keys").alias("bucket"), F.lit(True).alias("open"), F.lit(True).alias(
-        "near"), no.alias("done"))
-    links, depth = None, 0
-    while True:
-        sizes = members.groupBy("bucket").agg(
-            F.count(F.lit(1)).alias("size"), F.min(F.when(F.col("open"), F.col("node"))).alias("head")).filter(
-            "size > 1 AND head IS NOT NULL")
-        members = stage(members.join(sizes, "bucket"), "buckets")
-        listed = members.filter(F.col("size") <= SMALL).groupBy("bucket").agg(
-            F.array_sort(F.collect_list(F.struct("node", "open", "near", "done"))).alias("all"))
-        listed = listed.select(F.posexplode("all"), "all").select(F.col("col").alias("x"), F.explode(
-            F.expr("slice(all, pos + 2, size(all))")).alias("y")).filter(MEET)
-        star = members.filter((F.col("size") > SMALL) & (F.col("node") != F.col("head")))
-        pairs = listed.select(*ordered("x.node", "y.node")).unionByName(star.select(*ordered("node", "head")))
-        sims = verified(pairs, texts, similarity, shingle)
-        found = sims.filter(F.col("sim") >= similarity).select("a", "b")
-        links = found if links is None else links.unionByName(found)
-        if star.isEmpty():
-            return links
-        labels = stage(components(links), "labels")
-        far = star.withColumn("a", F.least("node", "head")).withColumn("b", F.greatest("node", "head")).join(
-            sims, ["a", "b"]).select("bucket", "node", "head", "sim", "open", F.col("done").alias("was_done"))
-        for end in ("node", "head"):
-            far = far.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label")), end, "left")
-        same = F.coalesce(F.col("node_label") == F.col("head_label"), no)
-        far = stage(far.select(
-            "bucket", "node", (F.col("open") & ~same).alias("open"), (F.col("sim") >= 2 * similarity - 1).alias("near"),
-            ((F.col("sim") >= similarity) | F.col("was_done")).alias("done")), "stars")
-        state = far.groupBy("bucket").agg(F.count(F.when(F.col("open"), 1)).alias("open_n"), F.count(
-            F.when(F.col("open") & F.col("near"), 1)).alias("near_n")).filter("open_n > 0")
-        rest = stage(far.join(state, "bucket").filter("open OR NOT done OR near_n > 0").drop("near_n"), "rest")
-        if rest.isEmpty():
-            return links
-        depth += 1
-        few = (F.col("open_n") <= SMALL) | F.lit(depth >= DEPTH)
-        side = F.struct("node", "open", "near", "done")
-        lookers = rest.filter(few & F.col("open")).select("bucket", side.alias("x"))
-        direct = rest.filter(few).select("bucket", side.alias("y")).join(lookers, "bucket").filter(
-            F.col("x.node") != F.col("y.node")).filter(MEET)
-        direct = verified(direct.select(*ordered("x.node", "y.node")), texts, similarity, shingle)
-        links = links.unionByName(direct.filter(F.col("sim") >= similarity).select("a", "b"))
-        members = stage(rest.filter(~few).join(sketches, "node").select(
-            "node", F.explode("keys").alias("key"), "bucket", "open", "near", "done").select(
-            "node", F.xxhash64("bucket", "key").alias("bucket"), "open", "near", "done"), "members")
-        if members.isEmpty():
-            return links
+def may_link(x: str, y: str, similarity: float) -> Column:
+    """Whether nodes with n symbols, u of them their own, can be similar; one symbol is a margin for rounding."""
+    n = F.col(f"{x}.n") + F.col(f"{y}.n")
+    common = F.least(F.col(f"{x}.n") - F.col(f"{x}.u"), F.col(f"{y}.n") - F.col(f"{y}.u"))
+    return common * (1 + similarity) >= n * similarity - 1
+
+
+def still_open(members: DataFrame, seqs: DataFrame, similarity: float) -> DataFrame:
+    """Members (bucket, label, node, n) with ``u``, their number of own symbols, without those that can have no link."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = np.frombuffer(batch.column(1)[i].as_buffer(), np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(found), batch.column(0)[i].as_py())), pa.array(found)], names=["k", "sym"])
+
+    held = seqs.join(members.select("node").distinct(), "node", "left_semi").select(
+        F.xxhash64("node").alias("k"), "seq")
+    own = held.mapInArrow(spread, "k long, sym int").groupBy("sym").agg(
+        F.count(F.lit(1)).alias("times"), F.min("k").alias("k")).filter("times = 1").groupBy("k").agg(
+        F.count(F.lit(1)).alias("u"))
+    counted = stage(members.withColumn("k", F.xxhash64("node")).join(own, "k", "left").select(
+        "bucket", "label", "node", "n", F.coalesce("u", F.lit(0)).alias("u")), "counted")
+    least = counted.groupBy("bucket").agg(F.min("u").alias("least_u"))
+    return stage(counted.join(least, "bucket").filter(
+        F.col("n") - F.col("u") >= similarity * (F.col("n") + F.col("least_u")) - 1).drop("least_u"), "open")
+
+
+def groups_of(sketches: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Components (node, label) of the links between nodes of ``sketches`` (node, n, keys); others may lack."""
+    members = sketches.select("node", "n", F.explode("keys").alias("bucket"))
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = stage(members.join(sizes, "bucket"), "buckets")
+    seqs = sequences_of(members.select("node").distinct(), texts, shingle)
+    listed = members.filter(F.col("size") <= SMALL).groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct(
+        "node", "n"))).alias("all")).select(F.posexplode("all"), "all").select(F.col("col").alias("x"), F.explode(
+            F.expr("slice(all, pos + 2, size(all))")).alias("y"))
+    pairs = listed.filter(F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1).select(
+        *ordered("x.node", "y.node"))
+    large = still_open(members.filter(F.col("size") > SMALL).withColumn("label", F.col("node")), seqs, similarity)
+    side = F.struct("label", "node", "n", "u")
+    for step in range(ROUNDS + 1):
+        if step < ROUNDS:
+            heads = large.groupBy("bucket").agg(F.min_by(side, F.struct(F.col("u") / F.col("n"), "node")).alias("y"))
+        else:
+            # A looker is outside the largest component of its bucket.
+            counts = large.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("times"))
+            most = counts.groupBy("bucket").agg(F.max_by("label", F.struct("times", "label")).alias("most"))
+            heads = large.join(most, "bucket").filter(F.col("label") != F.col("most")).select("bucket", side.alias("y"))
+        faced = large.select("bucket", side.alias("x")).alias("l").join(
+            heads.alias("h"), (F.col("l.bucket") == F.col("h.bucket")) & (F.col("x.label") != F.col("y.label"))
+            & may_link("x", "y", similarity)).select(*ordered("x.node", "y.node"))
+        found = linked(faced.unionByName(pairs) if step == 0 else faced, seqs, similarity)
+        if step:
+            found = found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
+        labels = stage(components(found), "labels")
+        if step == ROUNDS:
+            break
+        rest = large.join(heads, "bucket").filter(F.col("node") != F.col("y.node")).select("bucket", "node", "n").join(
+            labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        rest = stage(rest, "rest")
+        apart = rest.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
+        large = still_open(rest.join(apart.select("bucket"), "bucket", "left_semi"), seqs, similarity)
+        if large.isEmpty():
+            break
+    return labels
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8,
@@ -196,14 +211,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
         for got, words, bounds in word_chunks(batches, 2):
             found = [symbols(words[bounds[i]:bounds[i + 1]], shingle) for i in range(len(got))]
             keys = [order_minhash(f, seeds, sample).view(np.int64) if len(f) else [] for f in found]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array(
-                [g[1] for g in got], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([
+                pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.binary()),
+                pa.array([len(f) for f in found], pa.int32()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["id", "node", "length", "keys"])
 
     sketches = rows.select(F.col("id").cast("long").alias("id"), "node", "text").mapInArrow(
-        sketch, "id long, node binary, keys array<long>")
-    sketches = stage(sketches.groupBy("node").agg(
-        F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.any_value("keys").alias("keys")), "sketches")
-    labels = components(links_of(sketches.select("node", "keys"), rows.select("node", "text"), similarity, shingle))
+        sketch, "id long, node binary, length int, keys array<long>")
+    sketches = stage(sketches.groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.any_value(
+        "length").alias("length"), F.any_value("keys").alias("keys")), "sketches")
+    labels = groups_of(sketches.select("node", F.col("length").alias("n"), "keys"), rows.select("node", "text"), similarity, shingle)
     named = stage(sketches.select("node", "id", "n").join(labels, "node", "left").withColumn(
         "label", F.coalesce("label", "node")), "labels")
     sums = named.groupBy("label").agg(F.min("id").alias("class_id"), F.sum("n").alias("class_size"),
