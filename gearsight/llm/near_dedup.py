@@ -138,7 +138,8 @@ def may_link(x: str, y: str, similarity: float) -> Column:
 
 
 def still_open(members: DataFrame, seqs: DataFrame, similarity: float) -> DataFrame:
-    """Members (bucket, label, node, n) with ``u``, their number of own symbols, without those that can have no link."""
+    """Members (bucket, label, node, n) with ``u``, their number of own symbols, without those that can have
+    no link to another label of their bucket."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,9 +155,14 @@ def still_open(members: DataFrame, seqs: DataFrame, similarity: float) -> DataFr
         F.count(F.lit(1)).alias("u"))
     counted = stage(members.withColumn("k", F.xxhash64("node")).join(own, "k", "left").select(
         "bucket", "label", "node", "n", F.coalesce("u", F.lit(0)).alias("u")), "counted")
-    least = counted.groupBy("bucket").agg(F.min("u").alias("least_u"))
-    return stage(counted.join(least, "bucket").filter(
-        F.col("n") - F.col("u") >= similarity * (F.col("n") + F.col("least_u")) - 1).drop("least_u"), "open")
+    # The fewest own symbols of a bucket under any label, and under any label but that one.
+    low = counted.groupBy("bucket", "label").agg(F.min("u").alias("u"))
+    first = low.groupBy("bucket").agg(F.min(F.struct("u", "label")).alias("first"))
+    second = low.join(first, "bucket").filter(F.col("label") != F.col("first.label")).groupBy("bucket").agg(
+        F.first("first").alias("first"), F.min("u").alias("second_u"))
+    least = F.when(F.col("label") == F.col("first.label"), F.col("second_u")).otherwise(F.col("first.u"))
+    return stage(counted.join(second, "bucket").filter(
+        F.col("n") - F.col("u") >= similarity * (F.col("n") + least) - 1).select(counted.columns), "open")
 
 
 def groups_of(sketches: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
@@ -191,9 +197,7 @@ def groups_of(sketches: DataFrame, texts: DataFrame, similarity: float, shingle:
             break
         rest = large.join(heads, "bucket").filter(F.col("node") != F.col("y.node")).select("bucket", "node", "n").join(
             labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        rest = stage(rest, "rest")
-        apart = rest.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
-        large = still_open(rest.join(apart.select("bucket"), "bucket", "left_semi"), seqs, similarity)
+        large = still_open(stage(rest, "rest"), seqs, similarity)
         if large.isEmpty():
             break
     return labels
