@@ -112,11 +112,14 @@ def zscore_features(df: DataFrame) -> DataFrame:
 
 
 def iqr_flags(df: DataFrame, cols: list[str] = ("rpm", "torque")) -> DataFrame:
-    """1 where a value lies more than 1.5 interquartile ranges outside the quartiles."""
+    """1 where a value lies more than 1.5 interquartile ranges outside the quartiles; 0 in a column without values."""
     found = quantiles(df, list(cols), [0.25, 0.75])
     flags = {}
     for c in cols:
         q1, q3 = found[(c,)][0.25], found[(c,)][0.75]
+        if q1 is None:
+            flags[f"{c}_outlier_flag"] = X.flag(F.lit(False))
+            continue
         flags[f"{c}_outlier_flag"] = X.flag((F.col(c) < F.lit(q1 - 1.5 * (q3 - q1)))
                                             | (F.col(c) > F.lit(q3 + 1.5 * (q3 - q1))))
     return df.withColumns(flags)

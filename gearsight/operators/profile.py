@@ -30,7 +30,7 @@ def profile_shape(df: DataFrame) -> DataFrame:
 
 def describe_columns(df: DataFrame, cols: list[str]) -> DataFrame:
     q = quantiles(df, cols, Q4)
-    part = lambda p: lambda c: F.lit(q[(c,)][p])
+    part = lambda p: lambda c: F.lit(q[(c,)][p]).cast("double")
     return column_report(df, cols, {
         "n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min,
         "q25": part(0.25), "q50": part(0.5), "q75": part(0.75), "max": F.max})

@@ -40,6 +40,7 @@ def quantiles(df: DataFrame, cols: list[str], qs: list[float], by: list[str] | N
               max_rows: int | None = None) -> dict[tuple, dict[float, float]]:
     """Exact linear-interpolated quantiles: (by values..., column) -> {q: value}.
 
+    A column without values has the quantile None; NaN is the largest value, as in Spark's order.
     Up to ``max_rows`` rows the built-in exact aggregate is used. Beyond that its per-group value map would
     outgrow a task, so each quantile is bracketed by repeated sketch passes until few values are left.
     """
@@ -49,7 +50,14 @@ def quantiles(df: DataFrame, cols: list[str], qs: list[float], by: list[str] | N
         wanted = F.array(*[F.lit(float(q)) for q in qs])
         rows = df.groupBy(*by).agg(*[F.percentile(F.col(c).cast("double"), wanted).alias(c) for c in cols]).collect()
         return {(*[r[b] for b in by], c): dict(zip(qs, r[c] or [None] * len(qs))) for r in rows for c in cols}
-    return _bracketed(stack(df, by, cols).filter(F.col("value").isNotNull()), [*by, "column"], qs, limit)
+    out = _bracketed(stack(df, by, cols).filter(F.col("value").isNotNull()), [*by, "column"], qs, limit)
+    groups = df.select(*by).distinct().collect() if by else [()]
+    return {(*g, c): out.get((*g, c), dict.fromkeys(qs)) for g in groups for c in cols}
+
+
+def _same(a: float, b: float) -> bool:
+    """Equal, with NaN equal to itself as in Spark's order."""
+    return a == b or (a != a and b != b)
 
 
 def _bracketed(long: DataFrame, keys: list[str], qs: list[float], limit: int) -> dict[tuple, dict[float, float]]:
@@ -68,6 +76,8 @@ def _bracketed(long: DataFrame, keys: list[str], qs: list[float], limit: int) ->
         return (long.join(F.broadcast(table), same)
                 .filter((F.col("value") >= F.col("_lo")) & (F.col("value") <= F.col("_hi"))))
 
+    if not targets:
+        return {}
     while live := [t for t in targets if t["inside"] > limit and not t["done"]]:
         # targets in the same bracket (all of a column at first) share one sketch
         shared = {}
@@ -81,7 +91,7 @@ def _bracketed(long: DataFrame, keys: list[str], qs: list[float], limit: int) ->
             grid = grids[(*t["key"], shared[(t["key"], t["lo"], t["hi"])]["q"])]
             at = int((t["rank"] - t["below"]) / t["inside"] * GRID)
             lo, hi = grid[max(at - 1, 0)], grid[min(at + 3, GRID)]
-            t["done"] = (lo, hi) == (t["lo"], t["hi"]) or lo == hi
+            t["done"] = (_same(lo, t["lo"]) and _same(hi, t["hi"])) or _same(lo, hi)
             moved.append({**t, "lo": lo, "hi": hi, "old": t})
         counts = {(*(r[k] for k in keys), r["_q"]): r for r in inside(live).join(
             F.broadcast(spark.createDataFrame([(*m["key"], m["q"], m["lo"], m["hi"]) for m in moved],
@@ -113,6 +123,8 @@ def _bracketed(long: DataFrame, keys: list[str], qs: list[float], limit: int) ->
         F.first(F.col("_rank") - F.floor("_rank")).alias("_part")).collect()
     out: dict[tuple, dict[float, float]] = {}
     for r in rows:
-        upper = r["_a"] if r["_b"] is None else r["_b"]
-        out.setdefault(tuple(r[k] for k in keys), {})[r["_q"]] = r["_a"] + (upper - r["_a"]) * r["_part"]
+        upper = r["_a"] if r["_b"] is None or not r["_part"] else r["_b"]
+        exact = _same(r["_a"], upper)
+        out.setdefault(tuple(r[k] for k in keys), {})[r["_q"]] = (
+            r["_a"] if exact else r["_a"] + (upper - r["_a"]) * r["_part"])
     return out

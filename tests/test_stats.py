@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from gearsight.operators import evaluate as E
 from gearsight.operators import profile as P
+from gearsight.operators import features
 from gearsight.operators.stats import quantiles
 
 
@@ -32,6 +33,33 @@ def test_quantiles_of_one_value(spark):
     assert quantiles(df, ["a"], [0.25, 0.75], max_rows=10) == {("a",): {0.25: 3.0, 0.75: 3.0}}
 
 
+@pytest.mark.parametrize("limit", [10, 1_000_000])
+def test_quantiles_of_odd_columns(spark, limit):
+    df = spark.range(200).select(
+        F.lit(None).cast("double").alias("none"), (F.col("id") % 2 * 5.0).alias("two"),
+        F.when(F.col("id") % 10 == 0, float("nan")).otherwise(F.col("id").cast("double")).alias("some"))
+    got = quantiles(df, ["none", "two", "some"], [0.25, 0.95, 1.0], max_rows=limit)
+    assert got[("none",)] == {0.25: None, 0.95: None, 1.0: None}
+    assert got[("two",)] == {0.25: 0.0, 0.95: 5.0, 1.0: 5.0}
+    values = sorted(float(i) for i in range(200) if i % 10)
+    want = values[49] + (values[50] - values[49]) * 0.75
+    assert got[("some",)][0.25] == pytest.approx(want)
+    assert all(got[("some",)][q] != got[("some",)][q] for q in (0.95, 1.0))
+
+
+@pytest.mark.parametrize("limit", ["10", "1000000"])
+def test_reports_of_a_column_without_values(spark, limit):
+    df = spark.range(50).select(F.lit(None).cast("double").alias("rpm"), F.col("id").cast("double").alias("torque"))
+    spark.conf.set("spark.gearsight.quantileRows", limit)
+    try:
+        rows = {r["column"]: r for r in P.describe_columns(df, ["rpm", "torque"]).collect()}
+        flags = features.iqr_flags(df).agg(F.max("rpm_outlier_flag"), F.max("torque_outlier_flag")).first()
+    finally:
+        spark.conf.unset("spark.gearsight.quantileRows")
+    assert rows["rpm"]["q50"] is None and rows["torque"]["q50"] == 24.5
+    assert tuple(flags) == (0, 0)
+
+
 def test_right_closed_edges(spark):
     df = spark.createDataFrame([(0.0, 1), (50.0, 0), (50.1, 0), (-300.0, 1), (300.0, 0)], "d double, machine_failure int")
     got = {r["bucket"]: r["n"] for r in P.bucket_rate(df, "d", [-300, 0, 50, 100, 150, 300]).collect()}
