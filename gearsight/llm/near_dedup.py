@@ -8,7 +8,9 @@ Links of ``similarity`` or more make classes by connected components.
 
 Equal texts are one node. In a bucket of up to SMALL nodes all are compared. In a larger one, symbols that only one node
 of all larger buckets holds bound the similarity: of n1 and n2 symbols, u1 and u2 of them a node's own, at most
-m = min(n1 - u1, n2 - u2) can be common, so the similarity is at most m / (n1 + n2 - m). Only pairs that may reach the
+m = min(n1 - u1, n2 - u2) can be common, so the similarity is at most m / (n1 + n2 - m). A mask of MASK_WORDS * 64 bits,
+one set for each symbol, bounds it too: a bit that only one of two nodes has is a symbol that the other lacks. (In texts
+of several thousand symbols the masks are full and the first bound alone is left.) Only pairs that may reach the
 threshold and lie in different components are compared; nodes that can reach it with no other are closed. In each of
 ROUNDS rounds the open nodes of a bucket meet a head, the node with the smallest share of own symbols, which is then
 done. What is still apart after that meets the others of its bucket, all but the largest component as lookers. A
@@ -38,6 +40,8 @@ from gearsight.llm.textwords import MIX_1, RangeHash, mixed, word_chunks
 SMALL = 8
 #: Rounds of comparing a larger bucket with one head, before the nodes still apart meet the others.
 ROUNDS = 5
+#: 64-bit words of the mask of a node's symbols.
+MASK_WORDS = 16
 MADE = ("class_id", "class_size", "kept")
 
 
@@ -96,18 +100,26 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float) -> float:
     return common / (n - common)
 
 
+def mask_of(found: np.ndarray) -> np.ndarray:
+    """MASK_WORDS signed words with a bit set for each symbol."""
+    bits = np.zeros(MASK_WORDS * 64, np.uint8)
+    bits[found % np.uint32(MASK_WORDS * 64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def sequences_of(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """(node, seq) of the wanted nodes: their symbols in text order, 4 bytes each."""
+    """(node, seq, mask) of the wanted nodes: their symbols in text order, 4 bytes each, and the mask of them."""
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, words, bounds in word_chunks(batches, 1):
-            found = [(symbols(words[bounds[i]:bounds[i + 1]], shingle) >> np.uint64(32)).astype(np.uint32).tobytes()
+            found = [(symbols(words[bounds[i]:bounds[i + 1]], shingle) >> np.uint64(32)).astype(np.uint32)
                      for i in range(len(rows))]
             yield pa.RecordBatch.from_pydict({"node": pa.array([r[0] for r in rows], pa.binary()),
-                                              "seq": pa.array(found, pa.binary())})
+                                              "seq": pa.array([f.tobytes() for f in found], pa.binary()),
+                                              "mask": pa.array([mask_of(f) for f in found], pa.list_(pa.int64()))})
 
     return stage(texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(
-        sequences, "node binary, seq binary"), "sequences")
+        sequences, "node binary, seq binary, mask array<long>"), "sequences")
 
 
 def linked(pairs: DataFrame, seqs: DataFrame, similarity: float) -> DataFrame:
@@ -133,12 +145,17 @@ def ordered(x: str, y: str) -> tuple:
 def may_link(x: str, y: str, similarity: float) -> Column:
     """Whether nodes with n symbols, u of them their own, can be similar; one symbol is a margin for rounding."""
     n = F.col(f"{x}.n") + F.col(f"{y}.n")
-    common = F.least(F.col(f"{x}.n") - F.col(f"{x}.u"), F.col(f"{y}.n") - F.col(f"{y}.u"))
+    most = []
+    for one, other in ((x, y), (y, x)):
+        lacks = sum(F.bit_count(F.col(f"{one}.mask")[i].bitwiseAND(F.bitwise_not(F.col(f"{other}.mask")[i])))
+                    for i in range(MASK_WORDS))
+        most.append(F.col(f"{one}.n") - F.greatest(F.col(f"{one}.u").cast("int"), lacks))
+    common = F.least(*most)
     return common * (1 + similarity) >= n * similarity - 1
 
 
 def still_open(members: DataFrame, seqs: DataFrame, similarity: float) -> DataFrame:
-    """Members (bucket, label, node, n) with ``u``, their number of own symbols, without those that can have
+    """Members (bucket, label, node, n, mask) with ``u``, their number of own symbols, without those that can have
     no link to another label of their bucket."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +171,7 @@ def still_open(members: DataFrame, seqs: DataFrame, similarity: float) -> DataFr
         F.count(F.lit(1)).alias("times"), F.min("k").alias("k")).filter("times = 1").groupBy("k").agg(
         F.count(F.lit(1)).alias("u"))
     counted = stage(members.withColumn("k", F.xxhash64("node")).join(own, "k", "left").select(
-        "bucket", "label", "node", "n", F.coalesce("u", F.lit(0)).alias("u")), "counted")
+        "bucket", "label", "node", "n", "mask", F.coalesce("u", F.lit(0)).alias("u")), "counted")
     # The fewest own symbols of a bucket under any label, and under any label but that one.
     low = counted.groupBy("bucket", "label").agg(F.min("u").alias("u"))
     first = low.groupBy("bucket").agg(F.min(F.struct("u", "label")).alias("first"))
@@ -176,8 +193,9 @@ def groups_of(sketches: DataFrame, texts: DataFrame, similarity: float, shingle:
             F.expr("slice(all, pos + 2, size(all))")).alias("y"))
     pairs = listed.filter(F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1).select(
         *ordered("x.node", "y.node"))
-    large = still_open(members.filter(F.col("size") > SMALL).withColumn("label", F.col("node")), seqs, similarity)
-    side = F.struct("label", "node", "n", "u")
+    large = still_open(members.filter(F.col("size") > SMALL).withColumn("label", F.col("node")).join(
+        seqs.select("node", "mask"), "node"), seqs, similarity)
+    side = F.struct("label", "node", "n", "u", "mask")
     for step in range(ROUNDS + 1):
         if step < ROUNDS:
             heads = large.groupBy("bucket").agg(F.min_by(side, F.struct(F.col("u") / F.col("n"), "node")).alias("y"))
@@ -195,8 +213,8 @@ def groups_of(sketches: DataFrame, texts: DataFrame, similarity: float, shingle:
         labels = stage(components(found), "labels")
         if step == ROUNDS:
             break
-        rest = large.join(heads, "bucket").filter(F.col("node") != F.col("y.node")).select("bucket", "node", "n").join(
-            labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        rest = large.join(heads, "bucket").filter(F.col("node") != F.col("y.node")).select(
+            "bucket", "node", "n", "mask").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         large = still_open(stage(rest, "rest"), seqs, similarity)
         if large.isEmpty():
             break
