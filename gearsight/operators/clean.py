@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from gearsight.functions import constants as C
 from gearsight.functions import expressions as X
+from gearsight.sources.schema import CSV_NAMES
 
 
 def drop_ids(df: DataFrame) -> DataFrame:
@@ -52,25 +53,23 @@ def leakage_firewall(df: DataFrame, extra: list[str] | None = None) -> DataFrame
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in banned])
 
 
+def tidy_name(header: str) -> str:
+    return re.sub(r"_{2,}", "_", re.sub(r"[^a-zA-Z0-9_]", "_", header)).strip("_")
+
+
 def normalize_names(df: DataFrame) -> DataFrame:
     """Header names reduced to letters, digits and single underscores."""
-    tidy = [re.sub(r"_{2,}", "_", re.sub(r"[^a-zA-Z0-9_]", "_", c)).strip("_") for c in df.columns]
-    return df.toDF(*tidy)
+    return df.toDF(*map(tidy_name, df.columns))
 
 
 def align_columns(df: DataFrame, names: list[str]) -> DataFrame:
-    """Model feature names onto table columns, trying the unit-bracketed header; raises on a miss."""
-    units = {" K": " [K]", " rpm": " [rpm]", " Nm": " [Nm]", " min": " [min]"}
-    picked = []
-    for name in names:
-        header = name.replace("_", " ")
-        for plain, bracketed in units.items():
-            header = header.replace(plain, bracketed)
-        found = next((c for c in (name, header) if c in df.columns), None)
-        if found is None:
-            raise KeyError(f"feature {name!r} has no matching column")
-        picked.append(F.col(f"`{found}`").alias(name))
-    return df.select(*picked)
+    """Model feature names onto table columns; a CSV header stands for its tidy name. Raises on a miss."""
+    present = set(df.columns)
+    headers = {tidy_name(h): h for h in CSV_NAMES if h in present}
+    missing = [n for n in names if n not in present and n not in headers]
+    if missing:
+        raise KeyError(f"features without a matching column: {missing}")
+    return df.select(*(F.col(f"`{n if n in present else headers[n]}`").alias(n) for n in names))
 
 
 def numeric_or_zero(col: Column) -> Column:
@@ -110,7 +109,7 @@ def sensor_columns(names: list[str], keywords: list[str] = C.NOISE_KEYWORDS) ->
 
 def feature_columns(df: DataFrame) -> list[str]:
     """Deterministic model input order: sorted, without meta columns."""
-    meta = {"machine_id", "readings_seen", "type", "event_id", "ts", "event_type", "value", C.TARGET, *C.MODES}
+    meta = {"machine_id", "readings_seen", "type", "event_id", "ts", "event_type", "value", "score", C.TARGET, *C.MODES}
     return sorted(c for c in numeric_columns(df) if c not in meta)
 
 

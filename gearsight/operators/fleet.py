@@ -110,8 +110,8 @@ def lookup_timestamp(scored: DataFrame, ts) -> DataFrame:
         "recommended_action", F.col(C.TARGET).alias("actual_failure_label"), *C.MODES)
 
 
-def predictions_vs_actual(predictions: DataFrame, actuals: DataFrame, on: list[str] = ("machine_id", "ts")) -> DataFrame:
-    """Equi-join of predictions with observed labels."""
+def predictions_vs_actual(predictions: DataFrame, actuals: DataFrame, on: list[str] = ("event_id",)) -> DataFrame:
+    """Equi-join of predictions with observed labels, by reading: two readings may share a machine and a time."""
     joined = predictions.join(actuals.select(*on, C.TARGET, *C.MODES), list(on))
     return with_tier(joined).withColumn("correct", (X.flag(F.col("score") >= 0.5) == F.col(C.TARGET)).cast("int"))
 
@@ -167,7 +167,7 @@ def borrowed_history(what_if: DataFrame, history: DataFrame, session: str = "mac
     if session not in ("machine", "cycle0"):
         raise ValueError("session must be 'machine' or 'cycle0'")
     asked = what_if.filter(F.col("borrow_ts").isNotNull())
-    exists = history.select("machine_id", F.col("ts").alias("borrow_ts")).distinct()
+    exists = history.select("machine_id", F.col("ts").alias("borrow_ts"))
     found = asked.join(exists, ["machine_id", "borrow_ts"], "left_semi").select("whatif_id", "machine_id", "borrow_ts")
     history = history.join(found.select("machine_id").distinct(), "machine_id", "left_semi")
     rows = history.select("machine_id", "ts", F.lit(1).alias("_real"), F.col("event_id").alias("_id"),

@@ -162,7 +162,7 @@ def rounded_features(spark, d):
 
 
 @query("feature_matrix", """SELECT event_id, machine_failure, air_temp, hdf_risk_flag, osf_risk_flag, round(power, 6) AS power,
-  round(power_per_temp, 6) AS power_per_temp, process_temp, pwf_risk_flag, rpm, round(score, 6) AS score,
+  round(power_per_temp, 6) AS power_per_temp, process_temp, pwf_risk_flag, rpm,
   round(strain_index, 6) AS strain_index, round(temp_diff, 6) AS temp_diff, tool_wear, torque,
   round(torque_per_wear, 9) AS torque_per_wear, twf_risk_flag, type_code, round(wear_rate, 6) AS wear_rate FROM scored""")
 def feature_matrix(spark, d):

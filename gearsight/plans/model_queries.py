@@ -238,7 +238,7 @@ def oof_scores(spark, d):
 @query("calibrate")
 def calibrate(spark, d):
     small = T.Boosting(trees=4, step=0.3, depth=4, min_rows=10)
-    return T.calibrate_and_seal(_rows(spark, d), PHYSICS, scratch(spark, "artifact"), 3, small)
+    return T.calibrate_and_seal(_rows(spark, d), PHYSICS, scratch(spark, "artifact"), 5, small)
 
 
 def _ablation(mode):

@@ -48,8 +48,6 @@ def buffer_session(spark, d):
     return W.buffer_session(W.tool_cycle(rows, layout=layout), layout=layout).select("event_id", "buffer_session")
 
 
-_GLOBAL = ["torque", "rpm", "power", "temp_diff"]
-
 
 def _rolling_sql(over: str, scope: str, cols: list[str], source: str) -> str:
     parts = ["event_id"]
@@ -82,10 +80,10 @@ def rolling_tool(spark, d):
     return _round_all(out.select("event_id", *names))
 
 
-@query("rolling_stream", _rolling_sql(STREAM, "global", _GLOBAL, "physics"))
+@query("rolling_stream", _rolling_sql(STREAM, "global", C.CORE_SIGNALS, "physics"))
 def rolling_stream(spark, d):
-    names = [f"{c}_global_{s}_{n}" for n in C.WINDOWS for c in _GLOBAL for s in ("mean", "std")]
-    return _round_all(W.rolling_features(physics(spark, d), _GLOBAL, by=[]).select("event_id", *names))
+    names = [f"{c}_global_{s}_{n}" for n in C.WINDOWS for c in C.CORE_SIGNALS for s in ("mean", "std")]
+    return _round_all(W.rolling_features(physics(spark, d), C.CORE_SIGNALS, by=[]).select("event_id", *names))
 
 
 _BFILL = ", ".join(
@@ -168,10 +166,10 @@ def rolling_failures(spark, d):
 
 @query("lag_pairs", " UNION ALL ".join(
     f"""SELECT * FROM (SELECT event_id, '{c}' AS signal, {k} AS lag, lag({c}, {k}) OVER ({BY_MACHINE}) AS x_before,
-  {c} AS x_now, machine_failure FROM telemetry) WHERE x_before IS NOT NULL"""
-    for c in ("torque", "rpm") for k in (1, 2)))
+  {c} AS x_now, machine_failure FROM physics) WHERE x_before IS NOT NULL"""
+    for c in C.LAG_SIGNALS for k in (1, 2)))
 def lag_pairs(spark, d):
-    return W.lag_pairs(S.telemetry(spark, d), ["torque", "rpm"])
+    return W.lag_pairs(physics(spark, d), C.LAG_SIGNALS)
 
 
 @query("assign_timeline", f"""SELECT event_id, cycle_id, TIMESTAMP '2026-01-01 00:00:00' + to_minutes(cycle_id) AS timeline_ts
