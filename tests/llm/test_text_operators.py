@@ -293,3 +293,14 @@ def test_hash_of_kept_text(spark):
     got = {r.doc_id: r.kept_sha256 for r in queries.QUERIES["op9_substring_dedup"](spark, SMALL).collect()}
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("doc_id").collect()]
     assert got == {d: hashlib.sha256(t.encode()).hexdigest() for d, t in brute_substrings(rows, 20).items()}
+
+
+def test_masks_never_understate_what_is_common():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 50, 300, 5000):
+        a = rng.integers(0, 1 << 32, n, dtype=np.uint32)
+        b = np.concatenate([a[: n // 2], rng.integers(0, 1 << 32, n // 3, dtype=np.uint32)])
+        for x, y in ((a, b), (b, a), (a, a)):
+            only = near_dedup.mask_of(x) & ~near_dedup.mask_of(y)
+            assert len(only) == near_dedup.MASK_WORDS
+            assert np.bitwise_count(only.view(np.uint64)).sum() <= len(set(x.tolist()) - set(y.tolist()))
