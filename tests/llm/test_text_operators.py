@@ -252,6 +252,21 @@ def test_mixing(spark, docs, empty):
     assert mixing.score_texts(empty).count() == 0
 
 
+@pytest.mark.parametrize("tasks", [3, 20])
+def test_tree_sum_beyond_four_bytes(spark, tasks):
+    """Counts near 2^31 in several tasks, by one round of merging and by two."""
+    data = np.zeros(mixing.PIECE, np.int32)
+    data[7], data[9] = (1 << 31) - 1, 5
+    parts = spark.createDataFrame([(1, part, bytearray(data.tobytes())) for part in range(tasks)],
+                                  "piece int, part int, data binary")
+    got = mixing.tree_sum(parts, tasks, 2 * mixing.PIECE)
+    assert got[mixing.PIECE + 7] == tasks * ((1 << 31) - 1) and got[mixing.PIECE + 9] == 5 * tasks
+    assert not got[:mixing.PIECE].any()
+    table = np.zeros((3, 4, 2), np.int64)
+    table[:, 0] = got[mixing.PIECE + 7], 1 << 32
+    assert np.isfinite(mixing.Predictors(table).logits).all()
+
+
 def test_code_is_a_distribution():
     """The mixed bits give probabilities of all symbols that add up to 1."""
     scorer = mixing.Scorer([f"w{i}".encode() for i in range(40)], np.arange(40, 0, -1), 900, 10)
