@@ -24,9 +24,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates, that of the smallest id."""
-    marked = near_dedup.classes(docs).filter("kept")
-    alone, several = marked.filter("class_size = 1"), marked.filter("class_size > 1").dropDuplicates(["class_id"])
-    return alone.unionByName(several).select(docs.columns)
+    return near_dedup.kept_rows(docs)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

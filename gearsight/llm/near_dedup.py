@@ -224,6 +224,23 @@ def groups_of(sketches: DataFrame, texts: DataFrame, similarity: float, shingle:
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8,
             shingle: int = 5, functions: int = 16, sample: int = 4) -> DataFrame:
     """All rows of ``docs`` with class_id, class_size and kept (the row of the smallest id of its class)."""
+    return unpacked(marked(docs, id_col, text_col, similarity, shingle, functions, sample), docs.columns, *MADE)
+
+
+def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8,
+              shingle: int = 5, functions: int = 16, sample: int = 4) -> DataFrame:
+    """One row of each class, that of the smallest id, ties by the hash of the text.
+
+    A class is known by its label: ids may be null or repeated, so several classes can share a class id.
+    """
+    kept = marked(docs, id_col, text_col, similarity, shingle, functions, sample).filter("kept")
+    several = kept.filter("class_size > 1").groupBy("label").agg(F.min_by("row", "node").alias("row"))
+    return unpacked(kept.filter("class_size = 1").select("row").unionByName(several.select("row")), docs.columns)
+
+
+def marked(docs: DataFrame, id_col: str, text_col: str, similarity: float, shingle: int, functions: int,
+           sample: int) -> DataFrame:
+    """Rows (row, id, node, label, class_id, class_size, kept); the label is the same for the rows of a class only."""
     text = F.coalesce(col(text_col), F.lit(""))
     node = F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
     rows = packed(docs, id=col(id_col), node=node, text=text)
@@ -249,8 +266,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
                                       F.count(F.lit(1)).alias("nodes"))
     total = named.agg(F.count(F.lit(1)), F.sum("n")).first()
     spread = F.unhex(F.hex(F.xxhash64("node")))
-    named = stage(attach(named.select("node", "n", "label"), sums, "label", "nodes", total[0], spread).drop("label"),
-                  "classes")
+    named = stage(attach(named.select("node", "n", "label"), sums, "label", "nodes", total[0], spread), "classes")
     spread = F.unhex(F.hex(F.xxhash64("id", F.monotonically_increasing_id())))
     out = attach(rows.select("row", "id", "node"), named, "node", "n", total[1] or 0, spread)
-    return unpacked(out.withColumn("kept", F.col("id").eqNullSafe(F.col("class_id"))), docs.columns, *MADE)
+    return out.withColumn("kept", F.col("id").eqNullSafe(F.col("class_id")))

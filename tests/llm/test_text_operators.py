@@ -84,6 +84,25 @@ def test_near_dedup(docs, empty):
     assert near_dedup.classes(empty).count() == 0
 
 
+def test_near_copies_without_an_id_of_their_own(spark, tables):
+    """Two groups of near copies without ids, two under one id, two lone texts under one id: each group keeps one row."""
+    import corpus_pipeline as pipeline
+
+    groups, rows = [], []
+    for g, ids in enumerate([(None, None), (None, None), (7, 7), (7, 8), (9,), (9,)]):
+        base = [f"g{g}w{i}" for i in range(60)]
+        texts = [" ".join([*base[:59], f"end{i}"]) for i in range(len(ids))]
+        groups.append(set(texts))
+        rows += zip(ids, texts)
+    out = pipeline.drop_near_copies(spark, tables(spark, rows, "doc_id long, text string"), SMALL)
+    assert out.columns == ["doc_id", "text"]
+    got = out.collect()
+    assert [sum(r.text in group for r in got) for group in groups] == [1] * len(groups)
+    first = {t: hashlib.sha256(t.encode()).digest() for t in set().union(*groups[:3])}
+    assert all(min(group, key=first.get) in {r.text for r in got} for group in groups[:3])
+    assert sorted(r.doc_id or 0 for r in got) == [0, 0, 7, 7, 9, 9]
+
+
 def test_near_dedup_closes_large_groups(spark, tables):
     """A family, a chain of texts that drift apart, and texts that only share a passage, in buckets beyond the limit."""
     rng = np.random.default_rng(1)
