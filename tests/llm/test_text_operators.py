@@ -286,6 +286,32 @@ def test_tree_sum_beyond_four_bytes(spark, tasks):
     assert np.isfinite(mixing.Predictors(table).logits).all()
 
 
+def test_weights_fit_all_training_texts(spark, tables, monkeypatch):
+    """Hundreds of copies of the text of the lowest hash among others: no other weights code all bits much shorter."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{min(i, 900)}" for i in rng.zipf(1.3, 80)) for _ in range(300)]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    texts += [frame.orderBy(F.xxhash64("text")).first().text] * 500
+    found, finish = [], mixing.Scorer.finish
+
+    def caught(self, given):
+        found.append((self, self.tables))
+        finish(self, given)
+
+    monkeypatch.setattr(mixing.Scorer, "finish", caught)
+    mixing.score_texts(tables(spark, [(None, t) for t in texts], "doc_id long, text string"))
+    scorer, counts = found[0]
+    _, place, _, symbol = scorer.tokens_of([[*t.encode().split(), b""] for t in texts])
+    _, bit, slots = mixing.word_bits(scorer.code, symbol, place)
+    logits, gate = mixing.inputs_without(counts[0], slots, bit)
+    lengths, weights = [], scorer.word_weights.copy()
+    for _ in range(200):
+        p = mixing.chance(weights[gate], logits)
+        lengths.append(-np.log(np.where(bit == 1, p, 1 - p), dtype=float).sum())
+        weights += mixing.steps(gate, 16, bit - p, p, logits, mixing.START_HOLD)
+    assert lengths[0] < 1.001 * min(lengths), (lengths[0], min(lengths))
+
+
 def test_code_is_a_distribution():
     """The mixed bits give probabilities of all symbols that add up to 1."""
     scorer = mixing.Scorer([f"w{i}".encode() for i in range(40)], np.arange(40, 0, -1), 900, 10)
