@@ -7,15 +7,17 @@ from gearsight.operators import evaluate as E
 from gearsight.operators import explain as EX
 from gearsight.operators import features as FE
 from gearsight.operators import fleet as FL
+from gearsight.operators import fusion as FU
 from gearsight.operators import noise as N
 from gearsight.operators import split as SP
+from gearsight.operators import windows as W
 from gearsight.operators.oversample import smote as oversample
 from gearsight.plans import training as T
 from gearsight.plans.fleet_queries import md5_sql
 from gearsight.plans.registry import normal_sql, query, uniform_sql
 from gearsight.plans.window_queries import STREAM
 from gearsight.sources import telemetry as S
-from gearsight.sources.staging import scratch
+from gearsight.sources.staging import scratch, staged
 
 
 def digits(df, cols, n=6):
@@ -204,17 +206,27 @@ def noise_pr(spark, d):
 
 # --- learned models ---------------------------------------------------------------------------
 
-PHYSICS = [*C.SENSORS, "power", "temp_diff", "strain_index"]
+#: What the serving model reads: the reading, what follows from it alone, its context, and the buffer features.
+CAUSAL = sorted([*C.SENSORS, "type_code", "power", "temp_diff", "torque_per_wear", "strain_index", "power_per_temp",
+                 *C.RISK_FLAGS, "risk_score", *C.ENV_FIELDS, *W.CAUSAL_DERIVED])
+
+
+def _readings(spark, d):
+    return FU.fuse_environment(S.telemetry(spark, d), S.environment(spark, d))
+
+
+def _causal(readings, by=None):
+    return W.causal_features(FE.instant_features(readings), by)
 
 
 def _rows(spark, d):
-    return FE.threshold_flags(FE.physics_features(S.telemetry(spark, d)))
+    return staged(_causal(_readings(spark, d)))
 
 
 def _fitted(spark, d):
     """(model on the first 80 %, all rows with their split mark)."""
-    rows = SP.chrono_split(_rows(spark, d))
-    return T.train(rows.filter(F.col("split") == "train"), PHYSICS, T.QUICK), rows
+    rows = staged(SP.chrono_split(_rows(spark, d)))
+    return T.train(rows.filter(F.col("split") == "train"), CAUSAL), rows
 
 
 @query("gbt_score")
@@ -232,18 +244,17 @@ def gbt_metrics(spark, d):
 
 @query("oof_scores")
 def oof_scores(spark, d):
-    return T.oof_scores(_rows(spark, d), PHYSICS, 5, T.Boosting(trees=4, step=0.3, depth=4, min_rows=10))
+    return T.oof_scores(_rows(spark, d), CAUSAL)
 
 
 @query("calibrate")
 def calibrate(spark, d):
-    small = T.Boosting(trees=4, step=0.3, depth=4, min_rows=10)
-    return T.calibrate_and_seal(_rows(spark, d), PHYSICS, scratch(spark, "artifact"), 5, small)
+    return T.calibrate_and_seal(_rows(spark, d), CAUSAL, scratch(spark, "artifact"))
 
 
 def _ablation(mode):
     def run(spark, d):
-        return T.ablation(S.telemetry(spark, d), mode, trees=4)
+        return T.ablation(S.telemetry(spark, d), mode)
     return run
 
 
@@ -253,11 +264,15 @@ for _mode in ("leaky", "strict", "tuned"):
 
 @query("robustness_model")
 def robustness_model(spark, d):
-    """Noise on held-out rows only, with a model that never saw them."""
-    rows = SP.stratified_split(S.telemetry(spark, d))
-    model = T.train(FE.physics_features(rows.filter(F.col("split") == "train")), PHYSICS, T.QUICK)
-    held_out = rows.filter(F.col("split") == "test")
-    return N.robustness_report(held_out, C.SENSORS, lambda noisy: T.score(model, FE.physics_features(noisy)), 0.5)
+    """Noise on all readings, so that a row's history is noisy too; only held-out rows, unseen in training, are scored."""
+    rows = staged(SP.stratified_split(_readings(spark, d)))
+    model = T.train(_causal(rows).filter(F.col("split") == "train"), CAUSAL)
+
+    def scored(noisy):
+        marked = _causal(noisy.withColumn("_noise", F.col("_tier.tier")), ["machine_id", "_noise"])
+        return T.score(model, marked.filter(F.col("split") == "test"))
+
+    return N.robustness_report(rows, C.SENSORS, scored, 0.5)
 
 
 @query("feature_importance")

@@ -34,9 +34,6 @@ class Boosting:
     seed: int = 42
 
 
-QUICK = Boosting(trees=8, step=0.3, depth=4, min_rows=10)
-
-
 def gbt_pipeline(features: list[str], params: Boosting = Boosting(), label: str = C.TARGET) -> Pipeline:
     """Assembler plus gradient-boosted trees; column sampling is per node, rows per tree."""
     gbt = GBTClassifier(

@@ -158,3 +158,24 @@ def test_checkpoint_folder_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert spark.conf.get("spark.checkpoint.dir").split(":")[-1] in spark.sparkContext.getCheckpointDir()
     assert scratch(spark, "x").startswith(shared_dir(spark))
+
+
+@pytest.mark.parametrize("name,trees,columns", [
+    ("gbt_metrics", 150, 59), ("oof_scores", 150, 59), ("calibrate", 150, 59), ("robustness_model", 150, 59),
+    ("feature_importance", 150, 59), ("ablation_leaky", 100, 11), ("ablation_strict", 100, 5), ("ablation_tuned", 100, 5)])
+def test_queries_fit_in_full(spark, monkeypatch, name, trees, columns):
+    """What a registered query asks of its first fit: all trees of the preset, all columns."""
+    from gearsight.plans import registry
+
+    registry.load_all()
+
+    class Asked(Exception):
+        pass
+
+    def fitted(features, params=T.Boosting(), label=C.TARGET):
+        raise Asked(len(features), params.trees)
+
+    monkeypatch.setattr(T, "gbt_pipeline", fitted)
+    with pytest.raises(Asked) as asked:
+        registry.QUERIES[name](spark, SMALL)
+    assert asked.value.args == (columns, trees)
