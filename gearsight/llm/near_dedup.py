@@ -15,7 +15,8 @@ threshold and lie in different components are compared; nodes that can reach it
 ROUNDS rounds the open nodes of a bucket meet a head, the node with the smallest share of own symbols, which is then
 done. What is still apart after that meets the others of its bucket, all but the largest component as lookers. A
 bucket's rows never multiply, and no node is left out.
-At 0.8 a pair of texts misses all 16 tuples of 4 with a chance of about 2 in 10,000.
+At 0.8 a pair of long texts misses all 16 tuples of 4 with a chance of about 2 in 10,000, a pair of short ones more
+often: with 4 of 5 symbols shared 2.8 %, with 8 of 10 about 0.15 %.
 
 Defined results: a null text counts as empty; equal texts, empty ones too, share a class; texts of less than five words
 have their whole word sequence as the one shingle; the class id is the smallest id, null only if all ids are; repeated

@@ -103,6 +103,23 @@ def test_near_copies_without_an_id_of_their_own(spark, tables):
     assert sorted(r.doc_id or 0 for r in got) == [0, 0, 7, 7, 9, 9]
 
 
+def test_near_dedup_stage_against_brute_force(spark):
+    import corpus_pipeline as pipeline
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").dropDuplicates(["text"])
+    rows = sorted((r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect())
+    found = [near_dedup.symbols(hashes_of(t.encode().split()), 5) for _, t in rows]
+    label = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if label[a] != label[b] and near_dedup.aligned(found[a], found[b], 0.8) >= 0.8:
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    wide = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in pipeline.drop_near_copies(spark, wide, SMALL).collect()}
+    assert got == {rows[x][0] for x in set(label)} and len(got) < len(rows)
+
+
 def test_near_dedup_closes_large_groups(spark, tables):
     """A family, a chain of texts that drift apart, and texts that only share a passage, in buckets beyond the limit."""
     rng = np.random.default_rng(1)
