@@ -3,7 +3,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from conftest import SMALL
+from paths import SMALL
 from gearsight.functions import constants as C
 from gearsight.operators import evaluate as E
 from gearsight.operators import explain as EX

@@ -3,7 +3,7 @@
 import pytest
 from oracle import compare, connect
 
-from conftest import SMALL
+from paths import SMALL
 from gearsight.plans import registry
 
 registry.load_all()
