@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gearsight.llm import chat, exact_dedup, mixing, near_dedup, packing, pieces, substring_dedup, topk, toxicity, url_filter
+from gearsight.llm import (bytebpe, chat, exact_dedup, mixing, near_dedup, packing, pieces, substring_dedup, topk, toxicity,
+                           url_filter)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -181,3 +182,13 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log10 probability of every document under the mixed model, beside a unigram one."""
     return mixing.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document by the multilingual byte-level vocabulary, and the bytes that they decode to."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    rows = bytebpe.decode(bytebpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
