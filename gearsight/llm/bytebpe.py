@@ -6,7 +6,8 @@ Encoding takes three steps:
    its word, and the block lists each of its words once, so frequent words are aggregated before anything is shuffled;
 2. the words of all blocks are sorted by word; each run of equal words is encoded once and its ids go back to all blocks
    that asked. A word has one row per block, so no word outgrows its share of a task, however frequent it is;
-3. each block meets its words' ids again and its documents are put together by position.
+3. each block meets its words' ids again and its documents are put together by position. The blocks lie in buckets, so
+   only the ids are shuffled.
 
 Decoding joins ids with the token-byte table, which has one row per token of the vocabulary and is broadcast.
 
@@ -20,26 +21,32 @@ from __future__ import annotations
 
 import base64
 import functools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gearsight.llm.common import col, drop_staged, packed, stage, unpacked
+from gearsight.llm.common import col, packed, stage, unpacked
 from gearsight.sources.staging import scratch
 
 #: A block ends at so many pre-tokens or distinct words.
 BLOCK_TOKENS, BLOCK_WORDS = 8_000_000, 1_000_000
 #: Words that leave a task as one Arrow batch.
 SEND_WORDS = 100_000
+#: Bytes of cells that are put together at a time.
+SLICE_BYTES = 2 << 20
 #: Rows whose ids are sent back together.
 ANSWER_ROWS = 400_000
+#: Most buckets of a table that Spark allows.
+MAX_BUCKETS = 100_000
 MADE = ("n_tokens", "ids")
 
 
@@ -65,29 +72,51 @@ class Numbers(dict):
 
 def shortened(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     """Each part of ``values`` (bounds[i] to bounds[i + 1]) as bytes of 7 bits, the last of a value with its top bit set."""
-    size = 1 + sum((values >= 1 << 7 * k).astype(np.int64) for k in range(1, 5))
+    most = max(int(values.max()).bit_length() if len(values) else 0, 1)
+    more = [values >= 1 << 7 * k for k in range(1, -(-most // 7))]
+    size = 1 + sum(m.astype(np.int64) for m in more) if more else np.ones(len(values), np.int64)
     end = np.cumsum(size)
     out = np.zeros(int(end[-1]) if len(end) else 0, np.uint8)
-    for k in range(5):
-        has = size > k
+    out[end - 1] = (values & 127) | 128
+    for k, has in enumerate(more, 1):
         out[end[has] - 1 - k] = (values[has] >> 7 * k) & 127
-    out[end - 1] |= 128
     at = np.concatenate([[0], end])[bounds]
     return [out[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
 
 
-def restored(data: bytes) -> np.ndarray:
-    """The values of ``shortened``."""
-    raw = np.frombuffer(data, np.uint8)
+def restored(raw: np.ndarray) -> np.ndarray:
+    """The values of ``shortened``, of one part or of several in a row."""
     last = np.flatnonzero(raw & 128)
-    first = np.concatenate([[0], last[:-1] + 1])
-    low, out = (raw & 127).astype(np.int64), np.zeros(len(last), np.int64)
-    for k in range(5):
-        has = last - first >= k
-        out[has] |= low[last[has] - k] << 7 * k
+    reach = np.diff(last, prepend=-1)
+    low = (raw & 127).astype(np.int64)
+    out, place, k = low[last], np.arange(len(last)), 1
+    while len(place := place[reach[place] > k]):
+        out[place] |= low[last[place] - k] << 7 * k
+        k += 1
     return out
 
 
+def slices(cells: pa.BinaryArray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of cells of about ``most`` bytes."""
+    end = np.cumsum(np.array([len(c.as_buffer()) if c.is_valid else 0 for c in cells]))
+    start = 0
+    while start < len(cells):
+        stop = max(start + 1, int(np.searchsorted(end, (end[start - 1] if start else 0) + most)))
+        yield start, min(stop, len(cells))
+        start = stop
+
+
+def parts(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """One binary cell for each range of the bytes ``values``."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [
+        None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(values)]).cast(pa.binary())
+
+
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of the ranges that begin at ``start``, one range behind the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 def exploded(docs: DataFrame, text_col: str, pattern: str) -> DataFrame:
     """Rows of two kinds: 'doc' (block, row, place: word numbers by position) and 'word' (block, word, at: its number)."""
     others = T.StructType([f for f in docs.schema.fields if f.name != text_col])
@@ -149,8 +178,7 @@ def answered(words: DataFrame, ranks: Broadcast) -> DataFrame:
         order = np.argsort(blocks, kind="stable")
         starts = np.cumsum(sizes) - sizes
         size = sizes[order]
-        take = np.repeat(starts[order] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        flat, edge = ids[take], np.concatenate([[0], np.cumsum(size)])
+        flat, edge = ids[spread(starts[order], size)], np.concatenate([[0], np.cumsum(size)])
         cut = np.flatnonzero(np.diff(blocks[order])) + 1
         cut = np.concatenate([[0], cut, [len(order)]])
         parts = list(zip(cut[:-1], cut[1:]))
@@ -190,45 +218,49 @@ def reassembled(rows: DataFrame, answers: DataFrame) -> DataFrame:
     out = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("n_tokens", T.LongType()),
                         T.StructField("ids", T.BinaryType())])
 
+    def numbers(cells: pa.ChunkedArray) -> np.ndarray:
+        return np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(c.as_buffer(), "<u4") for c in cells)])
+
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        at = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(x.as_py(), "<u4") for x in right.column("at"))])
-        sizes = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(x.as_py(), "<u4") for x in right.column("sizes"))])
-        ids = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(x.as_py(), "<u4") for x in right.column("ids"))])
+        at, sizes, ids = (numbers(right.column(name)) for name in ("at", "sizes", "ids"))
         start, size = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-        start[at], size[at] = np.cumsum(sizes) - sizes, sizes
-        counts, cells = [], []
-        for place in left.column("place"):
-            word = restored(place.as_py())
-            n = size[word]
-            take = np.repeat(start[word] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            counts.append(len(take))
-            cells.append(ids[take].tobytes())
-        return pa.table({"row": left.column("row"), "n_tokens": pa.array(counts, pa.int64()),
-                         "ids": pa.array(cells, pa.binary())})
+        start[at], size[at] = np.cumsum(sizes, dtype=np.int64) - sizes, sizes
+        counts, cells, places = [], [], left.column("place").combine_chunks()
+        for a, b in slices(places):
+            raw = [np.frombuffer(p.as_buffer(), np.uint8) for p in places[a:b]]
+            words = np.cumsum([0, *(np.count_nonzero(r & 128) for r in raw)])
+            found = restored(np.concatenate(raw))
+            edge = np.concatenate([[0], np.cumsum(size[found])])[words]
+            counts.append(np.diff(edge))
+            cells.append(parts(ids[spread(start[found], size[found])].view(np.uint8), edge * 4))
+        return pa.table({"row": left.column("row"), "n_tokens": pa.array(np.concatenate(counts), pa.int64()),
+                         "ids": pa.chunked_array(cells, pa.binary())})
 
     return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(join, out)
 
 
-def folder(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The table in a folder, an empty one if nothing was written there."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
+def by_block(df: DataFrame) -> DataFrame:
+    """The table written to the shared folder in buckets by block: grouping by block needs no shuffle of it.
+
+    A task has few blocks, so it writes few files. The name in the catalog goes at once, the files stay.
+    """
+    spark, name = df.sparkSession, f"pre_tokens_{uuid.uuid4().hex}"
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_BUCKETS)
+    df.write.bucketBy(buckets, "block").option("compression", "zstd").option("path", scratch(spark, "pre-tokens")).saveAsTable(name)
+    table = spark.table(name)
+    table.schema  # resolved before the name goes
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """The columns of ``docs`` but the text, with n_tokens and ids (little-endian 32-bit numbers)."""
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
-    both = exploded(docs, text_col, pattern)
-    path = scratch(spark, "pre-tokens")
-    both.write.partitionBy("kind").option("compression", "zstd").parquet(path)
-    fields = T.StructType([f for f in both.schema.fields if f.name != "kind"])
-    words = folder(spark, f"{path}/kind=word", fields).select("block", "word", "at")
+    made = by_block(exploded(docs, text_col, pattern))
+    words = made.filter(F.col("kind") == "word").select("block", "word", "at")
     answers = stage(answered(words, ranks), "word-ids")
-    drop_staged(spark, words)
-    rows = folder(spark, f"{path}/kind=doc", fields).select("block", "row", "place")
+    rows = made.filter(F.col("kind") == "doc").select("block", "row", "place")
     out = reassembled(rows, answers)
     return unpacked(out, [f.name for f in docs.schema.fields if f.name != text_col], *MADE)
 
@@ -237,21 +269,23 @@ def decode(rows: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
     """``rows`` with decoded: the bytes of each row's ids (little-endian 32-bit numbers), joined in order."""
     spark = rows.sparkSession
     table = spark.sparkContext.broadcast({i: token for token, i in read_ranks(ranks_path).items()})
-    both = packed(rows, ids=col(ids_col))
+    both, place = packed(rows), rows.columns.index(ids_col)
     out = T.StructType([both.schema["row"], T.StructField("decoded", T.BinaryType())])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         most = max(table.value, default=-1) + 1
-        tokens = pa.array([table.value.get(i, b"") for i in range(most)] + [b""], pa.binary())
-        for b in batches:
-            cells = []
-            for ids in b.column("ids"):
-                if not ids.is_valid:
-                    cells.append(None)
-                    continue
-                found = np.minimum(np.frombuffer(ids.as_buffer(), "<u4"), most)
-                # the taken tokens lie one behind the other in the buffer of the result
-                cells.append(b"".join(tokens.take(pa.array(found)).to_pylist()))
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(cells, pa.binary())], names=["row", "decoded"])
+        tokens = pa.array([table.value.get(i, b"") for i in range(most)] + [b""], pa.large_binary())
+        for batch in batches:
+            row = batch.column("row")
+            held = row.field(place)
+            for a, b in slices(held):
+                given = [np.frombuffer(c.as_buffer() if c.is_valid else b"", "<u4") for c in held[a:b]]
+                found = tokens.take(pa.array(np.minimum(np.concatenate(given), most)))
+                # the taken tokens lie one behind the other in the result's buffer: only bounds are needed
+                offsets = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1)
+                edge = offsets[np.cumsum([0, *map(len, given)])]
+                cells = parts(np.frombuffer(found.buffers()[2] or b"", np.uint8), edge)
+                cells = pc.if_else(held[a:b].is_valid(), cells, pa.scalar(None, pa.binary()))
+                yield pa.RecordBatch.from_arrays([row[a:b], cells], names=["row", "decoded"])
 
     return unpacked(both.mapInArrow(join, out), rows.columns, "decoded")

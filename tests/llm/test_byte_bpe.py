@@ -68,7 +68,9 @@ def test_decoding_of_odd_ids(spark):
 def test_short_numbers():
     values = np.array([0, 1, 127, 128, 16383, 16384, 2**21, 2**28, 2**33 - 1, 5])
     cells = bytebpe.shortened(values, np.array([0, 0, 4, 10]))
-    assert [bytebpe.restored(c).tolist() for c in cells] == [[], values[:4].tolist(), values[4:].tolist()]
+    raw = [np.frombuffer(c, np.uint8) for c in cells]
+    assert [bytebpe.restored(r).tolist() for r in raw] == [[], values[:4].tolist(), values[4:].tolist()]
+    assert bytebpe.restored(np.concatenate(raw)).tolist() == values.tolist()
 
 
 def test_query(spark, library):
