@@ -181,12 +181,10 @@ def answered(words: DataFrame, ranks: Broadcast) -> DataFrame:
         flat, edge = ids[spread(starts[order], size)], np.concatenate([[0], np.cumsum(size)])
         cut = np.flatnonzero(np.diff(blocks[order])) + 1
         cut = np.concatenate([[0], cut, [len(order)]])
-        parts = list(zip(cut[:-1], cut[1:]))
         yield pa.RecordBatch.from_pydict({
-            "block": pa.array([int(blocks[order[a]]) for a, _ in parts], pa.int64()),
-            "at": pa.array([at[order[a:b]].astype("<u4").tobytes() for a, b in parts], pa.binary()),
-            "sizes": pa.array([size[a:b].astype("<u4").tobytes() for a, b in parts], pa.binary()),
-            "ids": pa.array([flat[edge[a]:edge[b]].astype("<u4").tobytes() for a, b in parts], pa.binary())})
+            "block": pa.array(blocks[order[cut[:-1]]], pa.int64()),
+            "at": pa.array(shortened(at[order], cut), pa.binary()), "sizes": pa.array(shortened(size, cut), pa.binary()),
+            "ids": pa.array(shortened(flat, edge[cut]), pa.binary())})
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merge = merger(key, ranks).encode_ordinary
@@ -200,7 +198,7 @@ def answered(words: DataFrame, ranks: Broadcast) -> DataFrame:
                     last, ids = word, merge(word)
                 sizes.append(len(ids))
                 flat.extend(ids)
-            held.append((b.column("block").to_numpy(), b.column("at").to_numpy(), np.array(sizes, np.int64),
+            held.append((b.column("block").to_numpy(), b.column("at").to_numpy().astype(np.int64), np.array(sizes, np.int64),
                          np.array(flat, np.int64)))
             rows += b.num_rows
             if rows >= ANSWER_ROWS:
@@ -219,12 +217,13 @@ def reassembled(rows: DataFrame, answers: DataFrame) -> DataFrame:
                         T.StructField("ids", T.BinaryType())])
 
     def numbers(cells: pa.ChunkedArray) -> np.ndarray:
-        return np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(c.as_buffer(), "<u4") for c in cells)])
+        return restored(np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(c.as_buffer(), np.uint8) for c in cells)]))
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         at, sizes, ids = (numbers(right.column(name)) for name in ("at", "sizes", "ids"))
         start, size = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-        start[at], size[at] = np.cumsum(sizes, dtype=np.int64) - sizes, sizes
+        start[at], size[at] = np.cumsum(sizes) - sizes, sizes
+        ids = ids.astype("<u4")
         counts, cells, places = [], [], left.column("place").combine_chunks()
         for a, b in slices(places):
             raw = [np.frombuffer(p.as_buffer(), np.uint8) for p in places[a:b]]
