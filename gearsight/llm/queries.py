@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gearsight.llm import (bytebpe, chat, exact_dedup, mixing, near_dedup, packing, pieces, substring_dedup, topk, toxicity,
-                           url_filter)
+from gearsight.llm import (bytebpe, chat, exact_dedup, mixing, near_dedup, packing, pieces, spelling, substring_dedup,
+                           topk, toxicity, url_filter)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -192,3 +193,21 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bytebpe.decode(bytebpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def drop_letter(doc: bytes, word: bytes) -> bytes:
+    """The word without one letter, in one of 199 pairs of document and word."""
+    h = zlib.crc32(word, zlib.crc32(doc + b":"))
+    if h % 199:
+        return word
+    text = word.decode()
+    at = h % len(text)
+    return (text[:at] + text[at + 1:]).encode()
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, some of them misspelt on purpose, under their frequent forms."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.variants(spelling.count_words(docs, alter=drop_letter)).select(
+        "word", "form", "root", "n", "n_near", "form_n")
