@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gearsight.llm import (bytebpe, chat, exact_dedup, mixing, near_dedup, packing, pieces, spelling, substring_dedup,
-                           topk, toxicity, url_filter)
+from gearsight.llm import (bytebpe, chat, exact_dedup, mixing, near_dedup, packing, pieces, repair, spelling,
+                           substring_dedup, topk, toxicity, url_filter)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -211,3 +211,26 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return spelling.variants(spelling.count_words(docs, alter=drop_letter)).select(
         "word", "form", "root", "n", "n_near", "form_n")
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with dropped, emptied, cut and repeated rows and wrong roles, by a checksum of conversation and turn."""
+    key = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))
+    what, role, text = F.crc32(key.cast("binary")) % 20, *(F.coalesce(F.col(c), F.lit(" ")) for c in ("role", "text"))
+    return rows.select("conv_id", "turn", F.when(what == 4, "user").otherwise(role).alias("role"), F.when(what == 1, "").when(
+        what == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"), what.alias("what")).filter(
+        "what <> 0").withColumn("copy", F.explode(F.when(F.col("what") == 3, F.array(F.lit(0), F.lit(1))).otherwise(
+            F.array(F.lit(0))))).select("conv_id", "turn", "role", "text")
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and digest of every conversation after damage; lost ones have none."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = repair.repair(damaged(rows), "report").withColumnRenamed("conv_id", "found_id").withColumn("there", F.lit(True))
+    every = rows.select("conv_id").distinct()
+    out = every.join(found, F.col("conv_id").eqNullSafe(F.col("found_id")), "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return out.select("conv_id", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts),
+                      F.coalesce("audit", F.lit("")).alias("audit"),
+                      F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
