@@ -42,7 +42,7 @@ BLOCK_TOKENS, BLOCK_WORDS = 8_000_000, 1_000_000
 #: Words that leave a task as one Arrow batch.
 SEND_WORDS = 100_000
 #: Bytes of cells that are put together at a time.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 256 << 10
 #: Rows whose ids are sent back together.
 ANSWER_ROWS = 400_000
 #: Most buckets of a table that Spark allows.
@@ -88,11 +88,11 @@ def restored(raw: np.ndarray) -> np.ndarray:
     """The values of ``shortened``, of one part or of several in a row."""
     last = np.flatnonzero(raw & 128)
     reach = np.diff(last, prepend=-1)
-    low = (raw & 127).astype(np.int64)
-    out, place, k = low[last], np.arange(len(last)), 1
-    while len(place := place[reach[place] > k]):
-        out[place] |= low[last[place] - k] << 7 * k
+    out, place, k = (raw[last] & 127).astype(np.int64), np.flatnonzero(reach > 1), 1
+    while len(place):
+        out[place] |= raw[last[place] - k].astype(np.int64) << 7 * k
         k += 1
+        place = place[reach[place] > k]
     return out
 
 
@@ -217,7 +217,7 @@ def reassembled(rows: DataFrame, answers: DataFrame) -> DataFrame:
                         T.StructField("ids", T.BinaryType())])
 
     def numbers(cells: pa.ChunkedArray) -> np.ndarray:
-        return restored(np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(c.as_buffer(), np.uint8) for c in cells)]))
+        return np.concatenate([np.zeros(0, np.int64), *(restored(np.frombuffer(c.as_buffer(), np.uint8)) for c in cells)])
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         at, sizes, ids = (numbers(right.column(name)) for name in ("at", "sizes", "ids"))
@@ -232,6 +232,7 @@ def reassembled(rows: DataFrame, answers: DataFrame) -> DataFrame:
             edge = np.concatenate([[0], np.cumsum(size[found])])[words]
             counts.append(np.diff(edge))
             cells.append(parts(ids[spread(start[found], size[found])].view(np.uint8), edge * 4))
+        pa.default_memory_pool().release_unused()
         return pa.table({"row": left.column("row"), "n_tokens": pa.array(np.concatenate(counts), pa.int64()),
                          "ids": pa.chunked_array(cells, pa.binary())})
 
@@ -275,6 +276,7 @@ def decode(rows: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
         most = max(table.value, default=-1) + 1
         tokens = pa.array([table.value.get(i, b"") for i in range(most)] + [b""], pa.large_binary())
         for batch in batches:
+            pa.default_memory_pool().release_unused()
             row = batch.column("row")
             held = row.field(place)
             for a, b in slices(held):
