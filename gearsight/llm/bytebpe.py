@@ -20,6 +20,7 @@ Ids that are not in the vocabulary decode to nothing. Null ids decode to null.
 from __future__ import annotations
 
 import base64
+import ctypes
 import functools
 import uuid
 from collections.abc import Iterator
@@ -70,6 +71,14 @@ class Numbers(dict):
         return out
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: a worker lives on through steps of different needs."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def shortened(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     """Each part of ``values`` (bounds[i] to bounds[i + 1]) as bytes of 7 bits, the last of a value with its top bit set."""
     most = max(int(values.max()).bit_length() if len(values) else 0, 1)
@@ -117,6 +126,19 @@ def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
+def token_table(tokens: dict[int, bytes]) -> pa.Array:
+    """The token-byte table by id; one empty row more for ids that are not in it."""
+    return pa.array([tokens.get(i, b"") for i in range(max(tokens, default=-1) + 2)], pa.large_binary())
+
+
+def joined_bytes(ids: np.ndarray, bounds: np.ndarray, table: pa.Array) -> pa.Array:
+    """The bytes of each part of ``ids``: every id joined with the table, in order."""
+    found = table.take(pa.array(np.minimum(ids, len(table) - 1)))
+    # the taken tokens lie one behind the other in the result's buffer: only bounds are needed
+    offsets = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1)
+    return parts(np.frombuffer(found.buffers()[2] or b"", np.uint8), offsets[bounds])
+
+
 def exploded(docs: DataFrame, text_col: str, pattern: str) -> DataFrame:
     """Rows of two kinds: 'doc' (block, row, place: word numbers by position) and 'word' (block, word, at: its number)."""
     others = T.StructType([f for f in docs.schema.fields if f.name != text_col])
@@ -166,6 +188,8 @@ def exploded(docs: DataFrame, text_col: str, pattern: str) -> DataFrame:
                     numbers, block, tokens = Numbers(), block + 1, 0
         if numbers:
             yield from words(block, numbers)
+        numbers.clear()
+        give_back()
 
     return rows.select("text", "row", "part").mapInArrow(explode, out)
 
@@ -211,30 +235,38 @@ def answered(words: DataFrame, ranks: Broadcast) -> DataFrame:
         answer, "block long, at binary, sizes binary, ids binary")
 
 
-def reassembled(rows: DataFrame, answers: DataFrame) -> DataFrame:
-    """(row, n_tokens, ids) of every document: the ids of its words by position."""
+def reassembled(rows: DataFrame, answers: DataFrame, tokens: Broadcast | None) -> DataFrame:
+    """(row, n_tokens, ids) of every document: the ids of its words by position; also decoded, if there are ``tokens``."""
     out = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("n_tokens", T.LongType()),
                         T.StructField("ids", T.BinaryType())])
+    if tokens is not None:
+        out.add("decoded", T.BinaryType())
 
     def numbers(cells: pa.ChunkedArray) -> np.ndarray:
         return np.concatenate([np.zeros(0, np.int64), *(restored(np.frombuffer(c.as_buffer(), np.uint8)) for c in cells)])
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
+        give_back()
         at, sizes, ids = (numbers(right.column(name)) for name in ("at", "sizes", "ids"))
         start, size = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
         start[at], size[at] = np.cumsum(sizes) - sizes, sizes
         ids = ids.astype("<u4")
-        counts, cells, places = [], [], left.column("place").combine_chunks()
+        table = token_table(tokens.value) if tokens is not None else None
+        counts, cells, decoded, places = [], [], [], left.column("place").combine_chunks()
         for a, b in slices(places):
             raw = [np.frombuffer(p.as_buffer(), np.uint8) for p in places[a:b]]
             words = np.cumsum([0, *(np.count_nonzero(r & 128) for r in raw)])
             found = restored(np.concatenate(raw))
             edge = np.concatenate([[0], np.cumsum(size[found])])[words]
             counts.append(np.diff(edge))
-            cells.append(parts(ids[spread(start[found], size[found])].view(np.uint8), edge * 4))
-        pa.default_memory_pool().release_unused()
-        return pa.table({"row": left.column("row"), "n_tokens": pa.array(np.concatenate(counts), pa.int64()),
-                         "ids": pa.chunked_array(cells, pa.binary())})
+            flat = ids[spread(start[found], size[found])]
+            cells.append(parts(flat.view(np.uint8), edge * 4))
+            if table is not None:
+                decoded.append(joined_bytes(flat, edge, table))
+        give_back()
+        made = {"row": left.column("row"), "n_tokens": pa.array(np.concatenate(counts), pa.int64()),
+                "ids": pa.chunked_array(cells, pa.binary())}
+        return pa.table(made | ({"decoded": pa.chunked_array(decoded, pa.binary())} if tokens is not None else {}))
 
     return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(join, out)
 
@@ -253,16 +285,21 @@ def by_block(df: DataFrame) -> DataFrame:
     return table
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """The columns of ``docs`` but the text, with n_tokens and ids (little-endian 32-bit numbers)."""
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", round_trip: bool = False) -> DataFrame:
+    """The columns of ``docs`` but the text, with n_tokens and ids (little-endian 32-bit numbers).
+
+    ``round_trip`` adds decoded, the bytes of the ids as ``decode`` gives them, without a second pass over the ids.
+    """
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
+    tokens = spark.sparkContext.broadcast({i: token for token, i in ranks.value.items()}) if round_trip else None
     made = by_block(exploded(docs, text_col, pattern))
     words = made.filter(F.col("kind") == "word").select("block", "word", "at")
     answers = stage(answered(words, ranks), "word-ids")
     rows = made.filter(F.col("kind") == "doc").select("block", "row", "place")
-    out = reassembled(rows, answers)
-    return unpacked(out, [f.name for f in docs.schema.fields if f.name != text_col], *MADE)
+    out = reassembled(rows, answers, tokens)
+    made = (*MADE, "decoded") if round_trip else MADE
+    return unpacked(out, [f.name for f in docs.schema.fields if f.name != text_col], *made)
 
 
 def decode(rows: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
@@ -273,19 +310,14 @@ def decode(rows: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
     out = T.StructType([both.schema["row"], T.StructField("decoded", T.BinaryType())])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        most = max(table.value, default=-1) + 1
-        tokens = pa.array([table.value.get(i, b"") for i in range(most)] + [b""], pa.large_binary())
+        tokens = token_table(table.value)
         for batch in batches:
-            pa.default_memory_pool().release_unused()
+            give_back()
             row = batch.column("row")
             held = row.field(place)
             for a, b in slices(held):
                 given = [np.frombuffer(c.as_buffer() if c.is_valid else b"", "<u4") for c in held[a:b]]
-                found = tokens.take(pa.array(np.minimum(np.concatenate(given), most)))
-                # the taken tokens lie one behind the other in the result's buffer: only bounds are needed
-                offsets = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1)
-                edge = offsets[np.cumsum([0, *map(len, given)])]
-                cells = parts(np.frombuffer(found.buffers()[2] or b"", np.uint8), edge)
+                cells = joined_bytes(np.concatenate(given), np.cumsum([0, *map(len, given)]), tokens)
                 cells = pc.if_else(held[a:b].is_valid(), cells, pa.scalar(None, pa.binary()))
                 yield pa.RecordBatch.from_arrays([row[a:b], cells], names=["row", "decoded"])
 

@@ -190,7 +190,7 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by the multilingual byte-level vocabulary, and the bytes that they decode to."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    rows = bytebpe.decode(bytebpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    rows = bytebpe.encode(docs, ranks, public_tokenizers.PATTERN, round_trip=True)
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -38,6 +38,8 @@ def test_equals_the_library(spark, tables, library, monkeypatch, tokens, words):
     monkeypatch.setattr(bytebpe, "BLOCK_WORDS", words)
     docs = rows_of(spark, tables, TEXTS)
     out = bytebpe.decode(bytebpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS)
+    both = bytebpe.encode(docs, RANKS, public_tokenizers.PATTERN, round_trip=True)
+    assert sorted(map(str, both.collect())) == sorted(map(str, out.collect()))
     assert out.columns == ["doc_id", "word", "block", "place", "row", "kind", "n_tokens", "ids", "decoded"]
     got = {r.doc_id: r for r in out.collect()}
     assert len(got) == len(TEXTS)
