@@ -3,9 +3,14 @@
 The search never pairs all minority rows and never gathers them:
 
 1. copies of one point are reduced to the ``k + 1`` smallest ids (no other copy can be a neighbour);
-2. a k-d split of a sample (driver, at most MAX_CELLS cells) sends each point to one cell;
+2. sampled points are pivots (driver, at most MAX_CELLS), every point goes to the cell of its nearest pivot;
 3. each cell finds the neighbours of its own points, which bounds the neighbour distance;
-4. a point whose ball reaches other cells also asks those cells; the answers are merged.
+4. a point asks another cell only if the triangle inequality leaves room for a nearer point there: the cell's radius
+   around its pivot and the plane half way between both pivots give two lower bounds. The answers are merged.
+
+Distances are over all columns at once, so columns that are mostly zero or mostly equal neither pile points into one
+cell nor open others: only equal points share a place, and of those ``k + 1`` are left. Large cells are cut in the task by
+pivots of their own in the same way.
 """
 
 from __future__ import annotations
@@ -25,46 +30,14 @@ from gearsight.sources.staging import staged
 
 CELL_ROWS = 2_000
 MAX_CELLS = 16_384
-SAMPLE_PER_CELL = 100
-MAX_SAMPLE_VALUES = 20_000_000
+#: Points drawn per pivot wanted, so that a few are left over.
+PIVOT_DRAW = 4
+#: What rounding may add to a bound, as a share of the distances in it.
+SLACK = 1e-9
 COPIES_PER_TASK_ROW = 100_000
 CHUNK = 256
 
 
-def kd_splits(points: np.ndarray, depth: int) -> list[tuple[int, float]]:
-    """Heap-ordered (axis, cut) of a balanced k-d split; node i has children 2i+1 and 2i+2."""
-    nodes: list[tuple[int, float]] = [(0, 0.0)] * (2 ** depth - 1)
-    todo = [(0, points)]
-    while todo:
-        i, pts = todo.pop()
-        if i >= len(nodes):
-            continue
-        axis = int(np.argmax(pts.max(axis=0) - pts.min(axis=0))) if len(pts) else 0
-        cut = float(np.median(pts[:, axis])) if len(pts) else 0.0
-        nodes[i] = (axis, cut)
-        left = pts[:, axis] < cut if len(pts) else np.zeros(0, bool)
-        todo += [(2 * i + 1, pts[left]), (2 * i + 2, pts[~left])]
-    return nodes
-
-
-def cells_in_reach(nodes: list[tuple[int, float]], points: np.ndarray, reach: np.ndarray,
-                   strict: bool = False) -> Iterator[tuple[int, np.ndarray]]:
-    """(cell, row numbers of the points whose ball of radius ``reach`` touches the cell); with ``strict`` the one
-    cell each point belongs to."""
-    todo = [(0, np.arange(len(points)))]
-    while todo:
-        i, rows = todo.pop()
-        if not len(rows):
-            continue
-        if i >= len(nodes):
-            yield i - len(nodes), rows
-            continue
-        axis, cut = nodes[i]
-        gap = points[rows, axis] - cut
-        right = gap >= 0 if strict else gap >= -reach[rows]
-        todo += [(2 * i + 1, rows[gap < 0 if strict else gap < reach[rows]]), (2 * i + 2, rows[right])]
-
-
 def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Sum over columns in order, so that equal inputs give bit-equal results everywhere."""
     total = np.zeros((len(a), len(b)))
@@ -91,20 +64,56 @@ def closest(q: np.ndarray, pts: np.ndarray, ids: np.ndarray, k: int) -> tuple[np
     return d2, nn
 
 
+class Pivots:
+    """A partition of space by the nearest pivot, ties to the first one."""
+
+    def __init__(self, at: np.ndarray):
+        self.at = at
+
+    def distances(self, points: np.ndarray) -> np.ndarray:
+        return np.sqrt(squared_distances(points, self.at))
+
+    def in_reach(self, points: np.ndarray, home: np.ndarray, reach: np.ndarray,
+                 radius: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(cell, row numbers of the points that may have a point nearer than ``reach`` in it), home cells left out.
+
+        ``radius`` is the largest distance of a cell's points from its pivot, negative for an empty cell. The bounds are
+        taken a little smaller than computed, as rounding must not lose a cell.
+        """
+        far = self.distances(points)
+        own = far[np.arange(len(points)), home][:, None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            homes, which = np.unique(home, return_inverse=True)
+            plane = (far * far - own * own) / (2 * self.distances(self.at[homes])[which])
+        plane[~np.isfinite(plane)] = 0
+        slack = SLACK * (far + own)
+        visit = (np.maximum(far - radius, plane) - slack <= reach[:, None]) & (radius >= 0)
+        visit[np.arange(len(points)), home] = False
+        for cell in np.flatnonzero(visit.any(axis=0)):
+            yield int(cell), np.flatnonzero(visit[:, cell])
+
+
+def chunks(n: int) -> Iterator[slice]:
+    return (slice(at, at + CHUNK) for at in range(0, n, CHUNK))
+
+
 def closest_in_leaves(q: np.ndarray, pts: np.ndarray, ids: np.ndarray, k: int, leaf_rows: int):
-    """As ``closest`` for a crowded cell: the same bound-then-visit search over k-d leaves inside the task."""
+    """As ``closest`` for a crowded cell: the same bound-then-visit search over pivots inside the task."""
     if len(pts) <= 2 * leaf_rows:
         return closest(q, pts, ids, k)
-    nodes = kd_splits(pts, math.ceil(math.log2(len(pts) / leaf_rows)))
-    none = np.zeros(len(pts))
-    members = {leaf: rows for leaf, rows in cells_in_reach(nodes, pts, none, strict=True)}
+    distinct = np.unique(pts, axis=0)
+    step = max(1, len(distinct) // math.ceil(len(pts) / leaf_rows))
+    pivots = Pivots(np.random.default_rng(13).permutation(distinct)[::step])
+    near = [pivots.distances(pts[c]) for c in chunks(len(pts))]
+    leaf = np.concatenate([n.argmin(axis=1) for n in near])
+    radius = np.full(len(pivots.at), -1.0)
+    np.maximum.at(radius, leaf, np.concatenate([n.min(axis=1) for n in near]))
+    order = np.argsort(leaf, kind="stable")
+    edge = np.searchsorted(leaf[order], np.arange(len(pivots.at) + 1))
     d2, nn = np.full((len(q), k), np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
-    home = np.full(len(q), -1)
 
-    def visit(leaf: int, rows: np.ndarray) -> None:
-        if not len(rows) or leaf not in members:
-            return
-        own = members[leaf]
+    def visit(cell: int, rows: np.ndarray) -> None:
+        own = order[edge[cell]:edge[cell + 1]]
         more_d, more_n = closest(q[rows], pts[own], ids[own], k)
         all_d, all_n = np.hstack([d2[rows], more_d]), np.hstack([nn[rows], more_n])
         by_id = np.argsort(all_n, axis=1, kind="stable")
@@ -112,12 +121,13 @@ def closest_in_leaves(q: np.ndarray, pts: np.ndarray, ids: np.ndarray, k: int, l
         best = np.argsort(all_d, axis=1, kind="stable")[:, :k]
         d2[rows], nn[rows] = np.take_along_axis(all_d, best, 1), np.take_along_axis(all_n, best, 1)
 
-    for leaf, rows in cells_in_reach(nodes, q, np.zeros(len(q)), strict=True):
-        home[rows] = leaf
-        visit(leaf, rows)
-    reach = np.nextafter(np.sqrt(d2[:, -1]), np.inf)
-    for leaf, rows in cells_in_reach(nodes, q, reach):
-        visit(leaf, rows[home[rows] != leaf])
+    home = np.concatenate([pivots.distances(q[c]).argmin(axis=1) for c in chunks(len(q))])
+    for cell in np.unique(home):
+        visit(int(cell), np.flatnonzero(home == cell))
+    for c in chunks(len(q)):
+        rows = np.arange(len(q))[c]
+        for cell, some in pivots.in_reach(q[c], home[c], np.sqrt(d2[c, -1]), radius):
+            visit(cell, rows[some])
     return d2, nn
 
 
@@ -138,40 +148,48 @@ def nearest_neighbours(df: DataFrame, cols: list[str], k: int, row_id: str, cell
     # the coordinates travel as one array column, which is also the key of equal points
     base = df.select(F.col(row_id).cast("bigint").alias("id"),
                      F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
-    copies = (base.withColumn("_copy", F.row_number().over(Window.partitionBy("x").orderBy("id")))
+    same = Window.partitionBy("x").orderBy("id")
+    upto = same.rowsBetween(Window.unboundedPreceding, 0)
+    points = (base.withColumn("_copy", F.row_number().over(same)).withColumn("point", F.first("id").over(upto))
               .filter(F.col("_copy") <= k + 1).drop("_copy"))
-    points = copies.withColumn("point", F.min("id").over(Window.partitionBy("x")))
-    n = copies.count()
-    depth = min(int(math.log2(MAX_CELLS)), max(0, math.ceil(math.log2(max(1, n / cell_rows)))))
-    nodes: list[tuple[int, float]] = []
-    if depth:
-        share = min(1.0, (2 ** depth) * SAMPLE_PER_CELL / n, MAX_SAMPLE_VALUES / len(cols) / n)
-        nodes = kd_splits(matrix(copies.select("x").sample(share, seed=11).toPandas()), depth)
-    placed = points.withColumn("cell", _home_cell(nodes) if nodes else F.lit(0))
+    # the first copy of each point holds the cell's shape; all are read by three branches
+    points = staged(points)
+    n = points.count()
+    wanted = min(MAX_CELLS, max(1, math.ceil(n / cell_rows)))
+    pivots = _sampled_pivots(points, wanted, n) if wanted > 1 else None
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            far = [pivots.distances(matrix(b.iloc[c])) for c in chunks(len(b))]
+            yield b.assign(cell=np.concatenate([f.argmin(axis=1) for f in far]).astype("int32"),
+                           off=np.concatenate([f.min(axis=1) for f in far]))
 
     def own(cell: pd.DataFrame) -> pd.DataFrame:
         return nearest(cell[cell["id"] == cell["point"]], cell, k + 1)
 
+    placed = points.withColumn("cell", F.lit(0)) if pivots is None else staged(points.mapInPandas(
+        place, "id bigint, x array<double>, point bigint, cell int, off double"))
     answers = placed.groupBy("cell").applyInPandas(own, PAIRS)
-    if nodes:
+    if pivots is not None:
         # read by two branches: stage it, so that cells are searched once
         answers = staged(answers)
+        radius = np.full(len(pivots.at), -1.0)
+        for r in placed.groupBy("cell").agg(F.max("off").alias("off")).collect():  # at most MAX_CELLS rows
+            radius[r["cell"]] = r["off"]
         bound = answers.groupBy("point").agg(F.max("d2").alias("far"), F.count(F.lit(1)).alias("m"))
         reach = F.when(F.col("m") > k, F.col("far")).otherwise(F.lit(float("inf")))
         asked = placed.filter(F.col("id") == F.col("point"))
         balls = asked.join(bound.select("point", reach.alias("far")), "point").select("point", "cell", "x", "far")
 
         def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                b = b.reset_index(drop=True)
-                radius = np.nextafter(np.sqrt(b["far"].to_numpy()), np.inf)
-                home = b["cell"].to_numpy()
-                for cell, rows in cells_in_reach(nodes, matrix(b), radius):
-                    rows = rows[home[rows] != cell]
-                    yield b.iloc[rows][["point", "x"]].assign(cell=cell)
-
-        guests = balls.mapInPandas(visit, "point bigint, x array<double>, cell int")
-        answers = answers.unionByName(_ask_cells(guests, placed, k, cell_rows))
+            for batch in batches:
+                for c in chunks(len(batch)):
+                    b = batch.iloc[c].reset_index(drop=True)
+                    for cell, rows in pivots.in_reach(matrix(b), b["cell"].to_numpy(), np.sqrt(b["far"].to_numpy()), radius):
+                        yield b.iloc[rows][["point", "x"]].assign(cell=cell)
+
+        guests = staged(balls.mapInPandas(visit, "point bigint, x array<double>, cell int"))
+        answers = answers.unionByName(_ask_cells(guests, placed.select("id", "x", "point", "cell"), k, cell_rows))
     # per point: k + 1 answers from its own cell and from each cell it reached
     best = Window.partitionBy("point").orderBy("d2", "nn_id")
     merged = answers.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k + 1)
@@ -182,13 +200,13 @@ def nearest_neighbours(df: DataFrame, cols: list[str], k: int, row_id: str, cell
             .select(F.col("id").alias(row_id), "rank", "nn_id"))
 
 
-def _home_cell(nodes: list[tuple[int, float]]) -> Column:
-    """Cell of a point: one comparison per level, looked up in the split table."""
-    axes = F.from_json(F.lit(str([a for a, _ in nodes])), "array<int>")
-    cuts = F.from_json(F.lit("[" + ",".join(repr(c) for _, c in nodes) + "]"), "array<double>")
-    depth = (len(nodes) + 1).bit_length() - 1
-    down = lambda i, _: F.when(F.get("x", F.get(axes, i)) < F.get(cuts, i), 2 * i + 1).otherwise(2 * i + 2)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), down) - len(nodes)
+def _sampled_pivots(points: DataFrame, wanted: int, n: int) -> Pivots:
+    """About ``wanted`` different points, drawn by a hash of their id; at least one."""
+    first = points.filter(F.col("id") == F.col("point"))
+    share = F.lit(int(min(1.0, PIVOT_DRAW * wanted / n) * (1 << 31)))
+    drawn = first.filter(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 31)) < share).orderBy(
+        F.xxhash64("id", F.lit(17)), "id").limit(wanted).select("x").toPandas()
+    return Pivots(matrix(drawn if len(drawn) else first.orderBy("id").limit(1).select("x").toPandas()))
 
 
 def _ask_cells(guests: DataFrame, placed: DataFrame, k: int, cell_rows: int) -> DataFrame:
@@ -207,7 +225,7 @@ def _ask_cells(guests: DataFrame, placed: DataFrame, k: int, cell_rows: int) ->
 
 def smote(df: DataFrame, cols: list[str], k: int = 5, seed: int = 42, label: str = C.TARGET,
           row_id: str = "event_id", cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Add synthetic minority rows until both classes are equal: x + u (neighbour - x).
+    """Add synthetic rows of the rarer class until both are equal: x + u (neighbour - x).
 
     New rows are spread evenly over the minority rows in id order; neighbour and ``u`` are drawn from a hash of
     (row id, copy). Result: ``row_id`` (base row for synthetic ones), ``copy`` (null for real rows), ``cols``, label.
@@ -221,15 +239,20 @@ def smote(df: DataFrame, cols: list[str], k: int = 5, seed: int = 42, label: str
 def synthetic_rows(df: DataFrame, cols: list[str], k: int = 5, seed: int = 42, label: str = C.TARGET,
                    row_id: str = "event_id", cell_rows: int = CELL_ROWS) -> DataFrame | None:
     counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
-    n_min, n_maj = counts.get(1, 0), counts.get(0, 0)
-    n_new = n_maj - n_min
-    if n_new <= 0:
+    if len(counts) != 2:
+        if len(counts) < 2:
+            return None
+        raise ValueError("oversampling needs a label of two classes")
+    rare = min(counts, key=lambda value: (counts[value], -value))
+    n_min = counts[rare]
+    n_new = max(counts.values()) - n_min
+    if n_new == 0:
         return None
     if n_min < 2:
         raise ValueError("oversampling needs at least two minority rows")
     k = min(k, n_min - 1)
     # read many times by the neighbour search; the upstream features are computed once
-    minority = staged(df.filter(F.col(label) == 1).select(row_id, *[F.col(c).cast("double").alias(c) for c in cols]))
+    minority = staged(df.filter(F.col(label) == rare).select(row_id, *[F.col(c).cast("double").alias(c) for c in cols]))
     neighbours = nearest_neighbours(minority, cols, k, row_id, cell_rows)
     placed = Order(minority, [row_id]).with_position("_pos")
     share, extra = divmod(n_new, n_min)
@@ -247,4 +270,4 @@ def synthetic_rows(df: DataFrame, cols: list[str], k: int = 5, seed: int = 42, l
     target = minority.select(F.col(row_id).alias("nn_id"), *[F.col(c).alias(f"_nn_{c}") for c in cols])
     joined = drawn.join(neighbours, [row_id, "rank"]).join(target, "nn_id")
     return joined.select(row_id, "copy", *[(F.col(c) + F.col("_u") * (F.col(f"_nn_{c}") - F.col(c))).alias(c)
-                                           for c in cols], F.lit(1).alias(label))
+                                           for c in cols], F.lit(rare).cast("int").alias(label))

@@ -2,8 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gearsight.operators.oversample import (cells_in_reach, closest, closest_in_leaves, kd_splits, nearest_neighbours,
-                                            smote, synthetic_rows)
+from gearsight.operators import oversample
+from gearsight.operators.oversample import Pivots, closest, closest_in_leaves, nearest_neighbours, smote, synthetic_rows
 
 
 def brute(pdf, cols, k):
@@ -33,10 +33,49 @@ def test_neighbours_exact(cloud, cell_rows, parts):
 
 
 def test_every_cell_is_reached_by_an_infinite_ball():
-    pts = np.random.RandomState(0).rand(200, 2)
-    nodes = kd_splits(pts, 3)
-    hit = {c for c, _ in cells_in_reach(nodes, pts[:1], np.array([np.inf]))}
-    assert hit == set(range(8))
+    rng = np.random.default_rng(0)
+    pivots, radius = Pivots(rng.random((8, 2))), np.ones(8)
+    hit = {c for c, _ in pivots.in_reach(rng.random((1, 2)), np.array([3]), np.array([np.inf]), radius)}
+    assert hit == set(range(8)) - {3}
+
+
+def zero_inflated(n=20_000, columns=59):
+    """One column that varies, others that are zero in nine rows of ten, flags, and two wide ones."""
+    rng = np.random.default_rng(1)
+    x = np.where(rng.random((n, columns)) < 0.9, 0.0, rng.random((n, columns)))
+    x[:, 0], x[:, 1] = rng.normal(60_000, 10_000, n), rng.integers(0, 12_000, n)
+    x[:, 2:8] = rng.random(x[:, 2:8].shape) < 0.03
+    return x
+
+
+def test_zero_inflated_columns_spread_evenly_and_visit_few_cells():
+    x = zero_inflated()
+    pivots = Pivots(x[::625])
+    near = np.concatenate([pivots.distances(x[c]) for c in oversample.chunks(len(x))])
+    home, cells = near.argmin(axis=1), len(pivots.at)
+    sizes = np.bincount(home, minlength=cells)
+    assert cells == 32 and sizes.max() < 4 * len(x) / cells and (sizes > 0).all()
+    radius = np.array([near[home == c, c].max() for c in range(cells)])
+    asked = np.arange(0, len(x), 40)
+    d2, _ = closest(x[asked], x, np.arange(len(x)), 6)
+    visits = sum(len(r) for _, r in pivots.in_reach(x[asked], home[asked], np.sqrt(d2[:, -1]), radius))
+    assert visits / len(asked) < cells / 8
+
+
+def test_neighbours_of_mostly_equal_columns(spark):
+    x = zero_inflated(600, 6)
+    x[:, 0], x[:, 1] = np.where(x[:, 3] > 0, 1.0, 0.0), 0.0
+    rows = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], ["id", *"abcdef"])
+    got = nearest_neighbours(rows, list("abcdef"), 5, "id", 40)
+    assert {tuple(r) for r in got.collect()} == brute(rows.toPandas(), list("abcdef"), 5)
+
+
+def test_either_class_may_be_the_rarer_one(spark):
+    df = spark.range(90).select(F.col("id").alias("event_id"), (F.col("id") % 13).cast("double").alias("x"),
+                                (F.col("id") % 9 != 0).cast("int").alias("machine_failure"))
+    made = smote(df, ["x"]).filter("copy is not null")
+    assert made.count() == 70 and made.select("machine_failure").distinct().collect() == [(0,)]
+    assert synthetic_rows(df.filter("machine_failure = 1"), ["x"]) is None
 
 
 def test_smote_balances_and_stays_on_segments(spark):
