@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -21,6 +26,18 @@ from gearsight.sources import io
 from gearsight.sources.staging import staged
 
 
+#: Rows of a training matrix that one task holds: a tree level is a job, so small tables should not be many tasks.
+ROWS_PER_TASK = 25_000
+#: Fits that run side by side; each keeps its binned rows on the executors.
+FITS = 6
+
+
+def side_by_side(jobs: list[Callable[[], Any]]) -> list[Any]:
+    """Results of independent Spark jobs, started together: a fit is a chain of short jobs that leaves most cores idle."""
+    with ThreadPoolExecutor(max_workers=FITS) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(job)) for job in jobs]]
+
+
 @dataclass(frozen=True)
 class Boosting:
     """Booster settings (defaults: the regularised production model)."""
@@ -62,13 +79,15 @@ def train(df: DataFrame, features: list[str], params: Boosting = Boosting(), ove
           label: str = C.TARGET) -> PipelineModel:
     """Fit on ``df``; oversampling, when asked for, sees these rows only.
 
-    The training matrix is staged: the booster passes over it once per tree level.
+    The training matrix is staged and dealt evenly: the booster passes over it once per tree level.
     """
     rows = filled(df, features)
     rows = smote(rows, features, label=label) if oversample else rows.select(*features, label)
     if params.balance:
         rows = with_class_weights(rows, label)
-    return gbt_pipeline(features, params, label).fit(staged(rows))
+    matrix = staged(rows)
+    tasks = max(1, math.ceil(matrix.count() / ROWS_PER_TASK))
+    return gbt_pipeline(features, params, label).fit(matrix.repartition(tasks))
 
 
 def score(model: PipelineModel, df: DataFrame, name: str = "score") -> DataFrame:
@@ -79,24 +98,39 @@ def score(model: PipelineModel, df: DataFrame, name: str = "score") -> DataFrame
         "features", "rawPrediction", "probability", "prediction")
 
 
+def _fold_scores(folds: DataFrame, features: list[str], fold: int, params: Boosting, oversample: bool) -> DataFrame:
+    model = train(folds.filter(F.col("fold") != fold), features, params, oversample)
+    return score(model, folds.filter(F.col("fold") == fold)).select("event_id", "fold", C.TARGET, "score")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def oof_scores(df: DataFrame, features: list[str], k: int = 5, params: Boosting = Boosting(),
                oversample: bool = True) -> DataFrame:
-    """Each row scored by a model that never saw it; oversampling happens inside the training part."""
+    """Each row scored by a model that never saw it; oversampling happens inside the training part.
+
+    The rows are staged once; a fold is a filter on them, and the folds are fitted side by side.
+    """
     folds = staged(stratified_folds(df, k))
-    parts = None
-    for i in range(k):
-        model = train(folds.filter(F.col("fold") != i), features, params, oversample)
-        part = score(model, folds.filter(F.col("fold") == i)).select("event_id", "fold", C.TARGET, "score")
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+    return _union(side_by_side([lambda i=i: _fold_scores(folds, features, i, params, oversample) for i in range(k)]))
 
 
 def calibrate_and_seal(df: DataFrame, features: list[str], path: str, k: int = 5,
                        params: Boosting = Boosting(), oversample: bool = True) -> DataFrame:
-    """Out-of-fold scores -> best-F1 threshold -> final fit on all rows -> saved artifact. Returns the report."""
-    scores = staged(oof_scores(df, features, k, params, oversample))
+    """Out-of-fold scores -> best-F1 threshold -> final fit on all rows -> saved artifact. Returns the report.
+
+    The final fit needs no threshold, so it runs beside the folds.
+    """
+    folds = staged(stratified_folds(df, k))
+    jobs = [lambda i=i: _fold_scores(folds, features, i, params, oversample) for i in range(k)]
+    *parts, model = side_by_side([*jobs, lambda: train(folds, features, params, oversample)])
+    scores = staged(_union(parts))
     best = E.best_threshold(scores).first()
-    model = train(df, features, params, oversample)
     io.save_artifact(model, path, best["threshold"], features)
     return E.class_report(scores, best["threshold"]).withColumn("threshold", F.lit(best["threshold"]))
 
@@ -120,8 +154,7 @@ def ablation(readings: DataFrame, mode: str = "strict", names: list[str] = stage
     """
     if mode not in ("leaky", "strict", "tuned"):
         raise ValueError(f"unknown mode {mode!r}")
-    report = None
-    for name in names:
+    def one(name: str) -> DataFrame:
         table = stages.build(readings, name)
         features = stages.model_columns(table, leaky=mode == "leaky")
         split = stratified_split(table) if mode == "leaky" else chrono_split(table)
@@ -131,8 +164,8 @@ def ablation(readings: DataFrame, mode: str = "strict", names: list[str] = stage
             options = {**options, "trees": trees}
         model = train(rows.filter(F.col("split") == "train"), features, Boosting(**options), mode != "tuned")
         tested = score(model, rows.filter(F.col("split") == "test"))
-        row = E.binary_metrics(tested, threshold).select(
+        return E.binary_metrics(tested, threshold).select(
             F.lit(name).alias("stage"), F.lit(len(features)).alias("n_features"),
             "accuracy", "precision", "recall", "f1")
-        report = row if report is None else report.unionByName(row)
-    return report
+
+    return _union(side_by_side([lambda name=name: one(name) for name in names]))
