@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-QUANTILE_ROWS = 500_000
-GRID = 1024
+#: Buckets of one bracket in one pass.
+PARTS = 65_536
 
 
 def with_stats(df: DataFrame, stats: dict[str, Column], name: str = "_stats") -> DataFrame:
@@ -36,95 +37,92 @@ def stack(df: DataFrame, ids: list[str], cols: list[str], key: str = "column", v
     return same.unpivot(ids, cols, key, value)
 
 
-def quantiles(df: DataFrame, cols: list[str], qs: list[float], by: list[str] | None = None,
-              max_rows: int | None = None) -> dict[tuple, dict[float, float]]:
+def magnitude(value: Column) -> Column:
+    """A bucket that never falls as the value grows: sign and a sixteenth of its power of two; NaN is the largest."""
+    power = F.floor(F.log2(F.abs(value)) * 16) + 20_000
+    return (F.when(F.isnan(value), 60_000).when(value == float("inf"), 50_000).when(value == float("-inf"), -50_000)
+            .when(value > 0, power).when(value < 0, -power).otherwise(0).cast("bigint"))
+
+
+def quantiles(df: DataFrame, cols: list[str], qs: list[float],
+              by: list[str] | None = None) -> dict[tuple, dict[float, float]]:
     """Exact linear-interpolated quantiles: (by values..., column) -> {q: value}.
 
     A column without values has the quantile None; NaN is the largest value, as in Spark's order.
-    Up to ``max_rows`` rows the built-in exact aggregate is used. Beyond that its per-group value map would
-    outgrow a task, so each quantile is bracketed by repeated sketch passes until few values are left.
+
+    Every quantile of every column and group is narrowed at once. A pass counts the values of each bracket in up to
+    PARTS buckets (in the tasks, before the shuffle) and keeps the bucket that holds the wanted rank, from its smallest
+    value to its largest. The first pass cuts by magnitude, so the later ones, which cut a bracket evenly, part any two
+    doubles after three more at most; columns of few digits need one or two. No value list is ever gathered, the driver
+    sees one row per quantile, and there is one path for all sizes.
     """
     by = by or []
-    limit = max_rows or int(df.sparkSession.conf.get("spark.gearsight.quantileRows", str(QUANTILE_ROWS)))
-    if df.count() <= limit:
-        wanted = F.array(*[F.lit(float(q)) for q in qs])
-        rows = df.groupBy(*by).agg(*[F.percentile(F.col(c).cast("double"), wanted).alias(c) for c in cols]).collect()
-        return {(*[r[b] for b in by], c): dict(zip(qs, r[c] or [None] * len(qs))) for r in rows for c in cols}
-    out = _bracketed(stack(df, by, cols).filter(F.col("value").isNotNull()), [*by, "column"], qs, limit)
-    groups = df.select(*by).distinct().collect() if by else [()]
-    return {(*g, c): out.get((*g, c), dict.fromkeys(qs)) for g in groups for c in cols}
+    keys, value = [*by, "column"], F.col("value")
+    long = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(by, cols, "column", "value")
+    counted = long.groupBy(*keys, magnitude(value).alias("_part"), value.isNull().alias("_none")).agg(
+        F.count("value").alias("_n"), F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    group = Window.partitionBy(*keys)
+    upto = group.orderBy(F.col("_none").desc(), "_part").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.col("_all") - 1
+    ranks = [F.struct(F.lit(i).alias("i"), F.least(F.floor(F.lit(q) * last) + up, last).alias("rank"))
+             for i, q in enumerate(map(float, qs)) for up in (0, 1)]
+    run = counted.withColumn("_upto", F.sum("_n").over(upto)).withColumn("_all", F.sum("_n").over(group))
+    targets: dict[tuple, dict] = {}
+    groups = {}
+    for r in _holding(run, F.array(*ranks), [*keys, "_all", "_none"]).collect():
+        key = tuple(r[k] for k in keys)
+        groups[key] = r["_all"]
+        if r["t"] is not None:
+            targets[key, r["t"]["i"], r["t"]["rank"]] = {"lo": r["_lo"], "hi": r["_hi"], "below": r["_below"]}
+    spark = df.sparkSession
+    while live := {t: b for t, b in targets.items() if not _same(b["lo"], b["hi"])}:
+        ids = {bracket: i for i, bracket in enumerate(dict.fromkeys((t[0], b["lo"], b["hi"]) for t, b in live.items()))}
+        names = [f"_k{i}" for i in range(len(keys))]
+        # as many brackets as groups, columns and quantiles at most
+        table = spark.createDataFrame([(i, *key, lo, hi) for (key, lo, hi), i in ids.items()],
+                                      T.StructType([T.StructField("_id", T.IntegerType()),
+                                                    *(T.StructField(n, long.schema[k].dataType) for n, k in zip(names, keys)),
+                                                    T.StructField("_from", T.DoubleType()), T.StructField("_to", T.DoubleType())]))
+        same = [long[k].eqNullSafe(table[n]) for n, k in zip(names, keys)]
+        inside = long.join(F.broadcast(table), same).filter(value.between(F.col("_from"), F.col("_to")))
+        part = F.floor((value - F.col("_from")) / (F.col("_to") - F.col("_from")) * PARTS)
+        counted = inside.groupBy("_id", part.alias("_part")).agg(
+            F.count("value").alias("_n"), F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+        run = counted.withColumn("_upto", F.sum("_n").over(Window.partitionBy("_id").orderBy("_part").rowsBetween(
+            Window.unboundedPreceding, 0)))
+        asked: dict[int, list] = {}
+        for (key, i, rank), b in live.items():
+            asked.setdefault(ids[key, b["lo"], b["hi"]], []).append((i, rank, rank - b["below"]))
+        wanted = spark.createDataFrame(list(asked.items()), "_id int, _asked array<struct<i: int, place: bigint, rank: bigint>>")
+        back = {i: key for (key, _, _), i in ids.items()}
+        for r in _holding(run.join(F.broadcast(wanted), "_id"), F.col("_asked"), ["_id"]).filter("t is not null").collect():
+            b = targets[back[r["_id"]], r["t"]["i"], r["t"]["place"]]
+            b.update(lo=r["_lo"], hi=r["_hi"], below=b["below"] + r["_below"])
+    out: dict[tuple, dict[float, float]] = {}
+    for g in dict.fromkeys(key[:-1] for key in groups) if by else [()]:
+        for c in cols:
+            n = groups.get((*g, c), 0)
+            out[(*g, c)] = {q: _between(targets, (*g, c), i, float(q) * (n - 1), n) for i, q in enumerate(qs)}
+    return out
+
+
+def _holding(run: DataFrame, ranks: Column, keep: list[str]) -> DataFrame:
+    """The buckets that hold a wanted rank, one row per rank ``t``; a bucket of nulls has one row without a rank."""
+    before = F.col("_upto") - F.col("_n")
+    held = F.filter(ranks, lambda t: (t["rank"] >= before) & (t["rank"] < F.col("_upto")))
+    rows = run.select(*keep, "_lo", "_hi", before.alias("_below"), F.explode_outer(held).alias("t"))
+    return rows.filter(F.col("t").isNotNull() | F.col("_none")) if "_none" in keep else rows
+
+
+def _between(targets: dict, key: tuple, i: int, rank: float, n: int) -> float | None:
+    if not n:
+        return None
+    low = targets[key, i, int(rank)]["lo"]
+    high = targets[key, i, min(int(rank) + 1, n - 1)]["lo"]
+    part = rank - int(rank)
+    return low if not part or _same(low, high) else low + (high - low) * part
 
 
 def _same(a: float, b: float) -> bool:
     """Equal, with NaN equal to itself as in Spark's order."""
     return a == b or (a != a and b != b)
-
-
-def _bracketed(long: DataFrame, keys: list[str], qs: list[float], limit: int) -> dict[tuple, dict[float, float]]:
-    spark = long.sparkSession
-    sizes = long.groupBy(*keys).agg(F.count("value").alias("_n"), F.min("value").alias("_lo"),
-                                    F.max("value").alias("_hi")).collect()
-    # a target is one (group, q): wanted rank, bracket [lo, hi], rows below lo, rows inside
-    targets = [{"key": tuple(r[k] for k in keys), "q": float(q), "rank": q * (r["_n"] - 1), "lo": r["_lo"],
-                "hi": r["_hi"], "below": 0, "inside": r["_n"], "done": False} for r in sizes for q in qs]
-
-    def inside(live: list[dict]) -> DataFrame:
-        """Rows inside the bracket of each live target; the target list is (groups x quantiles) rows."""
-        table = spark.createDataFrame([(*t["key"], t["q"], t["lo"], t["hi"]) for t in live],
-                                      [*(f"_k{i}" for i in range(len(keys))), "_q", "_lo", "_hi"])
-        same = [long[k].eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-        return (long.join(F.broadcast(table), same)
-                .filter((F.col("value") >= F.col("_lo")) & (F.col("value") <= F.col("_hi"))))
-
-    if not targets:
-        return {}
-    while live := [t for t in targets if t["inside"] > limit and not t["done"]]:
-        # targets in the same bracket (all of a column at first) share one sketch
-        shared = {}
-        for t in live:
-            shared.setdefault((t["key"], t["lo"], t["hi"]), t)
-        points = F.expr("array(" + ", ".join(f"{i / GRID!r}D" for i in range(GRID + 1)) + ")")
-        grids = {(*(r[k] for k in keys), r["_q"]): r["_g"] for r in inside(list(shared.values())).groupBy(
-            *keys, "_q").agg(F.percentile_approx("value", points, 20 * GRID).alias("_g")).collect()}
-        moved = []
-        for t in live:
-            grid = grids[(*t["key"], shared[(t["key"], t["lo"], t["hi"])]["q"])]
-            at = int((t["rank"] - t["below"]) / t["inside"] * GRID)
-            lo, hi = grid[max(at - 1, 0)], grid[min(at + 3, GRID)]
-            t["done"] = (_same(lo, t["lo"]) and _same(hi, t["hi"])) or _same(lo, hi)
-            moved.append({**t, "lo": lo, "hi": hi, "old": t})
-        counts = {(*(r[k] for k in keys), r["_q"]): r for r in inside(live).join(
-            F.broadcast(spark.createDataFrame([(*m["key"], m["q"], m["lo"], m["hi"]) for m in moved],
-                                              [*(f"_n{i}" for i in range(len(keys))), "_nq", "_nlo", "_nhi"])),
-            [F.col(f"_n{i}").eqNullSafe(long[k]) for i, k in enumerate(keys)] + [F.col("_nq") == F.col("_q")])
-            .groupBy(*keys, "_q").agg(F.count_if(F.col("value") < F.col("_nlo")).alias("_below"),
-                                     F.count_if(F.col("value").between(F.col("_nlo"), F.col("_nhi"))).alias("_inside"))
-            .collect()}
-        for m in moved:
-            c, t = counts[(*m["key"], m["q"])], m["old"]
-            below = t["below"] + c["_below"]
-            # the sketch is approximate: keep the old bracket when the new one misses the wanted ranks
-            if below <= int(t["rank"]) and below + c["_inside"] > min(int(t["rank"]) + 1, t["below"] + t["inside"] - 1):
-                t.update(lo=m["lo"], hi=m["hi"], below=below, inside=c["_inside"])
-            else:
-                t["done"] = True
-
-    per_value = inside(targets).groupBy(*keys, "_q", "value").count()
-    w = Window.partitionBy(*keys, "_q").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranks = spark.createDataFrame([(*t["key"], t["q"], float(t["rank"]), t["below"]) for t in targets],
-                                  [*(f"_r{i}" for i in range(len(keys))), "_rq", "_rank", "_below"])
-    placed = per_value.withColumn("_upto", F.sum("count").over(w)).join(
-        F.broadcast(ranks),
-        [F.col(f"_r{i}").eqNullSafe(per_value[k]) for i, k in enumerate(keys)] + [F.col("_rq") == F.col("_q")])
-    low = F.floor("_rank") - F.col("_below")
-    rows = placed.groupBy(*keys, "_q").agg(
-        F.min(F.when(F.col("_upto") > low, F.col("value"))).alias("_a"),
-        F.min(F.when(F.col("_upto") > low + 1, F.col("value"))).alias("_b"),
-        F.first(F.col("_rank") - F.floor("_rank")).alias("_part")).collect()
-    out: dict[tuple, dict[float, float]] = {}
-    for r in rows:
-        upper = r["_a"] if r["_b"] is None or not r["_part"] else r["_b"]
-        exact = _same(r["_a"], upper)
-        out.setdefault(tuple(r[k] for k in keys), {})[r["_q"]] = (
-            r["_a"] if exact else r["_a"] + (upper - r["_a"]) * r["_part"])
-    return out

@@ -1,10 +1,12 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gearsight.operators import evaluate as E
 from gearsight.operators import profile as P
-from gearsight.operators import features
+from gearsight.operators import features, stats
 from gearsight.operators.stats import quantiles
 
 
@@ -16,46 +18,76 @@ def values(spark):
         F.when(F.col("id") % 5 != 0, F.col("id") * 31 % 257 / 7).alias("b")).persist()
 
 
-@pytest.mark.parametrize("limit", [10_000, 300, 20])
-def test_quantiles_exact(values, limit):
+@pytest.mark.parametrize("parts", [65_536, 3])
+def test_quantiles_exact(values, monkeypatch, parts):
+    monkeypatch.setattr(stats, "PARTS", parts)
     qs = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
-    got = quantiles(values, ["a", "b"], qs, ["g"], max_rows=limit)
+    got = quantiles(values, ["a", "b"], qs, ["g"])
     pdf = values.toPandas()
     for g in (0, 1):
         for c in ("a", "b"):
             want = pdf[pdf.g == g][c].quantile(qs)
             for q in qs:
-                assert got[(g, c)][q] == pytest.approx(want[q], abs=1e-9), (limit, g, c, q)
+                assert got[(g, c)][q] == pytest.approx(want[q], abs=1e-9), (parts, g, c, q)
 
 
 def test_quantiles_of_one_value(spark):
     df = spark.range(100).select(F.lit(3.0).alias("a"))
-    assert quantiles(df, ["a"], [0.25, 0.75], max_rows=10) == {("a",): {0.25: 3.0, 0.75: 3.0}}
-
-
-@pytest.mark.parametrize("limit", [10, 1_000_000])
-def test_quantiles_of_odd_columns(spark, limit):
+    assert quantiles(df, ["a"], [0.25, 0.75]) == {("a",): {0.25: 3.0, 0.75: 3.0}}
+
+
+def test_quantiles_of_every_magnitude(spark):
+    """Neighbouring doubles, subnormal and huge ones, both signs, infinities: each order statistic is found exactly."""
+    base = [0.0, -0.0, 5e-324, 1e-320, 2.0 ** -1022, 1.0, math.nextafter(1.0, 2), math.nextafter(1.0, 0), 1e308, math.inf]
+    base += [float(x) for x in np.float64(65_000) + np.arange(40) * np.spacing(65_000.0)]
+    rows = sorted(float(x) for x in base + [-x for x in base])
+    df = spark.createDataFrame([(x,) for x in rows], "a double").repartition(5)
+    qs = [i / (len(rows) - 1) for i in range(len(rows))]
+    got = quantiles(df, ["a"], qs)[("a",)]
+    for i, q in enumerate(qs):
+        rank = q * (len(rows) - 1)
+        low, high = rows[int(rank)], rows[min(int(rank) + 1, len(rows) - 1)]
+        assert got[q] == low or low <= got[q] <= high or not np.isfinite(high - low)
+        if rank == int(rank):
+            assert got[q] == rows[int(rank)]
+
+
+def test_quantiles_of_odd_columns(spark):
     df = spark.range(200).select(
         F.lit(None).cast("double").alias("none"), (F.col("id") % 2 * 5.0).alias("two"),
         F.when(F.col("id") % 10 == 0, float("nan")).otherwise(F.col("id").cast("double")).alias("some"))
-    got = quantiles(df, ["none", "two", "some"], [0.25, 0.95, 1.0], max_rows=limit)
+    got = quantiles(df, ["none", "two", "some"], [0.25, 0.95, 1.0])
     assert got[("none",)] == {0.25: None, 0.95: None, 1.0: None}
     assert got[("two",)] == {0.25: 0.0, 0.95: 5.0, 1.0: 5.0}
     values = sorted(float(i) for i in range(200) if i % 10)
     want = values[49] + (values[50] - values[49]) * 0.75
     assert got[("some",)][0.25] == pytest.approx(want)
     assert all(got[("some",)][q] != got[("some",)][q] for q in (0.95, 1.0))
+    assert quantiles(df.limit(0), ["two"], [0.5]) == {("two",): {0.5: None}}
 
 
-@pytest.mark.parametrize("limit", ["10", "1000000"])
-def test_reports_of_a_column_without_values(spark, limit):
-    df = spark.range(50).select(F.lit(None).cast("double").alias("rpm"), F.col("id").cast("double").alias("torque"))
-    spark.conf.set("spark.gearsight.quantileRows", limit)
+def test_quantiles_of_groups_without_values_or_name(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), (1, None), (2, 7.0), (2, None)], "g int, a double")
+    assert quantiles(df, ["a"], [0.5], ["g"]) == {(None, "a"): {0.5: 2.0}, (1, "a"): {0.5: None}, (2, "a"): {0.5: 7.0}}
+
+
+def test_a_pass_sends_one_row_per_bucket_to_the_shuffle(spark):
+    """Counting happens before the shuffle, and no window is without partition."""
+    df = spark.range(1000).select((F.col("id") % 50).cast("double").alias("a"))
+    seen = []
+    collect = type(df).collect
     try:
-        rows = {r["column"]: r for r in P.describe_columns(df, ["rpm", "torque"]).collect()}
-        flags = features.iqr_flags(df).agg(F.max("rpm_outlier_flag"), F.max("torque_outlier_flag")).first()
+        type(df).collect = lambda self: seen.append(self._jdf.queryExecution().executedPlan().toString()) or collect(self)
+        quantiles(df, ["a"], [0.5])
     finally:
-        spark.conf.unset("spark.gearsight.quantileRows")
+        type(df).collect = collect
+    assert seen and all("partial_count" in plan and "SinglePartition" not in plan for plan in seen)
+
+
+def test_reports_of_a_column_without_values(spark):
+    df = spark.range(50).select(F.lit(None).cast("double").alias("rpm"), F.col("id").cast("double").alias("torque"))
+    rows = {r["column"]: r for r in P.describe_columns(df, ["rpm", "torque"]).collect()}
+    flags = features.iqr_flags(df).agg(F.max("rpm_outlier_flag"), F.max("torque_outlier_flag")).first()
     assert rows["rpm"]["q50"] is None and rows["torque"]["q50"] == 24.5
     assert tuple(flags) == (0, 0)
 
