@@ -135,3 +135,8 @@ def drop_constant(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
                             F.count(F.lit(1)).alias("rows")).alias(c) for c in cols]).first()
     dead = [c for c in cols if row[c]["n"] in (0, row[c]["rows"]) and row[c]["lo"] == row[c]["hi"]]
     return df.drop(*dead)
+
+
+def filled(df: DataFrame, features: list[str]) -> DataFrame:
+    """Missing feature values become 0 (rolling features of very short series): the filling of training and scoring."""
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features})

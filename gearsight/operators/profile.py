@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from gearsight.functions import expressions as X
 from gearsight.operators.stats import quantiles, safe_corr, stack, with_stats
 
 Q4 = [0.25, 0.5, 0.75]
+#: Values whose distances to the density grid are computed at a time.
+KDE_VALUES = 1024
 
 
 def column_report(df: DataFrame, cols: list[str], measures: dict[str, Callable[[str], Column]],
@@ -292,8 +296,8 @@ def outside_normal(what_if: DataFrame, ranges: DataFrame, ids: list[str]) -> Dat
 def kde_by_class(df: DataFrame, col: str, n_grid: int = 300, factor: float = 0.3) -> DataFrame:
     """Gaussian density per class on an even grid, bandwidth = factor x sample sd of the class.
 
-    Equal values are counted first, so the grid is only laid over distinct values; the grid sums are
-    combined before the shuffle, which then carries one row per class and grid point.
+    A task adds its rows into one array per class, so no row is multiplied by the grid and each task sends one row per
+    class and grid point, however many rows it has.
     """
     used = df.select(C.TARGET, F.col(col).cast("double").alias("v")).dropna()
     stats = {r[C.TARGET]: r for r in used.groupBy(C.TARGET).agg(
@@ -303,12 +307,26 @@ def kde_by_class(df: DataFrame, col: str, n_grid: int = 300, factor: float = 0.3
     per_class = lambda f: X.lookup(F.col(C.TARGET), {k: float(f(r)) for k, r in usable.items()})
     if not usable:
         raise ValueError(f"{col} has no spread in any class")
-    counted = used.filter(F.col(C.TARGET).isin(list(usable))).groupBy(C.TARGET, "v").agg(F.count(F.lit(1)).alias("m"))
+    grids = {k: (r["lo"] + np.arange(n_grid) * ((r["hi"] - r["lo"]) / (n_grid - 1)), factor * r["sd"])
+             for k, r in usable.items()}
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {k: np.zeros(n_grid) for k in grids}
+        for b in batches:
+            label, value = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for k, (x, bw) in grids.items():
+                distinct, times = np.unique(value[label == k], return_counts=True)
+                for at in range(0, len(distinct), KDE_VALUES):
+                    u = (x[None, :] - distinct[at:at + KDE_VALUES, None]) / bw
+                    total[k] += times[at:at + KDE_VALUES] @ np.exp(-0.5 * u * u)
+        for k, sums in total.items():
+            yield pa.RecordBatch.from_pydict({
+                C.TARGET: pa.array([k] * n_grid, pa.int32()), "grid": pa.array(range(n_grid), pa.int32()), "s": sums})
+
     lo, step = per_class(lambda r: r["lo"]), per_class(lambda r: (r["hi"] - r["lo"]) / (n_grid - 1))
     bw, n = per_class(lambda r: factor * r["sd"]), per_class(lambda r: r["n"])
-    spread = counted.select(C.TARGET, "v", "m", F.explode(F.sequence(F.lit(0), F.lit(n_grid - 1))).alias("grid"))
-    u = (lo + F.col("grid") * step - F.col("v")) / bw
-    sums = spread.groupBy(C.TARGET, "grid").agg(F.sum(F.col("m") * F.exp(-0.5 * u * u)).alias("_s"))
+    parts = used.select(F.col(C.TARGET).cast("int").alias(C.TARGET), "v").mapInArrow(add, f"{C.TARGET} int, grid int, s double")
+    sums = parts.groupBy(C.TARGET, "grid").agg(F.sum("s").alias("_s"))
     return sums.select(C.TARGET, "grid", (lo + F.col("grid") * step).alias("x"),
                        (F.col("_s") / (n * bw * F.sqrt(2 * F.pi()))).alias("density"))
 

@@ -13,12 +13,13 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gearsight.functions import constants as C
 from gearsight.functions import expressions as X
 from gearsight.operators import evaluate as E
+from gearsight.operators.clean import filled
 from gearsight.operators.oversample import smote
 from gearsight.operators.split import chrono_split, stratified_folds, stratified_split
 from gearsight.plans import stages
@@ -35,8 +36,9 @@ FITS = 6
 
 def side_by_side(jobs: list[Callable[[], Any]]) -> list[Any]:
     """Results of independent Spark jobs, started together: a fit is a chain of short jobs that leaves most cores idle."""
+    in_session = inheritable_thread_target(SparkSession.getActiveSession())
     with ThreadPoolExecutor(max_workers=FITS) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(job)) for job in jobs]]
+        return [f.result() for f in [pool.submit(in_session(job)) for job in jobs]]
 
 
 @dataclass(frozen=True)
@@ -71,11 +73,6 @@ def with_class_weights(df: DataFrame, label: str = C.TARGET) -> DataFrame:
     return df.withColumn("_weight", X.lookup(F.col(label), {k: total / (len(counts) * n) for k, n in counts.items()}))
 
 
-def filled(df: DataFrame, features: list[str]) -> DataFrame:
-    """Missing feature values become 0 (rolling features of very short series)."""
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features})
-
-
 def train(df: DataFrame, features: list[str], params: Boosting = Boosting(), oversample: bool = True,
           label: str = C.TARGET) -> PipelineModel:
     """Fit on ``df``; oversampling, when asked for, sees these rows only.

@@ -42,12 +42,67 @@ def test_attribution_adds_up(rows, model):
     assert worst[0] < 1e-9 and worst[1] < 1e-9
 
 
-def test_path_attribution_by_hand():
-    tree = EX.Tree(2.0, np.array([0, -1, 1, -1, -1]), np.array([0.5, 0, 3.0, 0, 0]), np.array([1, -1, 3, -1, -1]),
-                   np.array([2, -1, 4, -1, -1]), np.array([0.1, -1.0, 1.0, 0.5, 2.0]))
-    impact, base = EX.path_attribution([tree], np.array([[0.5, 9.0], [0.6, 3.0], [0.6, 4.0]]))
-    assert base == pytest.approx(0.2)
-    assert impact.tolist() == [pytest.approx([-2.2, 0.0]), pytest.approx([1.8, -1.0]), pytest.approx([1.8, 2.0])]
+def random_tree(rng, features, depth):
+    """Arrays of a tree whose paths may split on a feature twice, and the rows that reached each node."""
+    nodes = []
+
+    def grow(level, cover):
+        at = len(nodes)
+        nodes.append([-1, 0.0, -1, -1, rng.normal(), cover])
+        if level < depth and cover > 1 and rng.random() < 0.9:
+            left = int(rng.integers(1, cover))
+            nodes[at][:2] = int(rng.integers(features)), rng.normal()
+            nodes[at][2] = grow(level + 1, left)
+            nodes[at][3] = grow(level + 1, cover - left)
+        return at
+
+    grow(0, 200)
+    f, t, left, right, value, cover = map(np.array, zip(*nodes))
+    return EX.Tree(float(rng.random()), f, t, left, right, value, cover)
+
+
+def brute_shapley(tree, x):
+    """Mean marginal effect over all orders of the features, by the expectation of the tree for each known set."""
+    from itertools import permutations
+
+    def mean(known, node=0):
+        if tree.left[node] < 0:
+            return tree.weight * tree.value[node]
+        a, b = tree.left[node], tree.right[node]
+        if tree.feature[node] in known:
+            return mean(known, a if x[tree.feature[node]] <= tree.threshold[node] else b)
+        return (tree.cover[a] * mean(known, a) + tree.cover[b] * mean(known, b)) / tree.cover[node]
+
+    orders = list(permutations(range(len(x))))
+    out = np.zeros(len(x))
+    for order in orders:
+        for i, f in enumerate(order):
+            out[f] += (mean(set(order[:i + 1])) - mean(set(order[:i]))) / len(orders)
+    return out, mean(set())
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_shapley_values_equal_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    trees, x = [random_tree(rng, 4, 5) for _ in range(3)], rng.normal(size=(8, 4))
+    impact, base = EX.shapley_values(trees, x)
+    for row, got in zip(x, impact):
+        wants = [brute_shapley(t, row) for t in trees]
+        assert got == pytest.approx(sum(w for w, _ in wants)) and base == pytest.approx(sum(b for _, b in wants))
+
+
+def test_shapley_values_by_hand():
+    # two features, equal branches: the first split is worth 1 each way, the second half of its branch
+    tree = EX.Tree(1.0, np.array([0, -1, 1, -1, -1]), np.array([0.5, 0, 3.0, 0, 0]), np.array([1, -1, 3, -1, -1]),
+                   np.array([2, -1, 4, -1, -1]), np.array([0, 0.0, 0, 2.0, 4.0]), np.array([8, 4, 4, 2, 2]))
+    impact, base = EX.shapley_values([tree], np.array([[0.5, 9.0], [0.6, 3.0], [0.6, 4.0]]))
+    assert base == pytest.approx(1.5)
+    assert impact.tolist() == [pytest.approx([-1.75, 0.25]), pytest.approx([1.25, -0.75]), pytest.approx([1.75, 0.75])]
+
+
+def test_drivers_of_rows_with_missing_features(rows, model):
+    holes = rows.limit(5).withColumn(FEATURES[0], F.lit(None).cast("double"))
+    assert EX.row_drivers(model, holes).filter("size(top_drivers) > 0").count() == 5
 
 
 def test_range_drivers_mean(rows, model):

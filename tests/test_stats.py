@@ -181,3 +181,18 @@ def test_stratified_split_takes_the_share(spark, share):
     assert got[1, "test"] == round(100 * share) and got[0, "test"] == round(900 * share)
     with pytest.raises(ValueError):
         stratified_split(rows, 1.0)
+
+
+def test_density_does_not_multiply_rows(spark):
+    rows = spark.range(5000).repartition(4).select(
+        (F.col("id") % 7 == 0).cast("int").alias("machine_failure"), (F.col("id") * 37 % 501 / 10).alias("v"))
+    made = P.kde_by_class(rows, "v", 50, 0.3)
+    assert "Generate" not in made._jdf.queryExecution().executedPlan().toString()
+    pdf, got = rows.toPandas(), made.toPandas()
+    assert len(got) == 100
+    for label in (0, 1):
+        v = pdf[pdf.machine_failure == label]["v"].to_numpy()
+        part = got[got.machine_failure == label].sort_values("grid")
+        x, bw = np.linspace(v.min(), v.max(), 50), 0.3 * v.std(ddof=1)
+        want = np.exp(-0.5 * ((x[:, None] - v) / bw) ** 2).sum(axis=1) / (len(v) * bw * np.sqrt(2 * np.pi))
+        assert part["x"].to_numpy() == pytest.approx(x) and part["density"].to_numpy() == pytest.approx(want)
