@@ -162,4 +162,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load_all() -> None:
     from gearsight.plans import (feature_queries, fleet_queries, model_queries, profile_queries,  # noqa: F401
-                                 stream_queries, window_queries)
+                                 serving_queries, stream_queries, window_queries)

@@ -22,8 +22,7 @@ from gearsight.operators import evaluate as E
 from gearsight.operators.clean import filled
 from gearsight.operators.oversample import smote
 from gearsight.operators.split import chrono_split, stratified_folds, stratified_split
-from gearsight.plans import stages
-from gearsight.sources import io
+from gearsight.plans import serving, stages
 from gearsight.sources.staging import staged
 
 
@@ -129,7 +128,7 @@ def calibrate_and_seal(df: DataFrame, features: list[str], path: str, k: int = 5
     *parts, model = side_by_side([*jobs, lambda: train(folds, features, params, oversample)])
     scores = staged(_union(parts))
     best = E.best_threshold(scores).first()
-    io.save_artifact(model, path, best["threshold"], features)
+    serving.seal(model, path, best["threshold"])
     return E.class_report(scores, best["threshold"]).withColumn("threshold", F.lit(best["threshold"]))
 
 
