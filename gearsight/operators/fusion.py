@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gearsight.functions import expressions as X
 from gearsight.operators.ordering import Series
@@ -52,31 +53,27 @@ def fuse_environment(df: DataFrame, env: DataFrame, ts: str = "ts", env_ts: str
 
 
 def asof_environment(df: DataFrame, env: DataFrame, tolerance: str | None = None, ts: str = "ts",
-                     env_ts: str = "env_ts", unit_seconds: int = 3600) -> DataFrame:
+                     env_ts: str = "env_ts") -> DataFrame:
     """Latest environment row at or before each reading, no older than ``tolerance``.
 
-    Each environment row is valid until the next one. Its validity is laid over fixed time buckets, which
-    turns the as-of condition into an equi-join plus a check: every reading meets one candidate per
-    environment row of its bucket, and a hot bucket is split by the optimizer's skew join.
+    Readings and environment rows become one time-ordered stream in which every reading takes the last environment row
+    before it. The stream is cut into even blocks and a block starts with what the ones before it end with, so each row
+    is moved once and none meets a candidate. Readings of one time are parted by a hash of the row. Of environment rows
+    with one time the largest counts; a reading without a time, or with nothing before it, gets nulls.
     """
-    stamp = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    unit = unit_seconds * 1_000_000
-    # several rows with one timestamp would match twice; keep one
-    env_cols = [c for c in env.columns if c != env_ts]
-    one = env.groupBy(env_ts).agg(F.max(F.struct(*env_cols)).alias("_e")).withColumn("_from", stamp(env_ts))
-    end = df.agg(F.max(stamp(ts))).scalar()
-    descending = one.withColumn("_rev", -F.col("_from"))
-    line = Series(descending, [], ["_rev"])
-    valid = line.apply(descending, 1, lambda rows, w: rows.withColumn("_next", F.lag("_from").over(w())))
-    until = F.coalesce(F.col("_next"), F.greatest(end, F.col("_from")) + 1)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    fields = [c for c in env.columns if c != env_ts]
+    one = env.filter(F.col(env_ts).isNotNull()).groupBy(env_ts).agg(F.max(F.struct(*fields)).alias("_f"))
+    context = one.select(micros(env_ts).alias("_at"), F.lit(0).alias("_reading"), F.lit(0).cast("bigint").alias("_tie"),
+                         F.struct(micros(env_ts).alias("at"), F.col(env_ts).alias("ts"), F.col("_f").alias("f")).alias("_env"))
+    hashed = [c.name for c in df.schema if not isinstance(c.dataType, (T.MapType, T.VariantType))]
+    rows = df.select(micros(ts).alias("_at"), F.lit(1).alias("_reading"), F.xxhash64(*hashed).alias("_tie"),
+                     F.struct(*df.columns).alias("_row"))
+    stream = rows.unionByName(context, allowMissingColumns=True)
+    filled = Series(stream, [], ["_at", "_reading", "_tie"]).forwardfill(stream, ["_env"])
+    last = F.col("_env")
     if tolerance is not None:
-        span = F.expr(f"cast(unix_micros(timestamp_seconds(0) + interval {tolerance}) as bigint)")
-        until = F.least(until, F.col("_from") + span + 1)
-    cells = F.sequence(F.floor(F.col("_from") / unit), F.floor((F.col("_until") - 1) / unit))
-    spread = (valid.withColumn("_until", until).filter(F.col("_from") <= F.col("_until") - 1)
-              .withColumn("_cell", F.explode(cells))
-              .select("_cell", "_from", "_until", F.col(env_ts).alias("matched_env_ts"), "_e.*"))
-    left = df.withColumn("_at", stamp(ts)).withColumn("_lcell", F.floor(F.col("_at") / unit))
-    match = ((F.col("_lcell") == F.col("_cell")) & (F.col("_at") >= F.col("_from"))
-             & (F.col("_at") < F.col("_until")))
-    return left.join(spread, match, "left").drop("_cell", "_lcell", "_at", "_from", "_until")
+        span = F.expr(f"unix_micros(timestamp_seconds(0) + interval {tolerance})")
+        last = F.when(F.col("_at") - F.col("_env.at") <= span, last)
+    met = filled.filter(F.col("_reading") == 1).withColumn("_env", last)
+    return met.select("_row.*", F.col("_env.ts").alias("matched_env_ts"), "_env.f.*")

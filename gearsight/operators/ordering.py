@@ -229,21 +229,31 @@ class Series:
 
     def backfill(self, df: DataFrame, cols: list[str]) -> DataFrame:
         """Fill nulls with the next non-null value of the same series."""
+        return self._fill(df, cols, backward=True)
+
+    def forwardfill(self, df: DataFrame, cols: list[str]) -> DataFrame:
+        """Fill nulls with the last non-null value before them in the same series."""
+        return self._fill(df, cols, backward=False)
+
+    def _fill(self, df: DataFrame, cols: list[str], backward: bool) -> DataFrame:
         short, long = self._split(df)
         upto = (Window.unboundedPreceding, 0)
         parts = []
         if short is not None:
-            w = self.window(descending=True).rowsBetween(*upto)
+            w = self.window(descending=backward).rowsBetween(*upto)
             parts.append(short.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols}))
         if long is not None:
             order = Order(long, self.series + self.order, n_rows=self.n_rows)
             cut = long.withColumn("_bucket", order.bucket())
-            w = self.window(["_bucket"], descending=True).rowsBetween(*upto)
+            w = self.window(["_bucket"], descending=backward).rowsBetween(*upto)
             key = F.struct(*self.order)
-            first = F.struct(*[F.min_by(F.col(c), F.when(F.col(c).isNotNull(), key)).alias(c) for c in cols])
-            after = lambda win: F.struct(*[F.last(F.col(f"_first.{c}"), ignorenulls=True).over(
+            # what a bucket hands on: the value nearest to the bucket that is filled from it
+            nearest = F.min_by if backward else F.max_by
+            edge = F.struct(*[nearest(F.col(c), F.when(F.col(c).isNotNull(), key)).alias(c) for c in cols])
+            passed = lambda win: F.struct(*[F.last(F.col(f"_edge.{c}"), ignorenulls=True).over(
                 win.rowsBetween(Window.unboundedPreceding, -1)).alias(c) for c in cols])
-            carry = self._carry(cut, first.alias("_first"), after, [F.col("_bucket").desc()])
+            by = F.col("_bucket").desc() if backward else F.col("_bucket")
+            carry = self._carry(cut, edge.alias("_edge"), passed, [by])
             local = cut.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
             parts.append(self._join_carry(local, carry)
                          .withColumns({c: F.coalesce(F.col(c), F.col(f"_carry.{c}")) for c in cols})

@@ -149,3 +149,32 @@ def test_fused_rows_never_multiply(spark):
     rows = spark.createDataFrame([(1, "2026-01-01 03:05:00"), (2, "2026-01-01 03:05:00"), (3, "2026-01-01 04:00:00")],
                                  "event_id int, t string").select("event_id", F.to_timestamp_ntz("t").alias("ts"))
     assert by_id(FU.fuse_environment(rows, env), "v") == {1: (2.0,), 2: (2.0,), 3: (None,)}
+
+
+@pytest.mark.parametrize("block", [None, 7])
+def test_asof_over_blocks_equals_brute_force(spark, block):
+    """A third of all rows at one time, gaps longer than a block, equal environment times, no time, repeated rows."""
+    at = [None, 0, 1, 1, 5, *[50] * 40, *range(60, 100), 400, 400, 1000]
+    rows = spark.createDataFrame([(i // 2 if i < 6 else i, t) for i, t in enumerate(at)], "event_id bigint, s bigint")
+    env_rows = [(1, 1.0), (1, 2.0), (49, 3.0), (50, 4.0), (70, None), (300, 6.0), (None, 9.0), (2000, 7.0)]
+    env = spark.createDataFrame(env_rows, "s bigint, v double").select(F.timestamp_seconds("s").alias("env_ts"), "v")
+    before = spark.conf.get("spark.gearsight.maxStreamRows", None), spark.conf.get("spark.gearsight.rowsPerBucket", None)
+    try:
+        if block:
+            spark.conf.set("spark.gearsight.maxStreamRows", str(block))
+            spark.conf.set("spark.gearsight.rowsPerBucket", str(block))
+        readings = rows.withColumn("ts", F.timestamp_seconds("s"))
+        for limit in (None, 30):
+            out = FU.asof_environment(readings, env, tolerance=limit and f"{limit} seconds")
+            got = out.select("event_id", "s", F.unix_seconds("matched_env_ts"), "v").collect()
+            want = []
+            for i, t in rows.collect():
+                past = [(e, v) for e, v in env_rows if None not in (e, t) and e <= t and (limit is None or t - e <= limit)]
+                want.append((i, t, *max(past, key=lambda p: (p[0], p[1] or 0.0), default=(None, None))))
+            assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+        none = FU.asof_environment(readings, env.limit(0))
+        assert none.count() == len(at) and none.filter("matched_env_ts is not null").count() == 0
+        assert FU.asof_environment(readings.limit(0), env).count() == 0
+    finally:
+        for name, value in zip(("maxStreamRows", "rowsPerBucket"), before):
+            spark.conf.unset(f"spark.gearsight.{name}") if value is None else spark.conf.set(f"spark.gearsight.{name}", value)

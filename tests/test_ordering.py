@@ -63,6 +63,7 @@ def test_blocks_equal_plain(rows, spark, series, limit):
         ints = rows.withColumn("one", (F.col("id") % 5 == 0).cast("int"))
         same(cut.running_sum(ints, "one", "run"), plain.running_sum(ints, "one", "run"))
         same(cut.backfill(rows, ["x"]), plain.backfill(rows, ["x"]))
+        same(cut.forwardfill(rows, ["x"]), plain.forwardfill(rows, ["x"]))
     finally:
         spark.conf.unset("spark.gearsight.rowsPerBucket")
 
