@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,20 +81,41 @@ def coerce_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumns({c: numeric_or_zero(F.col(c)) for c in cols})
 
 
-def quality_gate(df: DataFrame, target: str = C.TARGET) -> DataFrame:
-    """One row: rows, features, nulls, non-numeric columns, and whether the matrix may be trained on."""
+def _gate_sums(df: DataFrame, target: str) -> tuple[list[Column], int, int]:
+    """Sums over the rows, the number of features, and how many of them are not numeric."""
     if target not in df.columns:
         raise KeyError(f"target column {target!r} not found")
     features = [f for f in df.schema.fields if f.name != target]
     text = sum(not isinstance(f.dataType, T.NumericType) for f in features)
     nulls = sum((F.count_if(F.col(f"`{f.name}`").isNull()) for f in features), F.lit(0))
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), nulls.cast("bigint").alias("n_nulls"),
-                  F.sum(F.col(target).cast("bigint")).alias("n_failures")).select(
-        "n_rows", F.lit(len(features)).alias("n_features"), "n_nulls",
+    return [F.count(F.lit(1)).alias("n_rows"), nulls.cast("bigint").alias("n_nulls"),
+            F.sum(F.col(target).cast("bigint")).alias("n_failures")], len(features), text
+
+
+def quality_gate(df: DataFrame, target: str = C.TARGET) -> DataFrame:
+    """One row: rows, features, nulls, non-numeric columns, and whether the matrix may be trained on."""
+    sums, features, text = _gate_sums(df, target)
+    return df.agg(*sums).select(
+        "n_rows", F.lit(features).alias("n_features"), "n_nulls",
         F.lit(text).alias("n_non_numeric"), "n_failures",
         ((F.col("n_nulls") == 0) & F.lit(text == 0)).cast("int").alias("passed"))
 
 
+def write_gated(df: DataFrame, path: str, target: str = C.TARGET) -> dict[str, int | None]:
+    """Write the matrix as Parquet and return the row of ``quality_gate``, observed in the writing tasks themselves.
+
+    There is no second scan, and a batch of a stream (``foreachBatch``) can be written so. Nothing is shuffled between the
+    observation and the files, so a task that is run again is counted once. The caller decides what becomes of a table
+    that fails.
+    """
+    sums, features, text = _gate_sums(df, target)
+    seen = Observation()
+    df.observe(seen, *sums).write.mode("overwrite").parquet(path)
+    found = seen.get
+    return {"n_rows": found["n_rows"], "n_features": features, "n_nulls": found["n_nulls"], "n_non_numeric": text,
+            "n_failures": found["n_failures"], "passed": int(found["n_nulls"] == 0 and text == 0)}
+
+
 def require_quality(df: DataFrame, target: str = C.TARGET) -> DataFrame:
     """Hard stop before training when the gate fails."""
     row = quality_gate(df, target).first()

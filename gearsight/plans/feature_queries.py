@@ -185,14 +185,29 @@ def coerce_numeric(spark, d):
     return K.coerce_numeric(_texts(spark, d), ["torque", "rpm", "event_type"])
 
 
-@query("quality_gate", """SELECT count(*) AS n_rows, 13 AS n_features,
+GATE = """SELECT count(*) AS n_rows, 13 AS n_features,
   CAST(sum(CASE WHEN ambient_temp IS NULL THEN 5 ELSE 0 END) AS BIGINT) AS n_nulls, 1 AS n_non_numeric,
   CAST(sum(machine_failure) AS BIGINT) AS n_failures, 0 AS passed
-  FROM telemetry t LEFT JOIN environment e ON date_trunc('hour', t.ts) = e.env_ts""")
-def quality_gate(spark, d):
+  FROM telemetry t LEFT JOIN environment e ON date_trunc('hour', t.ts) = e.env_ts"""
+
+
+def _gated(spark, d):
     joined = FU.fuse_environment(S.telemetry(spark, d), S.environment(spark, d))
-    return K.quality_gate(joined.select("event_id", "machine_id", "type", *C.SENSORS, "ambient_temp", "ambient_humidity",
-                                        "atmospheric_pressure", "factory_load_density", "operator_skill_proxy", C.TARGET))
+    return joined.select("event_id", "machine_id", "type", *C.SENSORS, "ambient_temp", "ambient_humidity",
+                         "atmospheric_pressure", "factory_load_density", "operator_skill_proxy", C.TARGET)
+
+
+@query("quality_gate", GATE)
+def quality_gate(spark, d):
+    return K.quality_gate(_gated(spark, d))
+
+
+@query("quality_gate_written", GATE)
+def quality_gate_written(spark, d):
+    """The same, observed while the matrix is written as a stage."""
+    found = K.write_gated(_gated(spark, d), scratch(spark, "matrix"))
+    return spark.createDataFrame([found], "n_rows long, n_features int, n_nulls long, n_non_numeric int, "
+                                 "n_failures long, passed int")
 
 
 @query("drop_constant", "SELECT event_id, torque, tool_wear FROM telemetry")

@@ -96,6 +96,24 @@ def test_quality_gate(spark, readings):
         K.quality_gate(good.drop(C.TARGET))
 
 
+@pytest.mark.parametrize("rows", ["TRUE", "FALSE"])
+def test_gate_of_a_written_matrix(spark, readings, tmp_path, rows):
+    matrix = readings.filter(rows).withColumn("rpm", F.when(F.col("event_id") > 1, F.col("rpm")))
+    got = K.write_gated(matrix, str(tmp_path / "matrix"))
+    assert got == K.quality_gate(matrix).first().asDict()
+    written = spark.read.schema(matrix.schema).parquet(str(tmp_path / "matrix"))
+    assert sorted(map(str, written.collect())) == sorted(map(str, matrix.collect()))
+
+
+def test_gate_of_stream_batches(spark, readings, tmp_path):
+    readings.repartition(2).write.parquet(str(tmp_path / "in"))
+    seen = {}
+    stream = spark.readStream.schema(readings.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream.writeStream.foreachBatch(lambda batch, i: seen.update({i: K.write_gated(batch, str(tmp_path / f"out{i}"))})).option(
+        "checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start().awaitTermination(60)
+    assert sum(g["n_rows"] for g in seen.values()) == readings.count() and all(not g["passed"] for g in seen.values())
+
+
 def test_names(spark):
     df = spark.createDataFrame([(1.0, 2.0, 3)], "`Torque [Nm]` double, `a--b` double, TWF int")
     assert K.normalize_names(df).columns == ["Torque_Nm", "a_b", "TWF"]
