@@ -234,3 +234,23 @@ def test_queries_fit_in_full(spark, monkeypatch, name, trees, columns):
     with pytest.raises(Asked) as asked:
         registry.QUERIES[name](spark, SMALL)
     assert asked.value.args == (columns, trees)
+
+
+def test_a_fit_has_no_more_tasks_than_cores(spark, rows, monkeypatch):
+    seen = []
+
+    class Fit:
+        def fit(self, matrix):
+            seen.append((matrix.rdd.getNumPartitions(), matrix.count()))
+
+    monkeypatch.setattr(T, "gbt_pipeline", lambda *a: Fit())
+    monkeypatch.setattr(T, "ROWS_PER_TASK", 10)
+    T.train(rows, FEATURES, SMALL_TREES)
+    T.train(rows, FEATURES, SMALL_TREES, oversample=False)
+    stable = rows.filter("machine_failure = 0").count()
+    assert seen == [(spark.sparkContext.defaultParallelism, 2 * stable), (spark.sparkContext.defaultParallelism, 1000)]
+
+
+def test_fits_share_the_cluster():
+    assert [T.tasks_for(n, 12) for n in (0, 1, 150_000, 9_000_000, 13_000_000)] == [1, 1, 3, 12, 24]
+    assert [T.fits_at_once(n, 59) for n in (0, 150_000, 2_000_000, 9_000_000)] == [6, 6, 6, 1]
