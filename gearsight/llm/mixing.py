@@ -29,7 +29,7 @@ import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from functools import cached_property
-from itertools import chain, repeat
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pandas as pd
@@ -74,7 +74,7 @@ def contexts(*parts: np.ndarray) -> np.ndarray:
 
 def slots(context: np.ndarray, node: np.ndarray) -> np.ndarray:
     """Slot of each bit, from the hash of its context and its place in the code."""
-    return (((context ^ (node.astype(np.uint64) * MIX_1)) * MIX_2) >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
+    return (((context ^ (node.astype(np.uint64) * MIX_1)) * MIX_2) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
 
 
 TABLE = (ORDERS, 1 << SLOT_BITS, 2)
@@ -104,21 +104,27 @@ class Code:
             start.append(len(node))
         self.node, self.bit, self.start = np.array(node, np.int64), np.array(bit, np.int8), np.array(start, np.int64)
 
-    def bits(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Token, node and bit of all bits of a sequence of symbols."""
-        size = self.start[symbols + 1] - self.start[symbols]
-        owner = np.repeat(np.arange(len(symbols)), size)
-        at = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + self.start[symbols][owner]
-        return owner, self.node[at], self.bit[at]
+    def bits(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of bits of each of a sequence of symbols, and where the node and bit of each bit are."""
+        first = self.start[symbols]
+        size = self.start[symbols + 1] - first
+        at = np.repeat(first - np.cumsum(size) + size, size)
+        at += np.arange(len(at))
+        return size, at
 
 
-def word_bits(code: Code, symbols: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Token, bit and the slots of each order. ``place`` is the token's place in its text."""
-    owner, node, bit = code.bits(symbols)
+def word_bits(code: Code, symbols: np.ndarray, place: np.ndarray,
+              order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Token, bit and the slots of each order. ``place`` is the token's place in its text; tokens come by ``order``."""
     one = np.r_[0, symbols[:-1]][:len(symbols)] + 1
     two = np.r_[0, 0, symbols[:-2]][:len(symbols)] + 1
     one, two = np.where(place > 0, one, 0), np.where(place > 1, two, 0)
-    return owner, bit, [node.astype(np.int32), slots(contexts(one)[owner], node), slots(contexts(one, two)[owner], node)]
+    if order is not None:
+        symbols, one, two = symbols[order], one[order], two[order]
+    size, at = code.bits(symbols)
+    node = np.take(code.node, at)
+    return (np.repeat(np.arange(len(size)), size), np.take(code.bit, at),
+            [node, *(slots(np.repeat(c, size), node) for c in (contexts(one), contexts(one, two)))])
 
 
 def letters_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -149,40 +155,52 @@ def tally(table: np.ndarray, bit: np.ndarray, found: list[np.ndarray], times: np
     """Add bits to a table (order, slot, bit)."""
     times = np.asarray(times, table.dtype)  # of one type with the table: numpy then adds without casts
     for order, at in enumerate(found):
-        np.add.at(table[order].reshape(-1), at.astype(np.int64) * 2 + bit, times)
+        np.add.at(table[order].reshape(-1), at * 2 + bit, times)
 
 
 #: Counts from which on a context is known a little, well, very well.
 KNOWN = (1, 4, 32)
 
 
+def marked(logits: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Predictions whose last two bits say how much is known: one look-up finds both."""
+    return ((logits.astype(np.float32).view(np.uint32) & np.uint32(0xFFFFFFFC)) | known.astype(np.uint32)).view(np.float32)
+
+
+def looked_up(logits: np.ndarray, found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Predictions (order, bit) and the gate of each bit."""
+    out = np.empty((len(found), len(found[0])), np.float32)
+    for k, at in enumerate(found):
+        np.take(logits[k], at, out=out[k], mode="clip")  # no slot lies outside; only this mode writes without a copy
+    mark = (out[1:3].view(np.uint32) & np.uint32(3)).astype(np.uint8)
+    return out, mark[0] * np.uint8(4) + mark[1]
+
+
 class Predictors:
     """What a table (order, slot, bit) of counts predicts, in the logistic domain, and how much is known."""
 
     def __init__(self, table: np.ndarray):
-        self.logits = np.log((table[..., 1] + np.float32(0.4)) / (table[..., 0] + np.float32(0.4))).astype(np.float32)
-        self.known = np.digitize(table.sum(axis=2), KNOWN).astype(np.uint8)
+        self.logits = np.empty(table.shape[:2], np.float32)
+        for k, (n0, n1) in enumerate(zip(table[..., 0], table[..., 1])):
+            self.logits[k] = marked(np.log((n1 + np.float32(0.4)) / (n0 + np.float32(0.4))), np.digitize(n0 + n1, KNOWN))
 
     def __call__(self, found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Predictions (order, bit) and the gate of each bit."""
-        return (np.stack([self.logits[k, at] for k, at in enumerate(found)]),
-                self.known[1, found[1]] * np.uint8(4) + self.known[2, found[2]])
+        return looked_up(self.logits, found)
 
 
 class Known:
     """The same with each bit taken out of its own counts."""
 
     def __init__(self, table: np.ndarray):
-        n0, n1 = table[..., 0], table[..., 1]
-        self.logits = np.empty((len(table), table.shape[1], 2), np.float32)
-        self.logits[..., 0] = np.log((n1 + np.float32(0.4)) / (np.maximum(n0 - 1, 0) + np.float32(0.4)))
-        self.logits[..., 1] = np.log((np.maximum(n1 - 1, 0) + np.float32(0.4)) / (n0 + np.float32(0.4)))
+        self.logits = np.empty(table.shape, np.float32)
+        for k, (n0, n1) in enumerate(zip(table[..., 0], table[..., 1])):
+            known = np.digitize(np.maximum(n0 + n1 - 1, 0), KNOWN)
+            self.logits[k, :, 0] = marked(np.log((n1 + np.float32(0.4)) / (np.maximum(n0 - 1, 0) + np.float32(0.4))), known)
+            self.logits[k, :, 1] = marked(np.log((np.maximum(n1 - 1, 0) + np.float32(0.4)) / (n0 + np.float32(0.4))), known)
         self.logits = self.logits.reshape(len(table), -1)
-        self.known = np.stack([np.digitize(np.maximum(n0[k] + n1[k] - 1, 0), KNOWN).astype(np.uint8) for k in (1, 2)])
 
     def __call__(self, found: list[np.ndarray], own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        logits = np.stack([self.logits[k, at.astype(np.int64) * 2 + own] for k, at in enumerate(found)])
-        return logits, self.known[0, found[1]] * np.uint8(4) + self.known[1, found[2]]
+        return looked_up(self.logits, [at * 2 + own for at in found])
 
 
 def inputs_without(table: np.ndarray, found: list[np.ndarray], own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -286,19 +304,27 @@ def steps(cell: np.ndarray, cells: int, error: np.ndarray, p: np.ndarray, logits
           hold: float) -> np.ndarray:
     """Step of the weights of each cell: the slope of the code length over its curvature, half of it, at most 0.2."""
     out = np.empty((cells, ORDERS), np.float32)
+    unsure = p * (1 - p)
     for k in range(ORDERS):
         slope = np.bincount(cell, weights=error * logits[k], minlength=cells)
-        bend = np.bincount(cell, weights=p * (1 - p) * logits[k] ** 2, minlength=cells)
+        bend = np.bincount(cell, weights=unsure * logits[k] ** 2, minlength=cells)
         out[:, k] = np.clip(0.5 * slope / (ORDERS * bend + hold), -0.2, 0.2)
     return out
 
 
 class Scorer:
-    def __init__(self, words: list[bytes], counts: np.ndarray, tokens: int, ends: int):
-        """From the most frequent words with their counts, most frequent first, and the counts of tokens and ends."""
+    def __init__(self, words: list[bytes], counts: np.ndarray, tokens: int, ends: int, single: int = 0):
+        """From the most frequent words with their counts, most frequent first, and the counts of tokens and ends.
+
+        ``single`` words beyond those occur once: as many of the tokens there would be new without their own count.
+        """
         self.index = {w: i for i, w in enumerate(words)}
         n_coded, n_listed = int(counts[:CODED].sum()), int(counts[CODED:].sum())
-        self.code = Code([ends, tokens - ends - n_coded - n_listed, n_listed, *counts[:CODED].tolist()])
+        n_rare = tokens - ends - n_coded - n_listed
+        self.code = Code([ends, n_rare, n_listed, *counts[:CODED].tolist()])
+        # Logarithms: of the chance that a word beyond the list is new, and of what a known one has for each of its counts.
+        self.new = np.log((single + 1) / (n_rare + 2)) if n_rare else 0.0
+        self.old = np.log((n_rare + 1 - single) / (n_rare + 2) / n_rare) if n_rare else 0.0
         # By place in the list; the last entry is for words that are not in it.
         place = np.arange(len(words))
         self.symbol = np.r_[np.where(place < CODED, place + LISTED + 1, LISTED), ESCAPE]
@@ -339,28 +365,32 @@ class Scorer:
             logs = np.log(np.where(bit == 1, p, 1 - p)).reshape(-1, 8).sum(axis=1)
             self.spelled.update(zip(part, np.bincount(word, weights=logs[which], minlength=len(part)).tolist()))
 
-    def score(self, symbols: list[bytes], tails: list[list[dict]]) -> np.ndarray:
-        """Natural logarithm of the probability of each text's symbols and of the words (word, n) that it spells."""
+    def spelled_logs(self, words: list[bytes]) -> np.ndarray:
+        """Natural logarithm of the probability of each word by its letters."""
+        if len(self.spelled) > REMEMBERED:
+            self.spelled.clear()
+        self.spell(set(words))
+        return np.fromiter(map(self.spelled.__getitem__, words), float, len(words))
+
+    def score(self, symbols: list[bytes]) -> np.ndarray:
+        """Natural logarithm of the probability of each text's symbols."""
         symbol, place, text = laid_out(symbols)
-        owner, bit, found = word_bits(self.code, symbol, place)
-        logits, gate = self.tables[0](found)
-        of, chunk = text[owner], np.where(place < CHUNK, np.searchsorted(EARLY, place, side="right"),
-                                          len(EARLY) - 1 + place // CHUNK).astype(np.int32)[owner]
+        chunk = np.where(place < CHUNK, np.searchsorted(EARLY, place, side="right"), len(EARLY) - 1 + place // CHUNK)
+        if chunk.max() < 1 << 15:
+            chunk = chunk.astype(np.int16)  # sorted by digits
         order = np.argsort(chunk, kind="stable")
-        logits, bit, cell = logits[:, order], bit[order], (of * 16 + gate)[order]
-        bounds = np.searchsorted(chunk[order], np.arange(chunk.max() + 2))
+        owner, bit, found = word_bits(self.code, symbol, place, order)
+        logits, gate = self.tables[0](found)
+        cell = np.take(text[order] * 16, owner) + gate
+        bounds = np.searchsorted(owner, np.searchsorted(chunk[order], np.arange(chunk.max() + 2)))
         weights = np.tile(self.word_weights, (len(symbols), 1))
-        total = np.zeros(len(symbols))
+        p = np.empty(len(bit), np.float32)
         for c in range(len(bounds) - 1):
             part = slice(bounds[c], bounds[c + 1])
-            p = chance(weights[cell[part]], logits[:, part])
-            total += np.bincount(cell[part] // 16, weights=np.log(np.where(bit[part] == 1, p, 1 - p)), minlength=len(total))
+            p[part] = chance(np.take(weights, cell[part], axis=0), logits[:, part])
             if c + 2 < len(bounds):
-                weights += steps(cell[part], len(weights), bit[part] - p, p, logits[:, part], HOLD)
-        if len(self.spelled) > REMEMBERED:
-            self.spelled.clear()
-        self.spell({w["word"] for tail in tails for w in tail})
-        return total + [sum(w["n"] * self.spelled[w["word"]] for w in tail) for tail in tails]
+                weights += steps(cell[part], len(weights), bit[part] - p[part], p[part], logits[:, part], HOLD)
+        return np.bincount(cell >> 4, weights=np.log(np.where(bit == 1, p, 1 - p)), minlength=len(symbols))
 
 
 def laid_out(symbols: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -438,13 +468,14 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     counts = stage(train.mapInArrow(count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")),
                    "word-counts")
-    total, kinds, ends = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(
-        F.octet_length("word") == 0, F.col("n"))), F.lit(0))).first()
+    total, kinds, ends, single = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(
+        F.octet_length("word") == 0, F.col("n"))), F.lit(0)), F.count_if((F.octet_length("word") > 0) & (F.col("n") == 1))
+    ).first()
     top = counts.filter(F.octet_length("word") > 0).orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
-    scorer = Scorer(top.column("word").to_pylist(), top.column("n").to_numpy(), total, ends)
+    n = top.column("n").to_numpy()
+    scorer = Scorer(top.column("word").to_pylist(), n, total, ends, single - int((n == 1).sum()))
     plan = spark.sparkContext.broadcast(scorer)
 
-    tail_kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
     id_type = rows.schema["id"].dataType.simpleString()
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -456,10 +487,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 text, _, listed, symbol = m.tokens_of(texts)
                 ends_at = np.flatnonzero(symbol == END) + 1
                 n = np.where(symbol == END, ends, m.count[listed])
-                rare: list[Counter] = [Counter() for _ in texts]
-                flat = list(chain.from_iterable(texts))
-                for i in np.flatnonzero(symbol == ESCAPE).tolist():
-                    rare[text[i]][flat[i]] += 1
+                beyond = symbol == ESCAPE
+                rare = np.r_[0, np.cumsum(np.bincount(text, weights=beyond, minlength=len(texts)))].astype(np.int32)
                 sums = [np.bincount(text, weights=w, minlength=len(texts))
                         for w in (n > 0, np.log10(n + 1.0), m.listed[listed])]
                 short = symbol.astype(np.int16)
@@ -468,13 +497,13 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      pc.coalesce(pc.binary_length(part.column(2)).cast(pa.int64()), pa.scalar(0, pa.int64())),
                      pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]),
                      pa.array([short[a:b].tobytes() for a, b in zip([0, *ends_at], ends_at)], pa.binary()),
-                     pa.array([[{"word": w, "n": k} for w, k in r.items()] for r in rare], tail_kind)],
+                     pa.ListArray.from_arrays(pa.array(rare), pa.array(compress(chain.from_iterable(texts), beyond.tolist()),
+                                                                       pa.binary()))],
                     names=["id", "held_out", "n_tokens", "n_bytes", "known", "logs", "plain", "symbols", "tail"])
 
     coded = stage(rows.mapInArrow(
         code, f"id {id_type}, held_out boolean, n_tokens long, n_bytes long, known long, logs double, plain double, "
-        "symbols binary, tail array<struct<word:binary,n:long>>").withColumn("row", F.monotonically_increasing_id()),
-        "symbols")
+        "symbols binary, tail array<binary>").withColumn("row", F.monotonically_increasing_id()), "symbols")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -516,18 +545,30 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 300):
-                part = batch.slice(at, 300)
-                logs = model.value.score([x.as_buffer().to_pybytes() for x in part.column(2)], part.column(3).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array((logs + part.column(1).to_numpy()) / LOG10)],
-                                                 names=["row", "score"])
-
-    scored = stage(coded.select("row", "plain", "symbols", "tail").mapInArrow(score, "row long, score double"), "scored")
-    tails = coded.select("row", F.explode("tail").alias("tail")).select("row", "tail.*")
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                logs = model.value.score([x.as_buffer().to_pybytes() for x in part.column(2)])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(logs + part.column(1).to_numpy())],
+                                                 names=["row", "coded_logs"])
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.value.spelled_logs(batch.column(1).to_pylist()))],
+                                             names=["row", "logs"])
+
+    scored = stage(coded.select("row", "plain", "symbols").mapInArrow(score, "row long, coded_logs double"), "scored")
+    tails = coded.select("row", F.explode("tail").alias("word"))
     rare = counts.filter(F.octet_length("word") > 0).select("word", F.col("n").alias("c"))
-    tail_sums = stage(tails.join(rare, "word").groupBy("row").agg(
-        F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more_logs")), "rare-words")
-    out = coded.drop("tail", "symbols").join(scored, "row").join(tail_sums, "row", "left")
+    met = stage(tails.join(rare, "word", "left").select("row", F.when(F.col("c").isNull(), F.col("word")).alias("new"), "c"),
+                "rare-words")
+    known = met.filter("c IS NOT NULL").groupBy("row").agg(
+        F.count("c").alias("more"), F.sum(F.log10(F.col("c") + 1.0)).alias("more_logs"),
+        F.sum(F.log(F.col("c")) + F.lit(float(scorer.old))).alias("shares"))
+    spelled = met.filter("c IS NULL").select("row", "new").mapInArrow(spell, "row long, logs double").groupBy("row").agg(
+        F.sum(F.col("logs") + F.lit(float(scorer.new))).alias("letters"))
+    out = coded.drop("tail", "symbols").join(scored, "row").join(known, "row", "left").join(spelled, "row", "left")
+    out = out.withColumn("score", (F.col("coded_logs") + F.coalesce("shares", F.lit(0.0)) + F.coalesce("letters", F.lit(0.0)))
+                         / float(LOG10))
     per_token = F.log10(F.lit(float(total + kinds + 1)))
     base = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * per_token
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens",

@@ -338,6 +338,20 @@ def test_code_is_a_distribution():
     assert abs(sum(10 ** c for c in cost) - 1) < 1e-9
 
 
+def test_words_beyond_the_list_cost_a_share_of_their_counts(spark, tables, monkeypatch):
+    """Known words have shares of their counts however far down they stand; only new ones are spelled."""
+    monkeypatch.setattr(mixing, "HEAD", 8)
+    texts = ["often " * 40 + " ".join(f"w{i} " * 9 for i in range(12)), "zq zq zq zq", "zq", "kj", "kj kj"]
+    texts += [f"only{i}" for i in range(6)]
+    got = {r.doc_id: r for r in mixing.score_texts(tables(spark, [
+        (None, t) for t in texts] + [(d, t) for d, t in zip((d for d in range(99) if zlib.crc32(str(d).encode()) % 7 == 2),
+                                                           ("zq", "kj", "neverseen"))], "doc_id long, text string")).collect()
+           if r.doc_id is not None}
+    zq, kj, new = (got[d] for d in sorted(got))
+    assert all(r.held_out for r in got.values()) and [r.n_known for r in (zq, kj, new)] == [2, 2, 1]
+    assert abs(zq.score - kj.score - log10(5 / 3)) < 1e-6 and new.score < kj.score
+
+
 def test_pipeline_stages(spark):
     """Each stage against brute force on what the stage before kept."""
     import corpus_pipeline as pipeline
