@@ -1,10 +1,12 @@
 """LM scoring by logistic mixing of hashed-context bit predictors.
 
 A text is coded as tokens, a token as bits: the CODED most frequent words (lower-cased A-Z), the end of the text and two
-escapes have a Huffman code. One escape leads to the other HEAD words; they are too rare for contexts, and their bits,
-predicted from the place in the code alone, multiply out to a word's share of their counts. After the other escape a
-word follows letter by letter. Every other bit is predicted from counts of zeros and ones in several contexts: the
-place in the code, with it the word before, with it the two words before; within a spelled word the one, two and three
+escapes have a Huffman code. One escape leads to the other HEAD words, one to the words beyond. Those have shares of
+their counts (beyond HEAD by a join; new words have what words that occur once would, and follow letter by letter), to
+which the counts after the word before are added: they meet in buckets, by both words or by the one that is beyond HEAD.
+A word beyond HEAD after another has its share only. How much the shares weigh is the best of PRIORS over all training
+tokens, each without its own count. Every bit of the code is predicted from counts of zeros and ones in several contexts:
+the place in the code, with it the word before, with it the two words before; within a spelled word the one, two and three
 letters before. Contexts are hashed to 2^20 slots. The predictions are mixed in the logistic
 domain by weights chosen by how much is known of the two richest contexts. The weights start from those that fit all
 training documents (for letters: all their words without a code, once each), each bit predicted without its own count:
@@ -15,7 +17,7 @@ tokens, first after 16 and whenever their number has doubled, from CHUNK on afte
 does not depend on others beside it.
 
 Texts are split into words twice, to count them and to write their symbols, 2 bytes each, to a table that all later
-passes read. Letters are counted as distinct runs of four. Counts cover all training documents; they are summed by tree merging, 16 tables at a time. Only tables of fixed size
+passes read, beside the tokens without a code by bucket. Letters are counted as distinct runs of four. Counts cover all training documents; they are summed by tree merging, 16 tables at a time. Only tables of fixed size
 and the HEAD most frequent words are broadcast; counts of rarer words are joined.
 
 Defined results: null and empty texts are one end token; null ids are in no fold and are learned from; repeated rows
@@ -60,6 +62,12 @@ FAN_IN = 16
 PIECE = 1 << 16
 END, ESCAPE, LISTED = 0, 1, 2
 LOG10 = np.log(10.0)
+#: Tokens without a code that a bucket holds on average, and that are sent at once.
+BUCKET_TOKENS, SENT_TOKENS = 1 << 21, 1 << 20
+#: At least as many as the list has words, and a multiple of PIECE.
+HEAD_CELLS = 1 << 17
+#: Counts that the words' shares are worth beside those of a context; the best is taken. Without end, no context counts.
+PRIORS = np.r_[4.0 ** np.arange(-1, 10), np.inf]
 #: Weights of each gate before any is learned.
 START = np.tile(np.array([0.8, 0.2, 0.2], np.float32), (16, 1))
 
@@ -333,6 +341,7 @@ class Scorer:
         self.tables = tuple(np.zeros(TABLE, np.int32) for _ in (0, 1))
         self.word_weights = self.letter_weights = START
         self.spelled: dict[bytes, float] = {}
+        self.buckets = -(-(n_rare + n_listed) // BUCKET_TOKENS) + 15
 
     def finish(self, weights: Sequence[np.ndarray]) -> None:
         """Weights of words and of letters, if there are any; then predictions take the place of the counts."""
@@ -400,6 +409,58 @@ def laid_out(symbols: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return symbol, np.arange(len(symbol)) - np.repeat(np.cumsum(size) - size, size), np.repeat(np.arange(len(size)), size)
 
 
+def after(text: np.ndarray, place: np.ndarray, listed: np.ndarray, symbol: np.ndarray, words: list[list[bytes]],
+          start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, word and word before of all tokens without a code: places in the list, or below zero a hash of 31 bits.
+
+    The word before the first one is ``start``.
+    """
+    number = listed.astype(np.int32)
+    beyond = symbol == ESCAPE
+    flat = compress(chain.from_iterable(words), beyond.tolist())
+    number[beyond] = -1 - (np.fromiter(map(zlib.crc32, flat), np.int64, int(beyond.sum())) >> 1)
+    at = np.flatnonzero((symbol == LISTED) | beyond)
+    return text[at], number[at], np.where(place[at] > 0, number[at - 1], start).astype(np.int32)
+
+
+def bucket_of(word: np.ndarray, before: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of a token: by the rare one of the two words, the token's own first, or by both if none is rare."""
+    by_word, by_before = (word < 0) | (before >= 0), (word >= 0)
+    key = contexts(np.where(by_word, word, 0).astype(np.int64), np.where(by_before, before, 0).astype(np.int64))
+    return (key % np.uint64(buckets)).astype(np.int32)
+
+
+def followed(word: np.ndarray, before: np.ndarray, train: np.ndarray, follow: np.ndarray, listed: np.ndarray,
+             old: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the tokens of a bucket: count of the word after the one before, over the word's share; count of the context
+    (below zero: not known here); the share. Counts are those of the training texts.
+
+    ``follow`` has the counts of contexts in the list, of listed and of rarer words.
+    """
+    def counts(key: np.ndarray) -> np.ndarray:
+        _, which = np.unique(key, return_inverse=True)
+        return np.bincount(which, weights=train)[which]
+
+    pair = counts(word.astype(np.int64) << 32 | before.astype(np.int64) & 0xFFFFFFFF)
+    rare = word < 0
+    share = np.exp(np.take(listed, np.maximum(word, 0)))
+    context = np.where(before < 0, -1.0, follow[rare.astype(np.int64), np.maximum(before, 0)])
+    some = rare.nonzero()[0]
+    if len(some):
+        _, which = np.unique(word[some], return_inverse=True)
+        share[some] = np.exp(old) * np.maximum(np.bincount(which, weights=train[some])[which], 1)
+    some = (~rare & (before < 0)).nonzero()[0]
+    if len(some):
+        _, which = np.unique(before[some], return_inverse=True)
+        context[some] = np.bincount(which, weights=train[some])[which]
+    return pair, context, share
+
+
+def gain(pair: np.ndarray, context: np.ndarray, share: np.ndarray, prior: np.ndarray | float) -> np.ndarray:
+    """Logarithm of what the word before makes of a word's share; 0 where the context is not known."""
+    return np.where(context < 0, 0.0, np.log((pair / share / prior + 1) / (np.maximum(context, 0) / prior + 1)))
+
+
 def tree_sum(parts: DataFrame, tasks: int, cells: int) -> np.ndarray:
     """Sum of tables sent in pieces (piece, part, data), by rounds of 16.
 
@@ -479,12 +540,34 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id_type = rows.schema["id"].dataType.simpleString()
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = plan.value
+        m, row, held = plan.value, TaskContext.get().partitionId() << 33, []
+        first = row
+
+        def table(n: int, **columns: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in kinds_of],
+                                              schema=pa.schema(kinds_of))
+
+        def rest() -> Iterator[pa.RecordBatch]:
+            """Tokens without a code, by bucket."""
+            doc, word, before = (np.concatenate(x) for x in zip(*held))
+            bucket = bucket_of(word, before, m.buckets)
+            order = np.argsort(bucket, kind="stable")
+            cut = np.r_[np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order)]
+            doc, word, before = (x[order].astype(np.int32) for x in (doc, word, before))
+            for at in range(0, len(cut) - 1, 64):
+                ends = list(zip(cut[at:at + 64], cut[at + 1:at + 65]))
+                yield table(len(ends), bucket=pa.array(bucket[order][[a for a, _ in ends]], pa.int32()),
+                            first=pa.array([first] * len(ends), pa.int64()), **{
+                                name: pa.array([x[a:b].tobytes() for a, b in ends], pa.binary())
+                                for name, x in (("docs", doc), ("words", word), ("before", before))})
+
+        kinds_of = None
         for batch in batches:
+            kinds_of = kinds_of or [pa.field("id", batch.column(0).type), *rest_fields]
             for at in range(0, batch.num_rows, 400):
                 part = batch.slice(at, 400)
                 texts = texts_of(part, 2)
-                text, _, listed, symbol = m.tokens_of(texts)
+                text, place, listed, symbol = m.tokens_of(texts)
                 ends_at = np.flatnonzero(symbol == END) + 1
                 n = np.where(symbol == END, ends, m.count[listed])
                 beyond = symbol == ESCAPE
@@ -492,18 +575,80 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 sums = [np.bincount(text, weights=w, minlength=len(texts))
                         for w in (n > 0, np.log10(n + 1.0), m.listed[listed])]
                 short = symbol.astype(np.int16)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([len(t) for t in texts], pa.int64()),
-                     pc.coalesce(pc.binary_length(part.column(2)).cast(pa.int64()), pa.scalar(0, pa.int64())),
-                     pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]),
-                     pa.array([short[a:b].tobytes() for a, b in zip([0, *ends_at], ends_at)], pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(rare), pa.array(compress(chain.from_iterable(texts), beyond.tolist()),
-                                                                       pa.binary()))],
-                    names=["id", "held_out", "n_tokens", "n_bytes", "known", "logs", "plain", "symbols", "tail"])
-
-    coded = stage(rows.mapInArrow(
+                yield table(
+                    len(texts), id=part.column(0), held_out=part.column(1), n_tokens=pa.array([len(t) for t in texts], pa.int64()),
+                    n_bytes=pc.coalesce(pc.binary_length(part.column(2)).cast(pa.int64()), pa.scalar(0, pa.int64())),
+                    known=pa.array(sums[0].astype(np.int64)), logs=pa.array(sums[1]), plain=pa.array(sums[2]),
+                    symbols=pa.array([short[a:b].tobytes() for a, b in zip([0, *ends_at], ends_at)], pa.binary()),
+                    tail=pa.ListArray.from_arrays(pa.array(rare), pa.array(compress(
+                        chain.from_iterable(texts), beyond.tolist()), pa.binary())),
+                    row=pa.array(np.arange(row, row + len(texts))))
+                of, word, before = after(text, place, listed, symbol, texts, len(m.index))
+                # The last bit of a document says that it is held out.
+                held.append(((of + row - first) * 2 + part.column(1).to_numpy(zero_copy_only=False)[of], word, before))
+                row += len(texts)
+                if sum(len(h[1]) for h in held) >= SENT_TOKENS:
+                    yield from rest()
+                    held, first = [], row
+        if held:
+            yield from rest()
+
+    rest_fields = [pa.field(*f) for f in (
+        ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()), ("known", pa.int64()),
+        ("logs", pa.float64()), ("plain", pa.float64()), ("symbols", pa.binary()), ("tail", pa.list_(pa.binary())),
+        ("row", pa.int64()), ("bucket", pa.int32()), ("first", pa.int64()), ("docs", pa.binary()), ("words", pa.binary()),
+        ("before", pa.binary()))]
+    written = stage(rows.mapInArrow(
         code, f"id {id_type}, held_out boolean, n_tokens long, n_bytes long, known long, logs double, plain double, "
-        "symbols binary, tail array<binary>").withColumn("row", F.monotonically_increasing_id()), "symbols")
+        "symbols binary, tail array<binary>, row long, bucket int, first long, docs binary, words binary, before binary"),
+        "symbols")
+    rest = written.filter("bucket IS NOT NULL").select("bucket", "first", "docs", "words", "before")
+    coded = written.filter("bucket IS NULL").drop("bucket", "first", "docs", "words", "before")
+
+    def contexts_of_list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((2, 2 * HEAD_CELLS), np.int32)
+        for batch in batches:
+            for cells in zip(*batch.columns):
+                doc, word, before = (np.frombuffer(c.as_buffer(), np.int32) for c in cells)
+                for rare in (0, 1):
+                    found = before[(before >= 0) & (doc & 1 == 0) & ((word < 0) == rare)]
+                    np.add.at(table[rare], found, np.int32(1))
+        yield from sent(table)
+
+    def bucket_arrays(cells: pd.DataFrame, follow: np.ndarray) -> tuple[np.ndarray, ...]:
+        doc, word, before = (np.frombuffer(b"".join(cells[c]), np.int32) for c in ("docs", "words", "before"))
+        train = (doc & 1 == 0).astype(float)
+        return doc, word, train, *followed(word, before, train, follow, plan.value.listed, plan.value.old)
+
+    def try_priors(cells: pd.DataFrame) -> pd.DataFrame:
+        """Gain of each prior over all training tokens, each without its own count; listed words and rarer ones apart."""
+        _, word, train, pair, context, share = bucket_arrays(cells, shared.value)
+        own = (train > 0) & (context >= 0)
+        pair, context, share, rare = pair[own] - 1, context[own] - 1, share[own], word[own] < 0
+        found = [[gain(pair[at], context[at], share[at], prior).sum() for prior in PRIORS] for at in (~rare, rare)]
+        return pd.DataFrame({"bucket": [int(cells["bucket"].iloc[0])], "sums": [np.array(found).tobytes()]})
+
+    def gains(cells: pd.DataFrame) -> pd.DataFrame:
+        doc, word, _, pair, context, share = bucket_arrays(cells, shared.value)
+        found = gain(pair, context, share, np.where(word < 0, *prior[::-1])).astype(np.float32)
+        ends = np.r_[0, np.cumsum([len(d) // 4 for d in cells["docs"]])]
+        return pd.DataFrame({"first": cells["first"], "docs": cells["docs"],
+                             "logs": [found[a:b].tobytes() for a, b in zip(ends, ends[1:])]})
+
+    def by_document(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
+        doc = np.frombuffer(b"".join(cells["docs"]), np.int32) >> 1
+        logs = np.bincount(doc, weights=np.frombuffer(b"".join(cells["logs"]), np.float32))
+        return pd.DataFrame({"row": key[0] + np.arange(len(logs)), "rest": logs})
+
+    follow = tree_sum(rest.select("docs", "words", "before").mapInArrow(contexts_of_list, piece_schema),
+                      rest.rdd.getNumPartitions(), 4 * HEAD_CELLS).reshape(2, -1)
+    shared = spark.sparkContext.broadcast(follow)
+    tried = stage(rest.groupBy("bucket").applyInPandas(try_priors, "bucket int, sums binary"), "priors").orderBy("bucket")
+    best = sum((np.frombuffer(r.sums).reshape(2, -1) for r in tried.toLocalIterator()), np.zeros((2, len(PRIORS))))
+    prior = PRIORS[best.argmax(axis=1)]
+    gained = stage(rest.groupBy("bucket").applyInPandas(gains, "first long, docs binary, logs binary")
+                   .groupBy("first").applyInPandas(by_document, "row long, rest double"), "gains")
+    shared.destroy()
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -566,8 +711,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.sum(F.log(F.col("c")) + F.lit(float(scorer.old))).alias("shares"))
     spelled = met.filter("c IS NULL").select("row", "new").mapInArrow(spell, "row long, logs double").groupBy("row").agg(
         F.sum(F.col("logs") + F.lit(float(scorer.new))).alias("letters"))
-    out = coded.drop("tail", "symbols").join(scored, "row").join(known, "row", "left").join(spelled, "row", "left")
-    out = out.withColumn("score", (F.col("coded_logs") + F.coalesce("shares", F.lit(0.0)) + F.coalesce("letters", F.lit(0.0)))
+    out = coded.drop("tail", "symbols").join(scored, "row")
+    for found in (known, spelled, gained):
+        out = out.join(found, "row", "left")
+    out = out.withColumn("score", sum((F.coalesce(c, F.lit(0.0)) for c in ("shares", "letters", "rest")), F.col("coded_logs"))
                          / float(LOG10))
     per_token = F.log10(F.lit(float(total + kinds + 1)))
     base = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * per_token

@@ -352,6 +352,19 @@ def test_words_beyond_the_list_cost_a_share_of_their_counts(spark, tables, monke
     assert abs(zq.score - kj.score - log10(5 / 3)) < 1e-6 and new.score < kj.score
 
 
+@pytest.mark.parametrize("head", [8, 64])
+def test_words_without_a_code_are_predicted_by_the_word_before(spark, tables, monkeypatch, head):
+    """Right words, listed or beyond the list, follow their left words only: the same words the other way cost more."""
+    monkeypatch.setattr(mixing, "HEAD", head)
+    monkeypatch.setattr(mixing, "CODED", 2)
+    texts = [" ".join(f"l{(i + k) % 6} r{(i + k) % 6} l{(i + k) % 6}" for k in range(6)) for i in range(60)]
+    held = [d for d in range(99) if zlib.crc32(str(d).encode()) % 7 == 2][:2]
+    got = {r.doc_id: r for r in mixing.score_texts(tables(spark, [(None, t) for t in texts] + [
+        (held[0], "l2 r2 l3 r3"), (held[1], "l2 r3 l3 r2")], "doc_id long, text string")).collect() if r.doc_id is not None}
+    met, apart = (got[d] for d in held)
+    assert abs(met.base_score - apart.base_score) < 1e-9 and met.score > apart.score + 1
+
+
 def test_pipeline_stages(spark):
     """Each stage against brute force on what the stage before kept."""
     import corpus_pipeline as pipeline
