@@ -17,8 +17,9 @@ tokens, first after 16 and whenever their number has doubled, from CHUNK on afte
 does not depend on others beside it.
 
 Texts are split into words twice, to count them and to write their symbols, 2 bytes each, to a table that all later
-passes read, beside the tokens without a code by bucket. Letters are counted as distinct runs of four. Counts cover all training documents; they are summed by tree merging, 16 tables at a time. Only tables of fixed size
-and the HEAD most frequent words are broadcast; counts of rarer words are joined.
+passes read, beside the tokens without a code by bucket. Letters are counted as distinct runs of four. Counts cover all
+training documents; those of bits are summed by tree merging, 16 tables at a time. Only tables of fixed size and the HEAD
+most frequent words are broadcast; counts of rarer words are joined.
 
 Defined results: null and empty texts are one end token; null ids are in no fold and are learned from; repeated rows
 are scored each; without training documents every count is 0; an empty table gives an empty result.
@@ -458,7 +459,7 @@ def followed(word: np.ndarray, before: np.ndarray, train: np.ndarray, follow: np
 
 def gain(pair: np.ndarray, context: np.ndarray, share: np.ndarray, prior: np.ndarray | float) -> np.ndarray:
     """Logarithm of what the word before makes of a word's share; 0 where the context is not known."""
-    return np.where(context < 0, 0.0, np.log((pair / share / prior + 1) / (np.maximum(context, 0) / prior + 1)))
+    return np.where(context < 0, np.float32(0), np.log((pair / share / prior + 1) / (np.maximum(context, 0) / prior + 1)))
 
 
 def tree_sum(parts: DataFrame, tasks: int, cells: int) -> np.ndarray:
@@ -551,7 +552,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             """Tokens without a code, by bucket."""
             doc, word, before = (np.concatenate(x) for x in zip(*held))
             bucket = bucket_of(word, before, m.buckets)
-            order = np.argsort(bucket, kind="stable")
+            order = np.argsort(bucket.astype(np.int16) if m.buckets < 1 << 15 else bucket, kind="stable")
             cut = np.r_[np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order)]
             doc, word, before = (x[order].astype(np.int32) for x in (doc, word, before))
             for at in range(0, len(cut) - 1, 64):
@@ -615,17 +616,20 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     np.add.at(table[rare], found, np.int32(1))
         yield from sent(table)
 
-    def bucket_arrays(cells: pd.DataFrame, follow: np.ndarray) -> tuple[np.ndarray, ...]:
+    def bucket_arrays(cells: pd.DataFrame, follow: tuple) -> tuple[np.ndarray, ...]:
         doc, word, before = (np.frombuffer(b"".join(cells[c]), np.int32) for c in ("docs", "words", "before"))
         train = (doc & 1 == 0).astype(float)
-        return doc, word, train, *followed(word, before, train, follow, plan.value.listed, plan.value.old)
+        return doc, word, train, *followed(word, before, train, *follow)
 
     def try_priors(cells: pd.DataFrame) -> pd.DataFrame:
         """Gain of each prior over all training tokens, each without its own count; listed words and rarer ones apart."""
         _, word, train, pair, context, share = bucket_arrays(cells, shared.value)
         own = (train > 0) & (context >= 0)
-        pair, context, share, rare = pair[own] - 1, context[own] - 1, share[own], word[own] < 0
-        found = [[gain(pair[at], context[at], share[at], prior).sum() for prior in PRIORS] for at in (~rare, rare)]
+        rare = word[own] < 0
+        # Half the bytes do for a choice of priors.
+        pair, context, share = (x.astype(np.float32) for x in (pair[own] - 1, context[own] - 1, share[own]))
+        found = [[gain(pair[at], context[at], share[at], prior).sum(dtype=float) for prior in PRIORS.astype(np.float32)]
+                 for at in (~rare, rare)]
         return pd.DataFrame({"bucket": [int(cells["bucket"].iloc[0])], "sums": [np.array(found).tobytes()]})
 
     def gains(cells: pd.DataFrame) -> pd.DataFrame:
@@ -642,7 +646,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     follow = tree_sum(rest.select("docs", "words", "before").mapInArrow(contexts_of_list, piece_schema),
                       rest.rdd.getNumPartitions(), 4 * HEAD_CELLS).reshape(2, -1)
-    shared = spark.sparkContext.broadcast(follow)
+    shared = spark.sparkContext.broadcast((follow, scorer.listed, scorer.old))
     tried = stage(rest.groupBy("bucket").applyInPandas(try_priors, "bucket int, sums binary"), "priors").orderBy("bucket")
     best = sum((np.frombuffer(r.sums).reshape(2, -1) for r in tried.toLocalIterator()), np.zeros((2, len(PRIORS))))
     prior = PRIORS[best.argmax(axis=1)]
