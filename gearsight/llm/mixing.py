@@ -30,9 +30,9 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import cached_property
-from itertools import chain, compress, repeat
+from itertools import chain, compress, islice, repeat
 
 import numpy as np
 import pandas as pd
@@ -50,9 +50,10 @@ HEAD, CODED = 1 << 17, 1 << 11
 SLOT_BITS = 20
 ORDERS = 3
 #: Words a worker remembers before it starts anew.
-REMEMBERED = 800_000
-#: Most steps of the weights that all texts start from, the gain that ends them, and the bits a task takes at once.
-PASSES, ENOUGH, BITS = 8, 1e-4, 1 << 20
+REMEMBERED = 400_000
+#: Most steps of the weights that all texts start from, the gain that ends them, and the tokens or runs a task takes at
+#: once: the arrays of their bits are what its worker needs besides the tables.
+PASSES, ENOUGH, AT_ONCE = 8, 1e-4, 1 << 15
 #: One in so many texts finds where the steps over all texts start.
 WARM = 16
 #: Tokens after which a document refines its weights; the curvature that holds its steps back, and the first ones.
@@ -64,7 +65,7 @@ PIECE = 1 << 16
 END, ESCAPE, LISTED = 0, 1, 2
 LOG10 = np.log(10.0)
 #: Tokens without a code that a bucket holds on average, and that are sent at once.
-BUCKET_TOKENS, SENT_TOKENS = 1 << 21, 1 << 20
+BUCKET_TOKENS, SENT_TOKENS = 1 << 19, 1 << 19
 #: At least as many as the list has words, and a multiple of PIECE.
 HEAD_CELLS = 1 << 17
 #: Counts that the words' shares are worth beside those of a context; the best is taken. Without end, no context counts.
@@ -122,18 +123,33 @@ class Code:
         return size, at
 
 
-def word_bits(code: Code, symbols: np.ndarray, place: np.ndarray,
-              order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Token, bit and the slots of each order. ``place`` is the token's place in its text; tokens come by ``order``."""
+def two_before(symbols: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols one and two before each, plus one; 0 before the text. ``place`` is the token's place in its text."""
     one = np.r_[0, symbols[:-1]][:len(symbols)] + 1
     two = np.r_[0, 0, symbols[:-2]][:len(symbols)] + 1
-    one, two = np.where(place > 0, one, 0), np.where(place > 1, two, 0)
-    if order is not None:
-        symbols, one, two = symbols[order], one[order], two[order]
+    return np.where(place > 0, one, 0), np.where(place > 1, two, 0)
+
+
+def bits_after(code: Code, symbols: np.ndarray, one: np.ndarray,
+               two: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Number of bits of each token; bit and the slots of each order, for tokens after ``one`` and ``two``."""
     size, at = code.bits(symbols)
     node = np.take(code.node, at)
-    return (np.repeat(np.arange(len(size)), size), np.take(code.bit, at),
-            [node, *(slots(np.repeat(c, size), node) for c in (contexts(one), contexts(one, two)))])
+    return size, np.take(code.bit, at), [node, *(slots(np.repeat(c, size), node) for c in (contexts(one), contexts(one, two)))]
+
+
+def word_bits(code: Code, symbols: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Token, bit and the slots of each order. ``place`` is the token's place in its text."""
+    size, bit, found = bits_after(code, symbols, *two_before(symbols, place))
+    return np.repeat(np.arange(len(size)), size), bit, found
+
+
+def word_bits_in_parts(code: Code, symbols: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Bit and slots of AT_ONCE tokens after the other, however long their texts are."""
+    one, two = two_before(symbols, place)
+    for at in range(0, len(symbols), AT_ONCE):
+        part = slice(at, at + AT_ONCE)
+        yield bits_after(code, symbols[part], one[part], two[part])[1:]
 
 
 def letters_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -190,23 +206,28 @@ class Predictors:
 
     def __init__(self, table: np.ndarray):
         self.logits = np.empty(table.shape[:2], np.float32)
-        for k, (n0, n1) in enumerate(zip(table[..., 0], table[..., 1])):
-            self.logits[k] = marked(np.log((n1 + np.float32(0.4)) / (n0 + np.float32(0.4))), np.digitize(n0 + n1, KNOWN))
+        flat, cells = self.logits.reshape(-1), table.reshape(-1, 2)
+        for at in range(0, len(flat), PIECE):
+            n0, n1 = cells[at:at + PIECE].T
+            flat[at:at + PIECE] = marked(np.log((n1 + np.float32(0.4)) / (n0 + np.float32(0.4))), np.digitize(n0 + n1, KNOWN))
 
     def __call__(self, found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         return looked_up(self.logits, found)
 
 
 class Known:
-    """The same with each bit taken out of its own counts."""
-
-    def __init__(self, table: np.ndarray):
-        self.logits = np.empty(table.shape, np.float32)
-        for k, (n0, n1) in enumerate(zip(table[..., 0], table[..., 1])):
+    """The same with each bit taken out of its own counts, which come in pieces of a table of ``shape``."""
+
+    def __init__(self, pieces: Iterable[np.ndarray], shape: tuple[int, ...]):
+        self.logits = np.empty((shape[0], shape[1] * 2), np.float32)
+        flat, at = self.logits.reshape(-1, 2), 0
+        for cells in pieces:
+            n0, n1 = cells.reshape(-1, 2).T
+            out = flat[at:at + len(n0)]
             known = np.digitize(np.maximum(n0 + n1 - 1, 0), KNOWN)
-            self.logits[k, :, 0] = marked(np.log((n1 + np.float32(0.4)) / (np.maximum(n0 - 1, 0) + np.float32(0.4))), known)
-            self.logits[k, :, 1] = marked(np.log((np.maximum(n1 - 1, 0) + np.float32(0.4)) / (n0 + np.float32(0.4))), known)
-        self.logits = self.logits.reshape(len(table), -1)
+            out[:, 0] = marked(np.log((n1 + np.float32(0.4)) / (np.maximum(n0 - 1, 0) + np.float32(0.4))), known)
+            out[:, 1] = marked(np.log((np.maximum(n1 - 1, 0) + np.float32(0.4)) / (n0 + np.float32(0.4))), known)
+            at += len(n0)
 
     def __call__(self, found: list[np.ndarray], own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return looked_up(self.logits, [at * 2 + own for at in found])
@@ -214,7 +235,7 @@ class Known:
 
 def inputs_without(table: np.ndarray, found: list[np.ndarray], own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """What the bits ``own`` are predicted from without themselves, and their gates."""
-    return Known(table)(found, own)
+    return Known([table], table.shape)(found, own)
 
 
 def chance(weights: np.ndarray, logits: np.ndarray) -> np.ndarray:
@@ -226,21 +247,20 @@ def chance(weights: np.ndarray, logits: np.ndarray) -> np.ndarray:
 
 
 class Shipped:
-    """A table of counts that is broadcast compressed, in 4 bytes a count if they fit: copies of it lie on every disk."""
-
-    def __init__(self, table: np.ndarray):
-        self.table = table
+    """A table of counts that is broadcast compressed, in 4 bytes a count if they fit: copies of it lie on every disk.
 
-    def __getstate__(self) -> tuple:
-        kind = np.int32 if self.table.max(initial=0) < 1 << 31 else np.int64
-        return zlib.compress(self.table.astype(kind).tobytes(), 1), kind, self.table.shape
+    It stays so, in pieces: a worker never holds the whole table beside what it predicts.
+    """
 
-    def __setstate__(self, state: tuple) -> None:
-        self.table = np.frombuffer(zlib.decompress(state[0]), state[1]).reshape(state[2])
+    def __init__(self, table: np.ndarray):
+        self.kind, self.shape = np.int32 if table.max(initial=0) < 1 << 31 else np.int64, table.shape
+        flat = table.reshape(-1)
+        self.pieces = [zlib.compress(flat[at:at + PIECE].astype(self.kind).tobytes(), 1) for at in range(0, len(flat), PIECE)]
 
     @cached_property
     def known(self) -> Known:
-        out, self.table = Known(self.table), None
+        out = Known((np.frombuffer(zlib.decompress(p), self.kind) for p in self.pieces), self.shape)
+        self.pieces = None
         return out
 
 
@@ -288,10 +308,7 @@ def fitted(source: DataFrame, bits: Callable[[pa.RecordBatch], Iterator[tuple]],
             total = np.zeros((16, SUMS))
             for batch in batches:
                 for bit, found, times in bits(batch):
-                    for at in range(0, len(bit), BITS):
-                        own = bit[at:at + BITS]
-                        logits, gate = shared.value.known([f[at:at + BITS] for f in found], own)
-                        total += slopes(weights, logits, gate, own, None if times is None else times[at:at + BITS])
+                    total += slopes(weights, *shared.value.known(found, bit), bit, times)
             yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()),
                                               "data": pa.array([total.tobytes()], pa.binary())})
 
@@ -339,7 +356,8 @@ class Scorer:
         self.symbol = np.r_[np.where(place < CODED, place + LISTED + 1, LISTED), ESCAPE]
         self.count = np.r_[counts, 0].astype(np.int64)
         self.listed = np.r_[np.where(place < CODED, 0.0, np.log(np.maximum(counts, 1) / max(1, n_listed))), 0.0]
-        self.tables = tuple(np.zeros(TABLE, np.int32) for _ in (0, 1))
+        #: Counts of words' bits and of letters', none yet; then what they predict.
+        self.tables: tuple = ()
         self.word_weights = self.letter_weights = START
         self.spelled: dict[bytes, float] = {}
         self.buckets = -(-(n_rare + n_listed) // BUCKET_TOKENS) + 15
@@ -350,6 +368,13 @@ class Scorer:
             self.word_weights, self.letter_weights = weights
         self.tables = tuple(map(Predictors, self.tables))
 
+    def only(self, table: int, *fields: str) -> Scorer:
+        """A copy that has one of the tables and these fields, for workers that need no more."""
+        out = object.__new__(Scorer)
+        out.__dict__ = {f: getattr(self, f) for f in fields} | {
+            "tables": tuple(t if k == table else None for k, t in enumerate(self.tables))}
+        return out
+
     def tokens_of(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Text, place, place in the list of words, and symbol of all tokens; a text ends with an empty word."""
         size = np.array([len(t) for t in texts], np.int64)
@@ -360,9 +385,6 @@ class Scorer:
         symbol[np.cumsum(size) - 1] = END
         return text, place, listed, symbol
 
-    def without_code(self, word: bytes) -> bool:
-        return self.index.get(word, CODED) >= CODED
-
     def spell(self, words: set[bytes]) -> None:
         new = list(words.difference(self.spelled))
         for at in range(0, len(new), 5000):
@@ -385,22 +407,23 @@ class Scorer:
     def score(self, symbols: list[bytes]) -> np.ndarray:
         """Natural logarithm of the probability of each text's symbols."""
         symbol, place, text = laid_out(symbols)
+        one, two = two_before(symbol, place)
         chunk = np.where(place < CHUNK, np.searchsorted(EARLY, place, side="right"), len(EARLY) - 1 + place // CHUNK)
         if chunk.max() < 1 << 15:
             chunk = chunk.astype(np.int16)  # sorted by digits
         order = np.argsort(chunk, kind="stable")
-        owner, bit, found = word_bits(self.code, symbol, place, order)
-        logits, gate = self.tables[0](found)
-        cell = np.take(text[order] * 16, owner) + gate
-        bounds = np.searchsorted(owner, np.searchsorted(chunk[order], np.arange(chunk.max() + 2)))
-        weights = np.tile(self.word_weights, (len(symbols), 1))
-        p = np.empty(len(bit), np.float32)
+        bounds = np.searchsorted(chunk[order], np.arange(chunk.max() + 2))
+        weights, logs = np.tile(self.word_weights, (len(symbols), 1)), np.zeros(len(symbols))
         for c in range(len(bounds) - 1):
-            part = slice(bounds[c], bounds[c + 1])
-            p[part] = chance(np.take(weights, cell[part], axis=0), logits[:, part])
+            at = order[bounds[c]:bounds[c + 1]]
+            size, bit, found = bits_after(self.code, symbol[at], one[at], two[at])
+            logits, gate = self.tables[0](found)
+            cell = np.repeat(text[at] * 16, size) + gate
+            p = chance(np.take(weights, cell, axis=0), logits)
+            logs += np.bincount(cell >> 4, weights=np.log(np.where(bit == 1, p, 1 - p)), minlength=len(symbols))
             if c + 2 < len(bounds):
-                weights += steps(cell[part], len(weights), bit[part] - p[part], p[part], logits[:, part], HOLD)
-        return np.bincount(cell >> 4, weights=np.log(np.where(bit == 1, p, 1 - p)), minlength=len(symbols))
+                weights += steps(cell, len(weights), bit - p, p, logits, HOLD)
+        return logs
 
 
 def laid_out(symbols: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -513,9 +536,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()),
-                                                                                          pa.int64())], names=["word", "n"])
+        def out() -> Iterator[pa.RecordBatch]:
+            while found:
+                part = [found.popitem() for _ in range(min(len(found), PIECE))]
+                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.binary()),
+                                                  pa.array([n for _, n in part], pa.int64())], names=["word", "n"])
         for batch in batches:
             for i in range(batch.num_rows):
                 text = batch.column(0)[i]
@@ -523,10 +548,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 found.update((text.as_buffer().to_pybytes() if text.is_valid else b"").lower().split())
                 found[b""] += 1
                 if len(found) > REMEMBERED:
-                    yield out()
-                    found.clear()
-        if found:
-            yield out()
+                    yield from out()
+        yield from out()
 
     counts = stage(train.mapInArrow(count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")),
                    "word-counts")
@@ -554,7 +577,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             bucket = bucket_of(word, before, m.buckets)
             order = np.argsort(bucket.astype(np.int16) if m.buckets < 1 << 15 else bucket, kind="stable")
             cut = np.r_[np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order)]
-            doc, word, before = (x[order].astype(np.int32) for x in (doc, word, before))
+            doc, word, before = (x[order] for x in (doc, word, before))
             for at in range(0, len(cut) - 1, 64):
                 ends = list(zip(cut[at:at + 64], cut[at + 1:at + 65]))
                 yield table(len(ends), bucket=pa.array(bucket[order][[a for a, _ in ends]], pa.int32()),
@@ -586,7 +609,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     row=pa.array(np.arange(row, row + len(texts))))
                 of, word, before = after(text, place, listed, symbol, texts, len(m.index))
                 # The last bit of a document says that it is held out.
-                held.append(((of + row - first) * 2 + part.column(1).to_numpy(zero_copy_only=False)[of], word, before))
+                held.append((((of + row - first) * 2 + part.column(1).to_numpy(zero_copy_only=False)[of]).astype(np.int32),
+                             word, before))
                 row += len(texts)
                 if sum(len(h[1]) for h in held) >= SENT_TOKENS:
                     yield from rest()
@@ -654,9 +678,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    .groupBy("first").applyInPandas(by_document, "row long, rest double"), "gains")
     shared.destroy()
 
+    plan.unpersist()
+    with_code, tree = frozenset([b"", *islice(scorer.index, CODED)]), spark.sparkContext.broadcast(scorer.code)
+
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [w for w in batch.column(0).to_pylist() if w and plan.value.without_code(w)]
+            words = [w for w in batch.column(0).to_pylist() if w not in with_code]
             for at in range(0, len(words), 100_000):
                 run, n = np.unique(letters_of(words[at:at + 100_000])[1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(run), pa.array(n.astype(np.int64))], names=["run", "n"])
@@ -664,12 +691,13 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def bits_of_texts(batch: pa.RecordBatch) -> Iterator[tuple]:
         for at in range(0, batch.num_rows, 400):
             symbol, place, _ = laid_out([x.as_buffer().to_pybytes() for x in batch.column(0).slice(at, 400)])
-            yield *word_bits(plan.value.code, symbol, place)[1:], None
+            for found in word_bits_in_parts(tree.value, symbol, place):
+                yield *found, None
 
     def bits_of_runs(batch: pa.RecordBatch) -> Iterator[tuple]:
         run, n = (c.to_numpy() for c in batch.columns)
-        for at in range(0, len(run), 100_000):
-            yield *run_bits(run[at:at + 100_000]), np.repeat(n[at:at + 100_000], 8)
+        for at in range(0, len(run), AT_ONCE):
+            yield *run_bits(run[at:at + AT_ONCE]), np.repeat(n[at:at + AT_ONCE], 8)
 
     def counted(source: DataFrame, bits: Callable[[pa.RecordBatch], Iterator[tuple]], kind: type) -> np.ndarray:
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -688,9 +716,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scorer.tables = counted(learned, bits_of_texts, np.int32), counted(spelled, bits_of_runs, np.int64)
     some = learned.filter(F.pmod(F.xxhash64("symbols"), F.lit(WARM)) == 0)
     weights = [learn([some, learned], bits_of_texts, scorer.tables[0]), learn([spelled], bits_of_runs, scorer.tables[1])]
-    plan.unpersist()
+    tree.unpersist()
     scorer.finish(weights)
-    model = spark.sparkContext.broadcast(scorer)
+    # Of tables, codes and lists, workers hold only what their step needs.
+    model = spark.sparkContext.broadcast(scorer.only(0, "code", "word_weights"))
+    speller = spark.sparkContext.broadcast(scorer.only(1, "letter_weights", "spelled"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -702,7 +732,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.value.spelled_logs(batch.column(1).to_pylist()))],
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(speller.value.spelled_logs(batch.column(1).to_pylist()))],
                                              names=["row", "logs"])
 
     scored = stage(coded.select("row", "plain", "symbols").mapInArrow(score, "row long, coded_logs double"), "scored")

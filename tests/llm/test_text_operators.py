@@ -1,6 +1,8 @@
 """The text operators on hard rows (nulls, empty and long texts, ties, repeated rows, clashing names) and brute force."""
 
 import hashlib
+import pickle
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from math import log10
@@ -365,6 +367,43 @@ def test_words_without_a_code_are_predicted_by_the_word_before(spark, tables, mo
     assert abs(met.base_score - apart.base_score) < 1e-9 and met.score > apart.score + 1
 
 
+def test_workers_hold_what_their_step_needs():
+    """No empty tables are sent to workers, no whole table beside its predictions, no bits of a whole long text."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}".encode() for i in range(3000)]
+    scorer = mixing.Scorer(words, np.arange(3000, 0, -1), 5_000_000, 1000)
+    assert len(pickle.dumps(scorer)) < 1e6
+    symbol = rng.integers(1, mixing.CODED, 300_000)
+    symbol[-1] = mixing.END
+    _, bit, found = mixing.word_bits(scorer.code, symbol, np.arange(len(symbol)))
+    table = np.zeros(mixing.TABLE, np.int64)
+    mixing.tally(table, bit, found)
+    parts = list(mixing.word_bits_in_parts(scorer.code, symbol, np.arange(len(symbol))))
+    assert max(len(b) for b, _ in parts) < len(bit) / 5 and (np.concatenate([b for b, _ in parts]) == bit).all()
+    assert all((np.concatenate([f[k] for _, f in parts]) == found[k]).all() for k in range(mixing.ORDERS))
+
+    def peak(work):
+        tracemalloc.start()
+        out = work()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, most / 1e6
+
+    want = mixing.inputs_without(table, found, bit)
+    sent = pickle.dumps(mixing.Shipped(table))
+    known, most = peak(lambda: pickle.loads(sent).known)
+    assert most < 2 * 4e-6 * table.size, most
+    assert all((a == b).all() for a, b in zip(known(found, bit), want))
+    scorer.tables = table, table
+    scorer.finish([])
+    model = pickle.loads(pickle.dumps(scorer.only(0, "code", "word_weights")))
+    assert model.tables[1] is None and not hasattr(model, "index")
+    texts = [symbol.astype(np.int16).tobytes(), symbol[-40:].astype(np.int16).tobytes()]
+    got, most = peak(lambda: model.score(texts))
+    assert most < 60, most
+    assert abs(got[0] - model.score(texts[:1])[0]) < 1e-6 * abs(got[0]) and (got < 0).all()
+
+
 def test_pipeline_stages(spark):
     """Each stage against brute force on what the stage before kept."""
     import corpus_pipeline as pipeline
