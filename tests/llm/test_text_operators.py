@@ -2,6 +2,7 @@
 
 import hashlib
 import pickle
+import random
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
@@ -9,6 +10,7 @@ from math import log10
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -447,3 +449,46 @@ def test_masks_never_understate_what_is_common():
             only = near_dedup.mask_of(x) & ~near_dedup.mask_of(y)
             assert len(only) == near_dedup.MASK_WORDS
             assert np.bitwise_count(only.view(np.uint64)).sum() <= len(set(x.tolist()) - set(y.tolist()))
+
+
+def test_words_in_texts():
+    """Words split in columns are those of Python's split of bytes; parts of a batch hold all rows in order."""
+    rng = random.Random(1)
+    texts = ["".join(rng.choice(" \t\n\x0b\x0c\r\x1c\x85\xa0aBÉzÿ日") for _ in range(rng.randint(0, 30))) for _ in range(500)]
+    texts += [None, "", " ", "  a  ", "x" * 5000]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    parts = list(mixing.by_bytes(batch, 0, 100))
+    assert [t for p in parts for t in p.column(0).to_pylist()] == texts and len(parts) > 20
+    want = [(t or "").encode().lower().split() for t in texts]
+    for part, at in zip(parts, np.cumsum([0, *(p.num_rows for p in parts)])):
+        words, size = mixing.words_in(part.column(0))
+        assert size.tolist() == [len(t) for t in want[at:at + part.num_rows]]
+        assert words.to_pylist() == [w for t in want[at:at + part.num_rows] for w in t]
+    words, size = mixing.words_in(batch.column(0))
+    scorer = mixing.Scorer([b"a", b"b", b"z"], np.array([5, 4, 2]), 40, 5)
+    place, hashes = scorer.find(words)
+    flat = [w for t in want for w in t]
+    assert place.tolist() == [{b"a": 0, b"b": 1, b"z": 2}.get(w, -1) for w in flat]
+    assert hashes.tolist() == [zlib.crc32(w) >> 1 for w in flat if w not in (b"a", b"b", b"z")]
+
+
+def test_sums_of_gates_and_bits():
+    """Sums of slopes against plain ones of each gate; counts of bits by either way of adding."""
+    rng = np.random.default_rng(5)
+    n, weights = 3000, rng.normal(0.4, 0.2, (16, mixing.ORDERS))
+    logits, gate = rng.normal(0, 2, (mixing.ORDERS, n)).astype(np.float32), rng.integers(0, 15, n).astype(np.uint8)
+    bit, times = rng.integers(0, 2, n).astype(np.int8), rng.integers(1, 9, n)
+    for t in (None, times):
+        got = mixing.slopes(weights, logits, gate, bit, t)
+        for g in range(16):
+            x, b, k = logits[:, gate == g].astype(float), bit[gate == g], 1 if t is None else t[gate == g]
+            p = 1 / (1 + np.exp(-np.clip(weights[g] @ x, -14, 14)))
+            want = np.r_[(-np.log(np.where(b == 1, p, 1 - p)) * k).sum(), ((b - p) * k * x).sum(axis=1),
+                         ((p * (1 - p) * k * x) @ x.T).ravel()]
+            assert np.allclose(got[g], want, rtol=1e-3, atol=1e-2)
+    table, plain = np.zeros((3, 1 << 14, 2), np.int32), np.zeros((3, 1 << 14, 2), np.int32)
+    found = [rng.integers(0, top, n) for top in (40, 1 << 14, 1 << 14)]
+    mixing.tally(table, bit, found)
+    for k in range(3):
+        np.add.at(plain[k], (found[k], bit), 1)
+    assert (table == plain).all()
