@@ -19,7 +19,8 @@ does not depend on others beside it.
 Texts are split into words twice, to count them and to write their symbols, 2 bytes each, to a table that all later
 passes read, beside the tokens without a code by bucket. Letters are counted as distinct runs of four. Counts cover all
 training documents; those of bits are summed by tree merging, 16 tables at a time. Only tables of fixed size and the HEAD
-most frequent words are broadcast; counts of rarer words are joined.
+most frequent words are broadcast; counts of rarer words are joined. Each step gets only what it needs of these, and takes
+TEXT_BYTES of text or the bits of AT_ONCE tokens at a time, so that workers stay small.
 
 Defined results: null and empty texts are one end token; null ids are in no fold and are learned from; repeated rows
 are scored each; without training documents every count is 0; an empty table gives an empty result.
@@ -56,7 +57,7 @@ PASSES, ENOUGH, AT_ONCE = 8, 1e-4, 1 << 15
 #: One in so many texts finds where the steps over all texts start.
 WARM = 16
 #: Bytes of text whose words a task takes at once.
-TEXT_BYTES = 1 << 22
+TEXT_BYTES = 1 << 21
 #: Tokens after which a document refines its weights; the curvature that holds its steps back, and the first ones.
 CHUNK, HOLD, START_HOLD = 256, 200.0, 20.0
 #: Tokens after which it does so before the first whole chunk.
